@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.scoring import ANNOTATION_ID_PREFIX, annotation_id
+from threadlens.session import cut_lineage
 from threadlens.sources.schemas import ANNOTATION_COLUMNS, LABEL_COLUMNS, existing
 
 DEFAULT_SEED = 42
@@ -34,14 +35,15 @@ def hash_order(keys: Sequence[str | Column], seed: int = DEFAULT_SEED, salt: str
 
 def sequence_number(
     df: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str | Column],
     group: Sequence[str] = (),
     out: str = "seq",
 ) -> DataFrame:
     """1-based row number per ``group`` in ``order`` without a one-task window.
 
     Rows are range-partitioned and sorted by ``group + order`` (which must be a
-    total order), a local index comes from ``monotonically_increasing_id``, and
+    total order; entries may carry a sort direction), a local index comes from
+    ``monotonically_increasing_id``, and
     each (partition, group) gets its offset from a tiny count table (one row
     per partition and group — broadcast, size bounded by partitions x groups).
     """
@@ -51,10 +53,11 @@ def sequence_number(
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(mask))
     )
-    # Both branches below scan the same range exchange; Spark reuses it.
+    # Range bounds are sampled from the input, whose row order after a shuffle
+    # is not fixed; checkpoint the numbered rows once so the count branch and
+    # the join branch see the very same partitioning (also survives executor loss).
+    ranged = cut_lineage(ranged)
     counts = ranged.groupBy("_pid", *group).agg(F.count("*").alias("_n"), F.min("_loc").alias("_first"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*group).orderBy("_pid") if group else Window.orderBy("_pid")
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -66,7 +69,7 @@ def sequence_number(
 
 
 def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
-    """First ``k`` rows in ``order`` (a total order).
+    """First ``k`` rows in ``order`` (a total order; entries may be sort columns).
 
     Small k is a TakeOrderedAndProject (per-task top-k, then merge); large k
     ranks with ``sequence_number`` so no task holds k rows in memory.
@@ -75,16 +78,8 @@ def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
         return df.limit(0)
     if k <= TAKE_ORDERED_MAX:
         return df.orderBy(*order).limit(k)
-    names = []
-    tmp = df
-    for i, o in enumerate(order):
-        if isinstance(o, str):
-            names.append(o)
-        else:
-            tmp = tmp.withColumn(f"_o{i}", o)
-            names.append(f"_o{i}")
-    ranked = sequence_number(tmp, names, out="_rank")
-    return ranked.filter(F.col("_rank") <= k).drop("_rank", *[n for n in names if n.startswith("_o")])
+    ranked = sequence_number(df, order, out="_rank")
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
 def stratified_sample(

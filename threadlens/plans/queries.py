@@ -576,3 +576,82 @@ def crawl_frontier(spark, d):
     # The last landed page of every repository is treated as not yet fetched.
     landed = pages.filter(F.col("link_header").isNotNull())
     return ingest.crawl_frontier(landed)
+
+
+# -- M1-M4: features -------------------------------------------------------------------
+def _english(spark, d):
+    return A.table(spark, d, "documents").filter(F.col("lang") == "en")
+
+
+@query
+def document_frequencies(spark, d):
+    from threadlens.operators import features as FT
+
+    docs = _english(spark, d)
+    counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text")))
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+@query
+def word_ngram_tfidf(spark, d):
+    from threadlens.operators import features as FT
+    from threadlens.operators.model import BASELINE
+
+    docs = _english(spark, d)
+    n = docs.count()
+    counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text")))
+    vocab = FT.fit_vocabulary(counts, n, BASELINE.word_max_features, BASELINE.word_max_df)
+    entries = FT.tfidf_entries(counts, vocab)
+    terms = vocab.table.select("idx", "term")
+    return entries.join(F.broadcast(terms), "idx").select(
+        F.col("doc").alias("doc_id"), "term", F.round("value", 6).alias("tfidf")
+    )
+
+
+@query
+def char_vocabulary(spark, d):
+    from threadlens.operators import features as FT
+    from threadlens.operators.model import IMPROVED
+
+    docs = _english(spark, d)
+    n = docs.count()
+    counts = FT.char_wb_term_counts(docs, "doc_id", "text")
+    vocab = FT.fit_vocabulary(counts, n, IMPROVED.char_max_features)
+    return vocab.table.select("term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+# -- M5-M12: detector (rows-only checks: solver and fold details differ by design) ---------
+@query
+def oof_predictions(spark, d):
+    from threadlens.operators import model as M
+
+    p = M.oof_predictions(_labelled(spark, d), M.IMPROVED)
+    return p.select("annotation_id", "fold", "actual_label", "model_prediction", "workaround_probability", "behavioral_cues", "model_correct", "error_type")
+
+
+@query
+def baseline_oof_predictions(spark, d):
+    from threadlens.operators import model as M
+
+    p = M.oof_predictions(_labelled(spark, d), M.BASELINE)
+    return p.select("annotation_id", "fold", "actual_label", "model_prediction", "workaround_probability", "model_correct")
+
+
+@query
+def final_model_terms(spark, d):
+    from threadlens.operators import model as M
+
+    return M.top_terms(M.fit_detector(_labelled(spark, d), M.BASELINE))
+
+
+@query
+def score_documents(spark, d):
+    from threadlens.operators import model as M
+
+    det = M.fit_detector(_labelled(spark, d), M.IMPROVED)
+    docs = A.table(spark, d, "documents").select(
+        F.format_string("NS-%04d", F.col("doc_id") + 1).alias("annotation_id"),
+        F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"),
+        F.coalesce("text", F.lit("")).alias("thread_text"),
+    )
+    return M.score(det, docs)
