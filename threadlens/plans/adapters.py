@@ -45,7 +45,9 @@ SIGNAL = CueDictionary.of("signal", [e for e in CORPUS_CUES if e[0] in ("hostile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from threadlens.sources.io import read_table
+
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _repository(conv_id) -> F.Column:

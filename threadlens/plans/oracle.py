@@ -628,3 +628,55 @@ def _():
 def _():
     return _pages_prelude() + """, landed AS (SELECT * FROM pages WHERE next_url IS NOT NULL)
 SELECT DISTINCT repository, next_url FROM landed WHERE next_url NOT IN (SELECT url FROM landed)"""
+
+
+# -- features ---------------------------------------------------------------------------
+_WORD_RE2 = r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}"
+
+
+def _word_counts_cte() -> str:
+    return f"""d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{_WORD_RE2}') AS toks
+      FROM documents WHERE lang = 'en'),
+t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM d),
+g AS (SELECT doc_id, tok AS term FROM t
+      UNION ALL
+      SELECT doc_id, tok || ' ' || nxt FROM (SELECT doc_id, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM t)
+      WHERE nxt IS NOT NULL),
+c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
+nd AS (SELECT count(*) AS n FROM documents WHERE lang = 'en')"""
+
+
+@sql("document_frequencies")
+def _():
+    return f"WITH {_word_counts_cte()}\nSELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY term"
+
+
+@sql("word_ngram_tfidf")
+def _():
+    from threadlens.operators.model import BASELINE
+
+    return f"""WITH {_word_counts_cte()},
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term),
+v AS (SELECT st.* FROM st, nd WHERE st.df <= CAST({BASELINE.word_max_df} AS DOUBLE) * nd.n ORDER BY total DESC, term LIMIT {BASELINE.word_max_features}),
+vi AS (SELECT v.term, ln((1.0 + nd.n) / (1.0 + v.df)) + 1.0 AS idf FROM v, nd),
+w AS (SELECT c.doc_id, c.term, (1.0 + ln(c.tf)) * vi.idf AS w FROM c JOIN vi ON c.term = vi.term),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
+SELECT w.doc_id, w.term, round(w.w / nr.norm, 6) AS tfidf FROM w JOIN nr ON w.doc_id = nr.doc_id"""
+
+
+@sql("char_vocabulary")
+def _():
+    from threadlens.functions.text import WS_CLASS_RE2
+    from threadlens.operators.model import IMPROVED
+
+    return f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents WHERE lang = 'en'),
+wd AS (SELECT doc_id, ' ' || x || ' ' AS w FROM (SELECT doc_id, unnest(string_split_regex(t, '{WS_CLASS_RE2}+')) AS x FROM d) WHERE x <> ''),
+s AS (SELECT doc_id, w, length(w) AS l, k FROM wd, (VALUES (3), (4), (5)) sizes(k) WHERE k = 3 OR length(w) > k - 1),
+g AS (SELECT doc_id, w AS term FROM s WHERE l <= k
+      UNION ALL
+      SELECT doc_id, substr(w, i, k) FROM (SELECT doc_id, w, k, unnest(range(1, l - k + 2)) AS i FROM s WHERE l > k)),
+c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
+nd AS (SELECT count(*) AS n FROM d),
+st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY term)
+SELECT term, df, total, round(ln((1.0 + nd.n) / (1.0 + df)) + 1.0, 6) AS idf FROM st, nd
+ORDER BY total DESC, term LIMIT {IMPROVED.char_max_features}"""

@@ -19,6 +19,26 @@ from threadlens.sources.schemas import clean_headers, fill_blank_strings
 _CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
+def balance_partitions(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over at least ``min_partitions`` tasks (default: cluster parallelism).
+
+    Text rows are CPU-heavy (regex, tokenising) but small files with few row
+    groups plan as very few splits. Only when the scan has fewer partitions
+    than cores is a round-robin repartition added; at cluster scale the file
+    splits already outnumber the cores and the plan is left untouched.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, path: str, balance: bool = True) -> DataFrame:
+    """Parquet scan (pruning and pushdown reach the files), balanced over the cores."""
+    df = spark.read.parquet(path)
+    return balance_partitions(df) if balance else df
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
