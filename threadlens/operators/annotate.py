@@ -211,36 +211,36 @@ def apply_audit_decisions(audit: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def audit_summary(audit: DataFrame) -> DataFrame:
-    """Totals plus counts per evidence status and per outcome, one table.
+    """Totals plus counts per evidence status and per outcome, one pass.
 
     Rows: ``(section, value, records)`` with sections total / reviewed /
-    remaining / evidence_status / audit_outcome / warning.
+    remaining / warning / evidence_status / audit_outcome. Every row emits its
+    (section, value) tags, a single grouped count adds them up, and a fixed
+    four-row frame of zeros keeps the total / reviewed / remaining / warning
+    rows present on an empty input.
     """
+    spark = audit.sparkSession
     reviewed = ~is_blank("evidence_status")
-    totals = audit.agg(
-        F.count("*").alias("total"),
-        F.count_if(reviewed).alias("reviewed"),
-        F.count_if(reviewed & (F.col("audit_outcome") == "annotation_error")).alias("annotation_errors"),
-    ).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("total").alias("section"), F.lit("").alias("value"), F.col("total").alias("records")),
-                F.struct(F.lit("reviewed").alias("section"), F.lit("").alias("value"), F.col("reviewed").alias("records")),
-                F.struct(F.lit("remaining").alias("section"), F.lit("").alias("value"), (F.col("total") - F.col("reviewed")).alias("records")),
-                F.struct(F.lit("warning").alias("section"), F.lit("relabel annotation_error records before retraining").alias("value"), F.col("annotation_errors").alias("records")),
-            )
+    warn = "relabel annotation_error records before retraining"
+
+    def tag(section: str, value) -> F.Column:
+        return F.struct(F.lit(section).alias("section"), (value if isinstance(value, F.Column) else F.lit(value)).alias("value"))
+
+    tags = F.array_compact(
+        F.array(
+            tag("total", ""),
+            F.when(reviewed, tag("reviewed", "")),
+            F.when(~reviewed, tag("remaining", "")),
+            F.when(reviewed & (F.col("audit_outcome") == "annotation_error"), tag("warning", warn)),
+            F.when(reviewed, tag("evidence_status", F.col("evidence_status"))),
+            F.when(reviewed, tag("audit_outcome", F.col("audit_outcome"))),
         )
     )
-    per = (
-        audit.filter(reviewed)
-        .select(F.explode(F.array(
-            F.struct(F.lit("evidence_status").alias("section"), F.col("evidence_status").alias("value")),
-            F.struct(F.lit("audit_outcome").alias("section"), F.col("audit_outcome").alias("value")),
-        )).alias("s"))
-        .groupBy(F.col("s.section").alias("section"), F.col("s.value").alias("value"))
-        .agg(F.count("*").alias("records"))
+    counted = audit.select(F.explode(tags).alias("t")).select("t.section", "t.value", F.lit(1).alias("n"))
+    zeros = spark.createDataFrame(
+        [("total", "", 0), ("reviewed", "", 0), ("remaining", "", 0), ("warning", warn, 0)], "section string, value string, n int"
     )
-    return totals.unionByName(per)
+    return counted.unionByName(zeros).groupBy("section", "value").agg(F.sum("n").cast("long").alias("records"))
 
 
 def fields_present(df: DataFrame, fields: Sequence[str] = WORKAROUND_FIELDS) -> DataFrame:

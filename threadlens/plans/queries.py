@@ -385,8 +385,7 @@ def fn_cue_counts(spark, d):
     return c.withColumn("false_negative_count", F.col("false_negative_count").cast("long"))
 
 
-def _audit_decisions(spark, d):
-    fn = _fn_analysis(spark, d)
+def _audit_decisions(fn):
     code = F.when(F.length("user_goal") < 60, F.lit("e")).when(F.length("user_goal") < 120, F.lit("i")).otherwise(F.lit("n"))
     return fn.filter(F.col("title") < "M").select(
         "annotation_id",
@@ -397,7 +396,8 @@ def _audit_decisions(spark, d):
 
 
 def _audit(spark, d):
-    return annotate.apply_audit_decisions(_fn_analysis(spark, d), _audit_decisions(spark, d))
+    fn = _fn_analysis(spark, d)  # one DataFrame for both sides: identical exchanges are reused
+    return annotate.apply_audit_decisions(fn, _audit_decisions(fn))
 
 
 @query

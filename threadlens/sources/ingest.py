@@ -50,9 +50,9 @@ def parse_next_link(link: Column | str, first_param_only: bool = False) -> Colum
     else:
         rel_ok = lambda ps: F.array_contains(F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(1))), NEXT_REL)
     hits = F.filter(parts, lambda ps: (F.size(ps) >= 2) & rel_ok(ps))
-    url = F.get(F.get(hits, 0), 0)
-    url = F.regexp_replace(strip_ws(url), r"^[<>]+|[<>]+$", "")
-    return F.when(c.isNull() | (c == ""), F.lit(None).cast("string")).otherwise(url)
+    raw = F.get(F.get(hits, 0), 0)
+    url = F.regexp_replace(strip_ws(raw), r"^[<>]+|[<>]+$", "")
+    return F.when(c.isNull() | (c == "") | raw.isNull(), F.lit(None).cast("string")).otherwise(url)
 
 
 def payload_items(pages: DataFrame) -> DataFrame:
