@@ -101,6 +101,10 @@ def stratified_sample(
         raise ValueError("Sample size must be at least 1.")
     key = list(key)
     order_key = hash_order(key, seed)
+    # The pools, the count and the top-up all read the scored threads:
+    # materialise them once in the shared checkpoint folder instead of
+    # re-running thread assembly and the cue regexes for every branch.
+    threads = cut_lineage(threads)
     counts = threads.agg(
         F.count("*").alias("total"),
         F.count_if(F.col(score) > 0).alias("signals"),

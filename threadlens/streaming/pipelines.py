@@ -1,0 +1,100 @@
+"""Streaming pipelines over landing folders (append-only sources and sinks)."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from threadlens.functions.cues import WORKAROUND, CueDictionary, heuristic_score
+from threadlens.session import ensure_checkpoint_dir
+from threadlens.sources.ingest import flatten_issues
+from threadlens.sources.schemas import API_RESPONSES
+
+
+def stream_checkpoint(spark: SparkSession, name: str) -> str:
+    """Per-query checkpoint location inside the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+
+
+def issue_stream(
+    spark: SparkSession,
+    landing_dir: str,
+    sink_dir: str,
+    name: str = "issues",
+    max_files_per_trigger: int | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """I1 + I2 on landed response files (JSON lines of ``API_RESPONSES``).
+
+    Each new response file becomes flat issue rows appended to ``sink_dir``
+    (Parquet, partitioned by repository). Exactly-once through the file sink's
+    metadata log and the query checkpoint.
+    """
+    reader = spark.readStream.schema(API_RESPONSES)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    pages = reader.json(landing_dir)
+    issues = flatten_issues(pages)
+    writer = (
+        issues.writeStream.format("parquet")
+        .option("path", sink_dir)
+        .option("checkpointLocation", stream_checkpoint(spark, name))
+        .partitionBy("repository")
+        .outputMode("append")
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def cue_stream(
+    spark: SparkSession,
+    threads_dir: str,
+    sink_dir: str,
+    schema,
+    dictionary: CueDictionary = WORKAROUND,
+    name: str = "thread_cues",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """T8 on a stream of assembled threads: score and matched cue names per row."""
+    threads = spark.readStream.schema(schema).parquet(threads_dir)
+    scored = heuristic_score(threads, "thread_text", dictionary)
+    writer = (
+        scored.writeStream.format("parquet")
+        .option("path", sink_dir)
+        .option("checkpointLocation", stream_checkpoint(spark, name))
+        .outputMode("append")
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def score_stream(
+    spark: SparkSession,
+    detector_path: str,
+    threads_dir: str,
+    sink_dir: str,
+    schema,
+    id_col: str = "annotation_id",
+    name: str = "thread_scores",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """M12 per micro-batch: the saved detector scores each batch of new threads.
+
+    Featurisation groups per document, so it runs inside ``foreachBatch`` on
+    the bounded micro-batch; the sink append is idempotent per batch id.
+    """
+    from threadlens.operators.model import load_detector, score
+
+    det = load_detector(spark, detector_path)
+    threads = spark.readStream.schema(schema).parquet(threads_dir)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        out = score(det, batch, id_col).withColumn("batch_id", F.lit(batch_id))
+        out.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+
+    writer = threads.writeStream.foreachBatch(write_batch).option("checkpointLocation", stream_checkpoint(spark, name))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
