@@ -72,14 +72,20 @@ def lower_clean(c: ColumnOrName) -> Column:
     return F.lower(strip_ws(c))
 
 
+def _synonym_map() -> Column:
+    pairs = [(s, "workaround") for s in WORKAROUND_SYNONYMS] + [(s, "no_workaround") for s in NO_WORKAROUND_SYNONYMS]
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+
 def normalize_binary_label(c: ColumnOrName) -> Column:
-    """Map the accepted synonyms to workaround / no_workaround."""
+    """Map the accepted synonyms to workaround / no_workaround, else the cleaned text.
+
+    One literal-map lookup keeps the expression small: predicates on the
+    result are pushed down by inlining it, and a CASE chain would repeat the
+    cleaned value in every branch (and blow past the 64 KB codegen limit).
+    """
     v = lower_clean(c)
-    return (
-        F.when(v.isin(WORKAROUND_SYNONYMS), F.lit("workaround"))
-        .when(v.isin(NO_WORKAROUND_SYNONYMS), F.lit("no_workaround"))
-        .otherwise(v)
-    )
+    return F.coalesce(F.try_element_at(_synonym_map(), v), v)
 
 
 def primary_label_target(c: ColumnOrName) -> Column:

@@ -15,6 +15,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -98,11 +99,13 @@ class CountTables:
 def count_terms(docs: DataFrame, spec: DetectorSpec) -> CountTables:
     """Tokenise once; checkpoint ``(doc, term, tf)`` per block."""
     word = FT.term_counts(docs, "doc", FT.word_ngrams(FT.word_tokens("text"), FT.WORD_NGRAM_RANGE[1]))
-    word = cut_lineage(word)
+    word = cut_lineage(word).persist(StorageLevel.MEMORY_AND_DISK)
     char = None
     if spec.char_max_features is not None:
         char = FT.char_wb_term_counts(docs, "doc", "text", *FT.CHAR_NGRAM_RANGE)
-        char = cut_lineage(char)
+        char = cut_lineage(char).persist(StorageLevel.MEMORY_AND_DISK)
+    # k + 1 fits re-read these: keep a deserialised copy (spills to disk), the
+    # checkpoint stays the recovery point if an executor is lost.
     return CountTables(word, char)
 
 

@@ -53,8 +53,15 @@ def _threads(spark, d, dictionary=C.WORKAROUND):
 
 
 def _labelled(spark, d):
-    return A.labelled_with_scores(
-        A.labelled_from_documents(A.table(spark, d, "documents"), A.table(spark, d, "labels")), A.SIGNAL
+    """The labelled annotation table, materialised once like the annotation file it
+    stands for: its cue score is then a stored column, so filters on predictions
+    derived from it never re-run (or duplicate) the regexes."""
+    from threadlens.session import cut_lineage
+
+    return cut_lineage(
+        A.labelled_with_scores(
+            A.labelled_from_documents(A.table(spark, d, "documents"), A.table(spark, d, "labels")), A.SIGNAL
+        )
     )
 
 
