@@ -56,3 +56,22 @@ def test_final_fit_terms_save_score(spark, tmp_dir):
     scored = {r["annotation_id"]: r for r in M.score(loaded, new).collect()}
     assert scored["x1"]["probability"] > scored["x2"]["probability"]
     assert scored["x1"]["prediction"] == "workaround"
+
+
+def test_jobs_end_to_end(spark, tmp_dir):
+    from threadlens import jobs
+
+    lab = corpus(spark).withColumn("heuristic_score", F.when(F.col("thread_text").contains("manually"), F.lit("1")).otherwise(F.lit("0")))
+    base = jobs.train_baseline(lab)
+    m = base.metrics.first()
+    assert m["dataset"]["labeled_records"] == 60 and m["dataset"]["cross_validation_folds"] == 5
+    assert m["correct_predictions"] + m["incorrect_predictions"] == 60
+    assert base.predictions.count() == 60
+    imp = jobs.train_improved(lab, base.metrics)
+    r = imp.metrics.first()
+    assert r["evaluated_records"] == 60 and r["baseline_comparison"]["accuracy"] == m["accuracy"]
+    assert 0.0 <= r["balanced_accuracy"] <= 1.0
+    jobs.write_training(imp, f"{tmp_dir}/improved")
+    assert spark.read.json(f"{tmp_dir}/improved/metrics").count() == 1
+    an = jobs.analyze_errors(imp.predictions, lab)
+    assert an.overview.first()["evaluated_records"] == 60

@@ -28,3 +28,22 @@ def test_issue_and_cue_streams(spark, tmp_dir):
     cues = spark.read.parquet(os.path.join(tmp_dir, "cues")).first()
     assert cues["heuristic_score"] == 2 and cues["matched_patterns"] == "manual_process | forced_action"
     assert ISSUES.fieldNames()[0] == "repository"
+
+
+def test_score_stream(spark, tmp_dir):
+    from tests.test_model import corpus
+    from threadlens.operators import model as M
+    from threadlens.streaming import score_stream
+
+    det = M.fit_detector(corpus(spark), M.BASELINE)
+    M.save_detector(det, os.path.join(tmp_dir, "det"))
+    threads_dir = os.path.join(tmp_dir, "new_threads")
+    spark.createDataFrame(
+        [("x1", "t", "we copy paste into a spreadsheet manually"), ("x2", "t", "segfault null pointer crash")],
+        "annotation_id string, title string, thread_text string",
+    ).write.parquet(threads_dir)
+    schema = spark.read.parquet(threads_dir).schema
+    q = score_stream(spark, os.path.join(tmp_dir, "det"), threads_dir, os.path.join(tmp_dir, "scores"), schema, name=f"scores-{os.path.basename(tmp_dir)}")
+    q.awaitTermination(180)
+    got = {r["annotation_id"]: r["prediction"] for r in spark.read.parquet(os.path.join(tmp_dir, "scores")).collect()}
+    assert got == {"x1": "workaround", "x2": "no_workaround"}

@@ -189,6 +189,13 @@ def metrics_record(
         F.col("precision").alias("workaround_precision"),
         F.col("recall").alias("workaround_recall"),
         F.col("f1").alias("workaround_f1"),
+        F.round(
+            (
+                _div(F.col("true_negatives"), F.col("true_negatives") + F.col("false_positives"))
+                + _div(F.col("true_positives"), F.col("true_positives") + F.col("false_negatives"))
+            ) / 2,
+            4,
+        ).alias("balanced_accuracy"),
         _report_array().alias("classification_report"),
     )
     return rec

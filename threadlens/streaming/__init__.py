@@ -7,7 +7,7 @@ expressions and run unchanged on a ``readStream`` source, and the detector
 shared folder named by ``spark.checkpoint.dir``.
 """
 
-from threadlens.streaming.pipelines import (
+from threadlens.streaming.streams import (
     cue_stream,
     issue_stream,
     score_stream,

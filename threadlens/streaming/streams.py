@@ -1,4 +1,4 @@
-"""Streaming pipelines over landing folders (append-only sources and sinks)."""
+"""Streaming queries over landing folders (append-only sources and sinks)."""
 
 from __future__ import annotations
 
