@@ -194,11 +194,15 @@ def _score_fold(i: int, folds: DataFrame, counts: CountTables, spec: DetectorSpe
     fm = fit_features(counts, train, n_train, spec)
     # One featurisation of all rows with this fold's vocabulary, then split.
     x = featurize(counts, folds, fm).join(folds.select("doc", "fold", "target", "cues"), "doc")
-    x = cut_lineage(x)
+    # Deterministic to recompute (sorted per-document entries), so a cached
+    # copy is enough for the L-BFGS passes; the small score table is the
+    # reliable checkpoint of the fold.
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_classifier(x.filter(F.col("fold") != i), n_train, tpos, tneg, spec)
     xtest = x.filter(F.col("fold") == i)
     scored = probability_of_positive(model.transform(xtest)).select("doc", "fold", "target", "cues", "probability")
     scored = cut_lineage(scored)
+    x.unpersist()
     fm.unpersist()
     return scored
 
