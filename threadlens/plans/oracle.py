@@ -161,7 +161,7 @@ def _():
         f"CASE WHEN regexp_matches(mt, {lit(d.re2_pattern(p))}) THEN {lit(C.CUE_TOKEN_PREFIX + n + ' ' + C.CUE_TOKEN_PREFIX + n)} END"
         for n, p in d.entries
     )
-    return f"""WITH m AS (SELECT doc_id, {mt} AS mt FROM documents WHERE lang = 'en')
+    return f"""WITH m AS (SELECT doc_id, {mt} AS mt FROM documents)
 SELECT doc_id,
        CASE WHEN {cue_score('mt', d)} > 0 THEN mt || {NL} || {NL} || concat_ws(' ', {tokens}) ELSE mt END AS augmented_text,
        {cue_names('mt', d)} AS behavioral_cues
@@ -636,14 +636,14 @@ _WORD_RE2 = r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}"
 
 def _word_counts_cte() -> str:
     return f"""d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{_WORD_RE2}') AS toks
-      FROM documents WHERE lang = 'en'),
+      FROM documents),
 t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM d),
 g AS (SELECT doc_id, tok AS term FROM t
       UNION ALL
       SELECT doc_id, tok || ' ' || nxt FROM (SELECT doc_id, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM t)
       WHERE nxt IS NOT NULL),
 c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
-nd AS (SELECT count(*) AS n FROM documents WHERE lang = 'en')"""
+nd AS (SELECT count(*) AS n FROM documents)"""
 
 
 @sql("document_frequencies")
@@ -669,7 +669,7 @@ def _():
     from threadlens.functions.text import WS_CLASS_RE2
     from threadlens.operators.model import IMPROVED
 
-    return f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents WHERE lang = 'en'),
+    return f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 wd AS (SELECT doc_id, ' ' || x || ' ' AS w FROM (SELECT doc_id, unnest(string_split_regex(t, '{WS_CLASS_RE2}+')) AS x FROM d) WHERE x <> ''),
 s AS (SELECT doc_id, w, length(w) AS l, k FROM wd, (VALUES (3), (4), (5)) sizes(k) WHERE k = 3 OR length(w) > k - 1),
 g AS (SELECT doc_id, w AS term FROM s WHERE l <= k

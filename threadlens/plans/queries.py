@@ -197,7 +197,7 @@ def behaviour_cues_8(spark, d):
 
 @query
 def augmented_text(spark, d):
-    docs = A.table(spark, d, "documents").filter(F.col("lang") == "en")
+    docs = A.table(spark, d, "documents")
     mt = threads.model_text(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), "text")
     t = docs.withColumn("model_text", mt).withColumn("_c", C.BEHAVIOUR8.cue_array("model_text"))
     return t.select(
@@ -586,15 +586,15 @@ def crawl_frontier(spark, d):
 
 
 # -- M1-M4: features -------------------------------------------------------------------
-def _english(spark, d):
-    return A.table(spark, d, "documents").filter(F.col("lang") == "en")
+def _documents(spark, d):
+    return A.table(spark, d, "documents")
 
 
 @query
 def document_frequencies(spark, d):
     from threadlens.operators import features as FT
 
-    docs = _english(spark, d)
+    docs = _documents(spark, d)
     counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text")))
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
@@ -604,7 +604,7 @@ def word_ngram_tfidf(spark, d):
     from threadlens.operators import features as FT
     from threadlens.operators.model import BASELINE
 
-    docs = _english(spark, d)
+    docs = _documents(spark, d)
     n = docs.count()
     counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text")))
     vocab = FT.fit_vocabulary(counts, n, BASELINE.word_max_features, BASELINE.word_max_df)
@@ -620,7 +620,7 @@ def char_vocabulary(spark, d):
     from threadlens.operators import features as FT
     from threadlens.operators.model import IMPROVED
 
-    docs = _english(spark, d)
+    docs = _documents(spark, d)
     n = docs.count()
     counts = FT.char_wb_term_counts(docs, "doc_id", "text")
     vocab = FT.fit_vocabulary(counts, n, IMPROVED.char_max_features)
