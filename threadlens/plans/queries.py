@@ -606,7 +606,8 @@ def word_ngram_tfidf(spark, d):
 
     docs = _documents(spark, d)
     n = docs.count()
-    counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text")))
+    # the vocabulary fit and the weighting both read the counts: tokenise once
+    counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text"))).persist()
     vocab = FT.fit_vocabulary(counts, n, BASELINE.word_max_features, BASELINE.word_max_df)
     entries = FT.tfidf_entries(counts, vocab)
     terms = vocab.table.select("idx", "term")
