@@ -90,6 +90,29 @@ def prepare_documents(labelled: DataFrame, spec: DetectorSpec) -> DataFrame:
     return df
 
 
+def training_set_summary(labelled: DataFrame, spec: DetectorSpec) -> DataFrame:
+    """F2 + F3 + A7: rows considered, rows dropped for empty text, kept rows per class.
+
+    One aggregation pass; the trainers drop the same rows in ``prepare_documents``.
+    """
+    if spec.improved_text:
+        eligible = ~is_blank("primary_label")
+        text = model_text("title", "thread_text")
+        target = primary_label_target("primary_label")
+    else:
+        eligible = lower_clean("has_workaround").isin("yes", "no")
+        text = clean_text("thread_text")
+        target = yes_no_target("has_workaround")
+    kept = eligible & (F.length(text) > 0)
+    return labelled.agg(
+        F.count_if(eligible).alias("considered_records"),
+        F.count_if(eligible & (F.length(text) == 0)).alias("dropped_empty_text"),
+        F.count_if(kept).alias("kept_records"),
+        F.count_if(kept & (target == 1)).alias("workaround_records"),
+        F.count_if(kept & (target == 0)).alias("non_workaround_records"),
+    ).select(F.lit(spec.name).alias("model_name"), "*")
+
+
 @dataclass
 class CountTables:
     word: DataFrame

@@ -680,3 +680,28 @@ nd AS (SELECT count(*) AS n FROM d),
 st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM c GROUP BY term)
 SELECT term, df, total, round(ln((1.0 + nd.n) / (1.0 + df)) + 1.0, 6) AS idf FROM st, nd
 ORDER BY total DESC, term LIMIT {IMPROVED.char_max_features}"""
+
+
+@sql("training_set_summary")
+def _():
+    from threadlens.operators.model import BASELINE, IMPROVED
+
+    def part(name, eligible, text, target):
+        kept = f"({eligible} AND length({text}) > 0)"
+        return (
+            f"SELECT '{name}' AS model_name, count(*) FILTER (WHERE {eligible}) AS considered_records, "
+            f"count(*) FILTER (WHERE {eligible} AND length({text}) = 0) AS dropped_empty_text, "
+            f"count(*) FILTER (WHERE {kept}) AS kept_records, "
+            f"count(*) FILTER (WHERE {kept} AND {target} = 1) AS workaround_records, "
+            f"count(*) FILTER (WHERE {kept} AND {target} = 0) AS non_workaround_records FROM labelled"
+        )
+
+    hw = lower_clean("has_workaround")
+    base = part(BASELINE.name, f"({hw} IN ('yes', 'no'))", strip("thread_text"), f"(CASE WHEN {hw} = 'yes' THEN 1 WHEN {hw} = 'no' THEN 0 END)")
+    imp = part(
+        IMPROVED.name,
+        f"({strip('primary_label')} <> '')",
+        _model_text("title", "thread_text"),
+        f"(CASE WHEN {lower_clean('primary_label')} = 'workaround' THEN 1 ELSE 0 END)",
+    )
+    return f"WITH {labelled_cte(A.SIGNAL)}\n{base}\nUNION ALL\n{imp}"

@@ -628,6 +628,14 @@ def char_vocabulary(spark, d):
     return vocab.table.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
+@query
+def training_set_summary(spark, d):
+    from threadlens.operators import model as M
+
+    lab = _labelled(spark, d)
+    return M.training_set_summary(lab, M.BASELINE).unionByName(M.training_set_summary(lab, M.IMPROVED))
+
+
 # -- M5-M12: detector (rows-only checks: solver and fold details differ by design) ---------
 @query
 def oof_predictions(spark, d):
