@@ -196,3 +196,29 @@ def api_pages_from_conversations(conversations: DataFrame, page_size: int = PAGE
         ).alias("link_header"),
         F.to_json(F.transform("items", lambda s: s["it"])).alias("body_json"),
     )
+
+
+COMMENT_PAGE_SIZE = 3
+
+
+def comment_pages_from_conversations(conversations: DataFrame, page_size: int = COMMENT_PAGE_SIZE) -> DataFrame:
+    """Landed comment-list responses: one row per (discussion, page) of up to
+    ``page_size`` comments in thread order, with the page number."""
+    c = comments_from_conversations(conversations)
+    item = F.struct(
+        F.col("comment_id").alias("id"),
+        F.col("comment_body").alias("body"),
+        F.struct(F.lit("someone").alias("login"), F.col("user_type").alias("type")).alias("user"),
+        F.col("author_association"),
+        F.col("created_at"),
+        F.col("updated_at"),
+        F.col("comment_url").alias("html_url"),
+    )
+    page = ((F.col("position_in_thread") - 1) / page_size).cast("int") + 1
+    grouped = c.withColumn("page_number", page).groupBy("repository", "issue_number", "page_number").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("position_in_thread"), item.alias("it")))).alias("items")
+    )
+    return grouped.select(
+        "repository", "issue_number", "page_number", F.lit(page_size).alias("page_size"),
+        F.to_json(F.transform("items", lambda x: x["it"])).alias("body_json"),
+    )

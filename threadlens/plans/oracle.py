@@ -705,3 +705,10 @@ def _():
         f"(CASE WHEN {lower_clean('primary_label')} = 'workaround' THEN 1 ELSE 0 END)",
     )
     return f"WITH {labelled_cte(A.SIGNAL)}\n{base}\nUNION ALL\n{imp}"
+
+
+@sql("comments_flatten")
+def _():
+    return f"""WITH {comments_cte()}
+SELECT repository, issue_number, comment_id, CAST(position_in_thread AS BIGINT) AS position_in_thread,
+       CAST(comment_length AS BIGINT) AS comment_length, author_association, user_type FROM comments"""

@@ -536,6 +536,18 @@ def newest_per_repo(spark, d):
     return i.select("repository", "issue_number", "created_at")
 
 
+@query
+def comments_flatten(spark, d):
+    pages = A.comment_pages_from_conversations(_conv(spark, d))
+    c = ingest.flatten_comments(pages)
+    return c.select(
+        "repository", "issue_number", "comment_id",
+        F.col("position_in_thread").cast("long").alias("position_in_thread"),
+        F.col("comment_length").cast("long").alias("comment_length"),
+        "author_association", "user_type",
+    )
+
+
 @query
 def comment_positions(spark, d):
     c = ingest.comment_positions(_comments(spark, d).drop("position_in_thread"))
