@@ -712,3 +712,10 @@ def _():
     return f"""WITH {comments_cte()}
 SELECT repository, issue_number, comment_id, CAST(position_in_thread AS BIGINT) AS position_in_thread,
        CAST(comment_length AS BIGINT) AS comment_length, author_association, user_type FROM comments"""
+
+
+@sql("error_overview")
+def _():
+    return _fn_prelude() + """SELECT count(*) AS evaluated_records, count(*) FILTER (WHERE actual = predicted) AS correct_predictions,
+       count(*) FILTER (WHERE actual = 'workaround' AND predicted = 'no_workaround') AS false_negatives,
+       count(*) FILTER (WHERE actual = 'no_workaround' AND predicted = 'workaround') AS false_positives FROM comb"""

@@ -386,6 +386,12 @@ def fn_analysis(spark, d):
     )
 
 
+@query
+def error_overview(spark, d):
+    o = analysis.error_overview(_baseline_predictions(spark, d))
+    return o.select(*[F.col(c).cast("long").alias(c) for c in o.columns])
+
+
 @query
 def fn_cue_counts(spark, d):
     c = analysis.cue_counts(_fn_analysis(spark, d))
