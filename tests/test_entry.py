@@ -10,6 +10,7 @@ FAST = [
     "normalized_text", "thread_cues", "top_cue_threads", "behaviour_cues_8", "annotation_sample", "stratified_folds",
     "validation_findings", "label_upsert", "classification_report", "fn_analysis", "audit_summary", "opportunity_scores",
     "kpis", "facets", "issues_flatten", "issues_nested", "crawl_links", "word_ngram_tfidf",
+    "training_set_summary", "comments_flatten", "error_overview",
 ]
 
 
