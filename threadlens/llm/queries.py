@@ -42,6 +42,26 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.language_id import fit, in_training, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs.select("doc_id", "text"), fit(docs)).select(
+        "doc_id",
+        F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.decontaminate import annotate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return annotate(docs, _table(spark, sf_dir, "benchmark"), keep_text=False).select("doc_id", "decon.*")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadlens.llm.exact_dedup import exact_dedup
 
@@ -62,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_filter,
         op2_line_dedup,
+        op5_language_id,
+        op6_decontaminate,
         op7_exact_dedup,
         op10_token_ids,
     )

@@ -79,8 +79,8 @@ class Chunk:
         return self.data[self.docs[i] : self.docs[i + 1]].tobytes()
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Whole documents in chunks of about ``limit`` bytes; null counts as empty."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[Chunk]:
+    """Whole documents in chunks of about ``limit`` bytes and at most ``rows``; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -95,7 +95,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     first = 0
     while first < len(column):
         last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last, first + 1), first + rows, len(column))
         yield Chunk(first, last, raw[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
         first = last
 
@@ -137,3 +137,8 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
         out ^= out >> np.uint64(32)
     return mix(out)
+
+
+def doc_numbers(offsets: np.ndarray) -> np.ndarray:
+    """Document of each word, from the documents' word offsets."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
