@@ -76,6 +76,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, keep_text=False).select("doc_id", "quality_check.*")
 
 
+def op9_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from threadlens.llm.sample_pieces import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return decode(pieces, path).select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("piece_ids", ",").cast("binary")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_decontaminate,
         op7_exact_dedup,
         op8_quality,
+        op9_sample_pieces,
         op10_token_ids,
     )
 }

@@ -37,8 +37,9 @@ def _byte_values(lower: bool) -> np.ndarray:
     return values
 
 
-#: Byte values with A-Z read as a-z.
+#: Byte values with A-Z read as a-z, and as they are.
 VALUES = _byte_values(lower=True)
+CASED = _byte_values(lower=False)
 #: [^\x20\x09-\x0D]+
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -120,13 +121,21 @@ def words(chunk: Chunk, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, chunk.docs)
 
 
+class Spans:
+    """64-bit hashes of byte ranges of one array."""
+
+    def __init__(self, data: np.ndarray, values: np.ndarray = VALUES):
+        power, self.inverse = _power_tables(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words' bytes with A-Z lowered."""
-    n = len(chunk.data)
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(VALUES[chunk.data] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return Spans(chunk.data).hashes(starts, ends)
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
