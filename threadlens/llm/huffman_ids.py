@@ -15,8 +15,10 @@ then the bit stream, all but the stream little-endian.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadlens.llm import textnum
 from threadlens.llm.staging import stage, stage_path, unstage
 
 MAX_BITS = 16
@@ -32,8 +35,8 @@ LANE = 64
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 22
 MAGIC = b"THF1"
-#: Cached words of a Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Cached pieces of a Python worker; beyond it the cache starts anew.
+CACHE_PIECES = 1_000_000
 
 
 # --- codes -----------------------------------------------------------------
@@ -128,77 +131,95 @@ def decode_block(payload: bytes, tables: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 # --- tokenising --------------------------------------------------------------
 
-class _Words(dict):
-    """Word -> row of its ids; words not seen before are queued."""
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OTHER = ~_LETTER & (np.arange(256) < 128)
+_APOSTROPHE = 0x27
+
+
+def pieces(chunk: textnum.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all pieces, and offsets of each document's pieces.
+
+    Texts are cut where no token can span for a tokenizer that drops white
+    space, lowers case and splits letters from other characters: at ASCII
+    white space and between an ASCII letter and another ASCII character
+    (but not after an apostrophe, which may start a contraction). Encoding the
+    pieces one by one thus gives the ids of the whole text.
+    """
+    data = chunk.data
+    inside = textnum.NOT_SPACE[data]
+    letter, other = _LETTER[data], _OTHER[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[chunk.docs] = True
+    if len(data):
+        cut[0] = cut[-1] = True
+        cut[1:-1] |= (letter[:-1] & other[1:]) | (other[:-1] & letter[1:] & (data[:-1] != _APOSTROPHE))
+        cut[1:-1] |= inside[1:] != inside[:-1]
+    starts = np.flatnonzero(inside & cut[:-1])
+    ends = np.flatnonzero(inside & cut[1:]) + 1
+    return starts, ends, np.searchsorted(starts, chunk.docs)
+
+
+class _Pieces:
+    """Ids of the pieces seen, by the 64-bit hash of their lowered bytes."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.queue = tokenizer, []
-        self.flat, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        self.queue.append(word)
-        return row
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and offsets of each word's ids."""
-        if self.queue:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.queue, add_special_tokens=False)]
+        self.tokenizer = tokenizer
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, chunk: textnum.Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the given pieces, and the running number of ids."""
+        hashes, first, group = np.unique(textnum.word_hashes(chunk, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != hashes
+        if new.any():
+            data = chunk.data.tobytes()
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-            self.flat.append(flat)
-            self.ends.append(self.ends[-1][-1] + np.cumsum(sizes))
-            self.queue = []
-        if len(self.flat) > 1:
-            self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
-        return self.flat[0], self.ends[0]
+            rows = len(self.ends) - 1 + np.arange(len(found))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.keys, self.rows = np.insert(self.keys, at[new], hashes[new]), np.insert(self.rows, at[new], rows)
+            at = np.searchsorted(self.keys, hashes)
+        rows = self.rows[at][group]
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        total = np.cumsum(sizes)
+        n = int(total[-1]) if len(total) else 0
+        return self.flat[np.arange(n) + np.repeat(self.ends[rows] - (total - sizes), sizes)], total
 
 
-_caches: dict[str, _Words] = {}
+_caches: dict[str, _Pieces] = {}
 
 
-def _worker_cache(path: str) -> _Words:
+def _worker_cache(path: str) -> _Pieces:
     """The cache outlives a task, as Spark reuses its Python workers."""
     cache = _caches.get(path)
-    if cache is None or len(cache) > CACHE_WORDS:
-        import os
-
+    if cache is None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        cache = _caches[path] = _Words(cache.tokenizer if cache else Tokenizer.from_file(path))
+        cache = _caches[path] = _Pieces(Tokenizer.from_file(path))
+    elif len(cache.keys) > CACHE_PIECES:
+        cache = _caches[path] = _Pieces(cache.tokenizer)
     return cache
 
 
-def _gather(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenated ids of the given words, and the running number of ids."""
-    sizes = ends[rows + 1] - ends[rows]
-    total = np.cumsum(sizes)
-    at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(ends[rows] - (total - sizes), sizes)
-    return flat[at], total
-
-
 def _tokenise(path: str, end_id: int, kind: str):
-    """Words are cut at spaces and line feeds: the tokenizer's own normaliser
-    and splitter treat both as white space that no token spans, so encoding
-    the words one by one gives the ids of the whole text."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                cache = _worker_cache(path)
-                rows, sizes = [], []
-                for text in part.column(1).to_pylist():
-                    found = (text or "").replace("\n", " ").split(" ")
-                    rows.append(np.fromiter(map(cache.__getitem__, found), np.int64, len(found)))
-                    sizes.append(len(found))
-                ids, total = _gather(*cache.tables(), np.concatenate(rows))
-                ends = np.concatenate([[0], total[np.cumsum(sizes) - 1]])
-                out = [np.append(ids[a:b], end_id).astype(kind) for a, b in zip(ends[:-1], ends[1:])]
+            for chunk in textnum.chunks(batch.column(1)):
+                starts, ends, offsets = pieces(chunk)
+                ids, total = _worker_cache(path).encode(chunk, starts, ends)
+                cuts = np.concatenate([[0], total])[offsets]
+                ids = np.insert(ids, cuts[1:], end_id).astype(kind)
+                cuts += np.arange(len(cuts))
+                out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([len(x) for x in out], pa.int64())],
+                    [batch.column(0).slice(chunk.first, len(out)), pa.array(out, pa.binary()), pa.array(np.diff(cuts))],
                     ["doc_id", "ids", "n"],
                 )
 
