@@ -42,6 +42,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.near_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents")).drop("t1", "t2")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadlens.llm.language_id import fit, in_training, predict
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_filter,
         op2_line_dedup,
+        op3_near_dedup,
         op5_language_id,
         op6_decontaminate,
         op7_exact_dedup,
