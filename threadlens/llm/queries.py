@@ -48,6 +48,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).drop("t1", "t2")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from threadlens.llm.language_id import fit, in_training, predict
 
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_url_filter,
         op2_line_dedup,
         op3_near_dedup,
+        op4_suffix_dedup,
         op5_language_id,
         op6_decontaminate,
         op7_exact_dedup,
