@@ -1,7 +1,87 @@
-"""Stages are added as their operators land."""
-STAGES = []
+"""Corpus preparation: five stages from raw documents to sampled token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's ``docs``. All but the last return
+the columns of ``documents``.
+
+1. quality       documents that the quality classifier rejects go
+2. lines         boilerplate lines of a source go; ``n_chars`` follows the text
+3. near_dups     one document of each near-duplicate group stays
+4. benchmark     documents contaminated by a benchmark go
+5. pieces        sampled SentencePiece ids, decoded again to prove the round trip
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadlens.llm import decontaminate, line_dedup, near_dedup, quality, sample_pieces
+from threadlens.llm.staging import stage
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fits the classifier on these documents and their labels; null texts are scored as empty."""
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).filter("quality_check.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose lines all go stay, with an empty text; a null text stays null."""
+    cleaned = line_dedup.line_dedup(docs, site_col="source")
+    count = docs.schema["n_chars"].dataType
+    return cleaned.withColumn("n_chars", F.length("text").cast(count)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group the smallest doc_id stays; texts without words are no group."""
+    judged = near_dedup.near_dedup(docs)
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(text, F.lit(1)) == F.col("__t2"))
+    return docs.join(stage(gone, "near-copies"), match, "left_anti")
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated: the hit words are 5 % of the document's words or more."""
+    judged = decontaminate.annotate(docs, _table(spark, sf_dir, "benchmark"))
+    return judged.filter("not decon.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece_ids (null for a null text), n_pieces, and whether decoding gave the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = sample_pieces.encode(docs.select("doc_id", "text"), path)
+    return sample_pieces.decode(rows, path).select(
+        "doc_id",
+        "piece_ids",
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", lines_stage),
+    ("near_dups", near_dups_stage),
+    ("benchmark", benchmark_stage),
+    ("pieces", pieces_stage),
+]
+
+#: The classifier, the sketches and the sampler have no SQL; tests hold the
+#: stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is a table in the shared folder."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

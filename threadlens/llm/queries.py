@@ -97,7 +97,7 @@ def op9_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return decode(pieces, path).select(
         "doc_id",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
         F.crc32(F.array_join("piece_ids", ",").cast("binary")).alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
