@@ -119,6 +119,15 @@ def cue_names(cues: ColumnOrName, sep: str = LIST_SEPARATOR) -> Column:
     return F.array_join(col_(cues), sep)
 
 
+def with_cue_array(df, text: str, dictionary: CueDictionary, out: str):
+    """Add the cue array as a generator's output, so that the regexes run once per row.
+
+    A filter or a second use of a plain column would inline the whole cue
+    expression again; what a generator makes stays a value.
+    """
+    return df.select("*", F.explode(F.array(dictionary.cue_array(text))).alias(out))
+
+
 def with_cues(df, text: str, dictionary: CueDictionary, prefix: str):
     """Add ``<prefix>_cues`` (array), ``<prefix>_score`` and ``<prefix>_names``."""
     arr = f"{prefix}_cues"

@@ -48,11 +48,12 @@ class DetectorSpec:
     augment: CueDictionary | None = None
     improved_text: bool = False  # title-prefixed model text + primary-label target
     tol: float = 1e-4  # the reference classifiers' default tolerance
+    min_rows: int = 0  # fewer labelled rows than this are refused
     extra: dict = field(default_factory=dict)
 
 
 # --- fixed values: the two published detector configurations --------------------------
-BASELINE = DetectorSpec("tfidf_logistic_regression", 5000, 0.95, None, 1.0)
+BASELINE = DetectorSpec("tfidf_logistic_regression", 5000, 0.95, None, 1.0, min_rows=10)
 IMPROVED = DetectorSpec(
     "balanced_word_character_tfidf_logistic_regression", 12000, None, 12000, 1.5,
     augment=BEHAVIOUR8, improved_text=True,
@@ -316,7 +317,7 @@ def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int =
 
     docs = prepare_documents(labelled, spec)
     docs = cut_lineage(docs)
-    neg, pos, k = class_guard(docs, "target")
+    neg, pos, k = class_guard(docs, "target", spec.min_rows)
     folds = cut_lineage(stratified_folds(docs, "target", k, key="doc", seed=seed))
     counts = count_terms(docs, spec)
     # k x 2 class counts in one small aggregate (bounded: folds x classes rows)
@@ -383,7 +384,7 @@ class Detector:
 def fit_detector(labelled: DataFrame, spec: DetectorSpec = IMPROVED) -> Detector:
     """M7: final fit on every labelled row."""
     docs = cut_lineage(prepare_documents(labelled, spec))
-    neg, pos, _ = class_guard(docs, "target")
+    neg, pos, _ = class_guard(docs, "target", spec.min_rows)
     counts = count_terms(docs, spec)
     fm = fit_features(counts, docs, pos + neg, spec)
     x = featurize(counts, docs, fm).join(docs.select("doc", "target"), "doc")

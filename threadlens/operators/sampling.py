@@ -44,8 +44,10 @@ def sequence_number(
     Rows are range-partitioned and sorted by ``group + order`` (which must be a
     total order; entries may carry a sort direction), a local index comes from
     ``monotonically_increasing_id``, and
-    each (partition, group) gets its offset from a tiny count table (one row
-    per partition and group — broadcast, size bounded by partitions x groups).
+    each (partition, group) gets its offset from a count table (one row per
+    partition and group). The table is joined by key, so Spark broadcasts it
+    only if it is small; with many groups it is as long as the group list.
+    Pass narrow rows: they are checkpointed once.
     """
     keys = [*group, *order]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -62,7 +64,10 @@ def sequence_number(
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("_n")
-    joined = ranged.join(F.broadcast(offsets), ["_pid", *group])
+    if group:
+        joined = ranged.join(offsets, ["_pid", *group])
+    else:  # one row per partition
+        joined = ranged.join(F.broadcast(offsets), ["_pid"])
     return joined.withColumn(out, (F.col("_off") + F.col("_loc") - F.col("_first") + 1).cast("long")).drop(
         "_pid", "_loc", "_off", "_first"
     )
@@ -95,17 +100,17 @@ def stratified_sample(
     n = min(sample_size, rows); the signal target is ``round(share * n)``
     (Python half-even) capped by the pool, the comparison pool fills the rest,
     and any shortfall is topped up from unused rows. Only one small count row
-    reaches the driver. Output carries ``_shuffle`` (final order key).
+    reaches the driver. Output: key, score and ``_shuffle`` (final order key);
+    ``fetch_threads`` brings the other columns.
     """
     if sample_size < 1:
         raise ValueError("Sample size must be at least 1.")
     key = list(key)
     order_key = hash_order(key, seed)
-    # The pools, the count and the top-up all read the scored threads:
-    # materialise them once in the shared checkpoint folder instead of
-    # re-running thread assembly and the cue regexes for every branch.
-    threads = cut_lineage(threads)
-    counts = threads.agg(
+    # The pools, the count and the top-up read keys and scores alone: these narrow
+    # rows are materialised once, the sampled keys then fetch their threads.
+    scored = cut_lineage(threads.select(*key, score, order_key.alias("_sample_order")))
+    counts = scored.agg(
         F.count("*").alias("total"),
         F.count_if(F.col(score) > 0).alias("signals"),
         F.count_if(F.col(score) == 0).alias("ordinary"),
@@ -113,7 +118,7 @@ def stratified_sample(
     n = min(sample_size, counts["total"])
     signal_target = min(counts["signals"], round(n * signal_share))
     comparison_target = min(counts["ordinary"], n - signal_target)
-    withkey = threads.withColumn("_sample_order", order_key)
+    withkey = scored
     parts = []
     if signal_target:
         parts.append(top_k(withkey.filter(F.col(score) > 0), ["_sample_order", *key], signal_target))
@@ -129,6 +134,13 @@ def stratified_sample(
     return selected.withColumn("_shuffle", hash_order(key, seed, "shuffle")).drop("_sample_order")
 
 
+def fetch_threads(sample: DataFrame, threads: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """The threads of sampled keys, with the sample's own columns beside theirs."""
+    keep = [c for c in threads.columns if c in key or c not in sample.columns]
+    held = F.broadcast(sample) if rows <= TAKE_ORDERED_MAX else sample
+    return threads.select(*keep).join(held, list(key))
+
+
 def number_sample(sample: DataFrame, key: Sequence[str], prefix: str = ANNOTATION_ID_PREFIX) -> DataFrame:
     """W2 + T18: ids ``NS-0001``... in the sample's shuffled order."""
     numbered = sequence_number(sample, ["_shuffle", *key], out="_seq")
@@ -137,8 +149,9 @@ def number_sample(sample: DataFrame, key: Sequence[str], prefix: str = ANNOTATIO
 
 def annotation_batch(threads: DataFrame, sample_size: int, seed: int = DEFAULT_SEED) -> DataFrame:
     """P1 tail: sample, number, add blank label columns (Q5), project (Q2)."""
-    sample = stratified_sample(threads, sample_size, seed=seed)
-    numbered = number_sample(sample, ["repository", "issue_number"])
+    key = ["repository", "issue_number"]
+    numbered = number_sample(stratified_sample(threads, sample_size, seed=seed), key)
+    numbered = fetch_threads(numbered, threads, key, sample_size)
     numbered = numbered.withColumns({c: F.lit("") for c in LABEL_COLUMNS})
     return existing(numbered, ANNOTATION_COLUMNS)
 
@@ -153,10 +166,13 @@ def stratified_folds(
 ) -> DataFrame:
     """Within each class, rows in hash order are dealt round-robin to k folds.
 
-    Class sizes per fold differ by at most one, like a stratified k-fold.
+    Class sizes per fold differ by at most one, like a stratified k-fold. Only
+    ``(key, target)`` is numbered; rows that repeat both share a fold.
     """
-    ranked = sequence_number(df.withColumn("_fold_order", hash_order([key], seed)), ["_fold_order", key], [target], "_r")
-    return ranked.withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_fold_order", "_r")
+    keys = df.select(key, target).distinct().withColumn("_fold_order", hash_order([key], seed))
+    ranked = sequence_number(keys, ["_fold_order", key], [target], "_r")
+    folds = ranked.select(F.col(key).alias("_k"), F.col(target).alias("_t"), ((F.col("_r") - 1) % k).cast("int").alias(out))
+    return df.join(folds, F.col(key).eqNullSafe(F.col("_k")) & F.col(target).eqNullSafe(F.col("_t"))).drop("_k", "_t")
 
 
 def unlabelled_queue(annotations: DataFrame, limit: int | None = None, order: str = "annotation_id") -> DataFrame:

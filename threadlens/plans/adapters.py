@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.functions.cues import CueDictionary
+from threadlens.functions.cues import CueDictionary, with_cue_array
 
 # --- fixed values (adapter conventions) -----------------------------------------
 URL_ROOT = "https://issues.example.org/"
 EPOCH_DATE = "2024-01-01"
 PAGE_SIZE = 10
+EMPTY_EVERY = 61
+COST_PHRASES = ["", " takes time", " is a manual step", " may break", " is confusing", " wastes time with risk"]
+FLAW_EVERY = 40
 # Cue words that do occur in the synthetic prose (the default dictionaries are
 # built for real issue threads and hardly match invented text).
 CORPUS_CUES = [
@@ -94,6 +97,7 @@ def comments_from_conversations(conversations: DataFrame) -> DataFrame:
         F.col("turn").cast("int").alias("position_in_thread"),
         body.alias("comment_body"),
         F.length(body).alias("comment_length"),
+        F.concat(F.lit("user-"), F.col("role")).alias("author"),
         F.when(F.col("role") == "assistant", F.lit("MEMBER")).otherwise(F.lit("NONE")).alias("author_association"),
         F.when(F.col("role") == "system", F.lit("Bot")).otherwise(F.lit("User")).alias("user_type"),
         _created_at(cid).alias("created_at"),
@@ -116,10 +120,14 @@ def labelled_from_documents(documents: DataFrame, labels: DataFrame) -> DataFram
     label = F.lit(None).cast("string")
     for q, t, name in LABEL_RULE:
         label = F.when((F.col("quality") == q) & (F.col("toxic") == t), F.lit(name)).otherwise(label)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    # Every EMPTY_EVERY-th discussion lost its text (trainers must drop it).
+    text = F.when(F.col("doc_id") % EMPTY_EVERY == 5, F.lit("")).otherwise(F.coalesce(F.col("text"), F.lit("")))
     is_w = label == "workaround"
     fields = ["user_goal", "obstacle", "workaround", "human_cost", "underlying_need", "evidence_quote"]
-    field_cols = [F.when(is_w, _line(text, i + 2)).otherwise(F.lit("")).alias(f) for i, f in enumerate(fields)]
+    # The invented lines never name a cost: append a phrase to most of them.
+    phrase = F.element_at(F.array(*[F.lit(x) for x in COST_PHRASES]), (F.col("doc_id") % len(COST_PHRASES) + 1).cast("int"))
+    cost = lambda i, f: F.when(_line(text, i) == "", F.lit("")).otherwise(F.concat(_line(text, i), phrase)) if f == "human_cost" else _line(text, i)
+    field_cols = [F.when(is_w, cost(i + 2, f)).otherwise(F.lit("")).alias(f) for i, f in enumerate(fields)]
     n = F.col("n_chars")
     return documents.join(labels, "doc_id").select(
         F.format_string("NS-%04d", F.col("doc_id") + 1).alias("annotation_id"),
@@ -139,10 +147,26 @@ def labelled_from_documents(documents: DataFrame, labels: DataFrame) -> DataFram
     )
 
 
+def flawed(labelled: DataFrame) -> DataFrame:
+    """The labelled table with rows of every kind that validation must flag: a
+    repeated id, an unknown label, a wrong and a blank confidence, and yes/no
+    answers that contradict the label."""
+    nth = lambda k: labelled.filter(F.col("issue_number") % FLAW_EVERY == k)
+    renamed = lambda df, mark: df.withColumn("annotation_id", F.concat("annotation_id", F.lit(mark)))
+    flip = F.when(F.col("has_workaround") == "yes", F.lit("no")).otherwise(F.lit("yes"))
+    return (
+        labelled.unionByName(nth(0))
+        .unionByName(renamed(nth(1), "-l").withColumn("primary_label", F.lit(" Mystery ")))
+        .unionByName(renamed(nth(2), "-c").withColumn("confidence", F.lit("certain")))
+        .unionByName(renamed(nth(3), "-b").withColumn("confidence", F.lit(" ")))
+        .unionByName(renamed(nth(4), "-y").withColumn("has_workaround", flip))
+        .unionByName(renamed(labelled.filter("has_workaround = 'yes'"), "-w").withColumn("has_workaround", F.lit("no")))
+    )
+
+
 def labelled_with_scores(labelled: DataFrame, dictionary: CueDictionary = SIGNAL) -> DataFrame:
     """Fill ``heuristic_score`` / ``matched_patterns`` from a cue dictionary."""
-    arr = dictionary.cue_array("thread_text")
-    return labelled.withColumn("_c", arr).withColumns(
+    return with_cue_array(labelled, "thread_text", dictionary, "_c").withColumns(
         {
             "heuristic_score": F.size("_c").cast("string"),
             "matched_patterns": F.array_join("_c", " | "),
@@ -183,7 +207,7 @@ def api_pages_from_conversations(conversations: DataFrame, page_size: int = PAGE
     )
     last = issues.withColumn("page", page).groupBy("repository").agg(F.max("page").alias("last_page"))
     base = F.concat(F.lit("https://api.example.org/repos/"), F.col("repository"), F.lit("/issues?page="))
-    return grouped.join(last, "repository").select(
+    pages = grouped.join(last, "repository").select(
         F.col("repository"),
         F.concat(base, F.col("page").cast("string")).alias("url"),
         F.lit(200).alias("status"),
@@ -195,7 +219,19 @@ def api_pages_from_conversations(conversations: DataFrame, page_size: int = PAGE
             ),
         ).alias("link_header"),
         F.to_json(F.transform("items", lambda s: s["it"])).alias("body_json"),
+        F.col("page").alias("_page"),
     )
+    return _with_faults(pages, "url", F.col("_page")).drop("_page")
+
+
+def _with_faults(pages: DataFrame, name: str | None, number: F.Column) -> DataFrame:
+    """Every third page is also landed twice badly before: once refused (its
+    body a list all the same), once as an object instead of a list."""
+    bad = pages.filter(number % 3 == 0)
+    mark = lambda df, x: df.withColumn(name, F.concat(name, F.lit(x))) if name else df
+    refused = mark(bad.withColumn("status", F.lit(403)), "&try=1")
+    odd = mark(bad.withColumn("body_json", F.lit('{"message": "try again"}')), "&try=2")
+    return pages.unionByName(refused).unionByName(odd)
 
 
 COMMENT_PAGE_SIZE = 3
@@ -208,7 +244,7 @@ def comment_pages_from_conversations(conversations: DataFrame, page_size: int =
     item = F.struct(
         F.col("comment_id").alias("id"),
         F.col("comment_body").alias("body"),
-        F.struct(F.lit("someone").alias("login"), F.col("user_type").alias("type")).alias("user"),
+        F.struct(F.col("author").alias("login"), F.col("user_type").alias("type")).alias("user"),
         F.col("author_association"),
         F.col("created_at"),
         F.col("updated_at"),
@@ -218,7 +254,8 @@ def comment_pages_from_conversations(conversations: DataFrame, page_size: int =
     grouped = c.withColumn("page_number", page).groupBy("repository", "issue_number", "page_number").agg(
         F.array_sort(F.collect_list(F.struct(F.col("position_in_thread"), item.alias("it")))).alias("items")
     )
-    return grouped.select(
-        "repository", "issue_number", "page_number", F.lit(page_size).alias("page_size"),
+    pages = grouped.select(
+        "repository", "issue_number", "page_number", F.lit(page_size).alias("page_size"), F.lit(200).alias("status"),
         F.to_json(F.transform("items", lambda x: x["it"])).alias("body_json"),
     )
+    return _with_faults(pages, None, F.col("page_number"))

@@ -255,13 +255,22 @@ def _():
         *[f"CASE WHEN {valid} AND {isw} AND {strip(f)} = '' THEN 'Workaround record is missing {f}' END" for f in S.WORKAROUND_FIELDS],
         f"CASE WHEN {valid} AND NOT {isw} AND {hw} <> 'no' THEN 'Non-workaround label must have has_workaround=no' END",
     ]
-    return f"""WITH {labelled_cte(A.SIGNAL)}
+    nth = f"FROM labelled WHERE issue_number % {A.FLAW_EVERY} ="
+    return f"""WITH {labelled_cte(A.SIGNAL)},
+flawed AS (
+  SELECT * FROM labelled
+  UNION ALL SELECT * {nth} 0
+  UNION ALL SELECT * REPLACE (annotation_id || '-l' AS annotation_id, ' Mystery ' AS primary_label) {nth} 1
+  UNION ALL SELECT * REPLACE (annotation_id || '-c' AS annotation_id, 'certain' AS confidence) {nth} 2
+  UNION ALL SELECT * REPLACE (annotation_id || '-b' AS annotation_id, ' ' AS confidence) {nth} 3
+  UNION ALL SELECT * REPLACE (annotation_id || '-y' AS annotation_id, CASE WHEN has_workaround = 'yes' THEN 'no' ELSE 'yes' END AS has_workaround) {nth} 4
+  UNION ALL SELECT * REPLACE (annotation_id || '-w' AS annotation_id, 'no' AS has_workaround) FROM labelled WHERE has_workaround = 'yes')
 SELECT annotation_id, problem FROM (
   SELECT {strip('annotation_id')} AS annotation_id, unnest([{', '.join(msgs)}]) AS problem
-  FROM labelled WHERE {label} <> '') WHERE problem IS NOT NULL
+  FROM flawed WHERE {label} <> '') WHERE problem IS NOT NULL
 UNION ALL
-SELECT {strip('annotation_id')} AS annotation_id, 'Duplicate annotation_id' AS problem FROM labelled
-WHERE annotation_id IN (SELECT annotation_id FROM labelled GROUP BY annotation_id HAVING count(*) > 1)"""
+SELECT {strip('annotation_id')} AS annotation_id, 'Duplicate annotation_id' AS problem FROM flawed
+WHERE annotation_id IN (SELECT annotation_id FROM flawed GROUP BY annotation_id HAVING count(*) > 1)"""
 
 
 @sql("duplicate_ids")
@@ -537,7 +546,7 @@ WHERE value <> ''"""
 def _():
     cols = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ["title", "user_goal", "obstacle", "workaround", "human_cost", "underlying_need"])
     return _opp_prelude() + f"""SELECT annotation_id, opportunity_score FROM opp
-WHERE lower(confidence) = 'high' AND regexp_matches(concat_ws(' ', {cols}), '(?i)the')"""
+WHERE lower(confidence) = 'medium' AND contains(lower(cost_type), 'time') AND regexp_matches(concat_ws(' ', {cols}), '(?i)the')"""
 
 
 @sql("record_filter")
@@ -596,32 +605,55 @@ WHERE rn <= {Q.COMMENT_CAP}"""
 @sql("richest_issues")
 def _():
     return _pages_prelude() + """SELECT repository, issue_number, CAST(coalesce(comments_count, 0) AS BIGINT) AS comments_count FROM flat
-WHERE coalesce(comments_count, 0) > 0 ORDER BY comments_count DESC, issue_number LIMIT 25"""
+WHERE coalesce(comments_count, 0) > 0 ORDER BY comments_count DESC, issue_number, repository LIMIT 25"""
 
 
 @sql("issues_nested")
 def _():
     return _pages_prelude() + f""",
-cm AS (SELECT repository, issue_number, position_in_thread, comment_id, comment_body,
-              row_number() OVER (PARTITION BY repository, issue_number ORDER BY position_in_thread, comment_id) AS rn FROM comments),
+cm AS (SELECT *, '{A.URL_ROOT}' || repository || '/' || CAST(issue_number AS VARCHAR) || '#c' || CAST(position_in_thread AS VARCHAR) AS comment_url FROM comments),
 agg AS (SELECT repository, issue_number, count(*) AS n,
+               string_agg(author, ',' ORDER BY position_in_thread, comment_id) AS authors,
+               string_agg(CAST(comment_id AS VARCHAR), ',' ORDER BY position_in_thread, comment_id) AS ids,
+               string_agg(CAST(position_in_thread AS VARCHAR), ',' ORDER BY position_in_thread, comment_id) AS places,
+               string_agg(author_association || '/' || created_at || '/' || created_at || '/' || comment_url, ',' ORDER BY position_in_thread, comment_id) AS meta,
                string_agg(CASE WHEN {strip('comment_body')} <> '' THEN {strip('comment_body')} END, {NL} || {NL} ORDER BY position_in_thread, comment_id) AS txt
-        FROM cm WHERE rn <= 40 GROUP BY repository, issue_number)
+        FROM cm GROUP BY repository, issue_number)
 SELECT f.repository AS repo, f.issue_number, f.labels, CAST(f.comments_count AS BIGINT) AS comment_count,
        CAST(f.comments_count AS BIGINT) AS reaction_count,
        CAST(CASE WHEN f.comments_count > 0 THEN coalesce(a.n, 0) ELSE 0 END AS BIGINT) AS n_comments,
+       CASE WHEN f.comments_count > 0 THEN coalesce(a.authors, '') ELSE '' END AS authors,
+       CASE WHEN f.comments_count > 0 THEN coalesce(a.ids, '') ELSE '' END AS comment_ids,
+       CASE WHEN f.comments_count > 0 THEN coalesce(a.places, '') ELSE '' END AS positions,
+       CASE WHEN f.comments_count > 0 THEN coalesce(a.meta, '') ELSE '' END AS comment_meta,
        CASE WHEN f.comments_count > 0 THEN coalesce(a.txt, '') ELSE '' END AS comments_text
 FROM flat f LEFT JOIN agg a ON f.repository = a.repository AND f.issue_number = a.issue_number"""
 
 
 @sql("payload_quarantine")
 def _():
-    return _pages_prelude() + "SELECT repository, url, 'status ' || CAST(status AS VARCHAR) AS reason FROM pages WHERE status <> 200"
+    return _pages_prelude() + """SELECT repository, url || '&try=1' AS url, 'status 403' AS reason FROM pages WHERE page % 3 = 0
+UNION ALL SELECT repository, url || '&try=2', 'unexpected response format' FROM pages WHERE page % 3 = 0"""
+
+
+@sql("comment_quarantine")
+def _():
+    return f"""WITH {comments_cte()},
+pg AS (SELECT DISTINCT repository, issue_number, CAST((position_in_thread - 1) // {A.COMMENT_PAGE_SIZE} + 1 AS INTEGER) AS page_number FROM comments)
+SELECT repository, issue_number, page_number, unnest(['status 403', 'unexpected response format']) AS reason FROM pg WHERE page_number % 3 = 0"""
+
+
+@sql("updated_per_repo")
+def _():
+    return _pages_prelude() + """SELECT repository, issue_number, updated_at FROM (
+  SELECT *, created_at AS updated_at, row_number() OVER (PARTITION BY repository ORDER BY created_at DESC NULLS LAST, issue_number DESC) AS rn FROM flat)
+WHERE rn <= 175"""
 
 
 @sql("crawl_links")
 def _():
-    return _pages_prelude() + "SELECT repository, url, next_url FROM pages"
+    return _pages_prelude() + """SELECT repository, url, next_url FROM pages
+UNION ALL SELECT repository, url || unnest(['&try=1', '&try=2']), next_url FROM pages WHERE page % 3 = 0"""
 
 
 @sql("crawl_frontier")
@@ -711,7 +743,7 @@ def _():
 def _():
     return f"""WITH {comments_cte()}
 SELECT repository, issue_number, comment_id, CAST(position_in_thread AS BIGINT) AS position_in_thread,
-       CAST(comment_length AS BIGINT) AS comment_length, author_association, user_type FROM comments"""
+       CAST(comment_length AS BIGINT) AS comment_length, author, author_association, user_type FROM comments"""
 
 
 @sql("error_overview")

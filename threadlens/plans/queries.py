@@ -53,20 +53,18 @@ def _threads(spark, d, dictionary=C.WORKAROUND):
 
 
 def _labelled(spark, d):
-    """The labelled annotation table, materialised once like the annotation file it
-    stands for: its cue score is then a stored column, so filters on predictions
-    derived from it never re-run (or duplicate) the regexes."""
-    from threadlens.session import cut_lineage
-
-    return cut_lineage(
-        A.labelled_with_scores(
-            A.labelled_from_documents(A.table(spark, d, "documents"), A.table(spark, d, "labels")), A.SIGNAL
-        )
-    )
+    """The labelled annotation table without its cue score: queries that count
+    labels or check fields read neither the text nor run a regex."""
+    return A.labelled_from_documents(A.table(spark, d, "documents"), A.table(spark, d, "labels"))
+
+
+def _scored(spark, d):
+    """The same with the keyword detector's score and patterns."""
+    return A.labelled_with_scores(_labelled(spark, d), A.SIGNAL)
 
 
 def _keyword_preds(spark, d):
-    lab = _labelled(spark, d).withColumn("target", T.primary_label_target("primary_label"))
+    lab = _scored(spark, d).withColumn("target", T.primary_label_target("primary_label"))
     return evaluate.keyword_predictions(lab)
 
 
@@ -288,7 +286,7 @@ def label_upsert(spark, d):
 
 @query
 def validation_findings(spark, d):
-    return annotate.validation_findings(_labelled(spark, d))
+    return annotate.validation_findings(A.flawed(_labelled(spark, d)))
 
 
 @query
@@ -305,7 +303,7 @@ def label_counts(spark, d):
 
 @query
 def dataset_summary(spark, d):
-    s = annotate.dataset_summary(_labelled(spark, d))
+    s = annotate.dataset_summary(_scored(spark, d))
     return s.select(*[F.col(c).cast("long").alias(c) for c in s.columns])
 
 
@@ -426,7 +424,7 @@ def audit_summary(spark, d):
 
 # -- P3, T15-T17 -------------------------------------------------------------------
 def _opportunities(spark, d):
-    return opportunity.build_opportunities(_labelled(spark, d))
+    return opportunity.build_opportunities(_scored(spark, d))
 
 
 @query
@@ -503,7 +501,7 @@ def facets(spark, d):
 
 @query
 def opportunity_filter(spark, d):
-    o = marts.filter_opportunities(_opportunities(spark, d), search_query="the", confidence_filter="High", cost_filter="All")
+    o = marts.filter_opportunities(_opportunities(spark, d), search_query="the", confidence_filter="Medium", cost_filter="time")
     return o.select("annotation_id", "opportunity_score")
 
 
@@ -550,7 +548,7 @@ def comments_flatten(spark, d):
         "repository", "issue_number", "comment_id",
         F.col("position_in_thread").cast("long").alias("position_in_thread"),
         F.col("comment_length").cast("long").alias("comment_length"),
-        "author_association", "user_type",
+        "author", "author_association", "user_type",
     )
 
 
@@ -580,6 +578,10 @@ def issues_nested(spark, d):
         F.col("comment_count").cast("long").alias("comment_count"),
         F.col("reaction_count").cast("long").alias("reaction_count"),
         F.size("comments").cast("long").alias("n_comments"),
+        F.array_join(F.transform("comments", lambda c: F.coalesce(c["author"], F.lit("?"))), ",").alias("authors"),
+        F.array_join(F.transform("comments", lambda c: c["comment_id"].cast("string")), ",").alias("comment_ids"),
+        F.array_join(F.transform("comments", lambda c: c["position_in_thread"].cast("string")), ",").alias("positions"),
+        F.array_join(F.transform("comments", lambda c: F.concat_ws("/", c["author_association"], c["created_at"], c["updated_at"], c["html_url"])), ",").alias("comment_meta"),
         "comments_text",
     )
 
@@ -590,6 +592,18 @@ def payload_quarantine(spark, d):
     return q.select("repository", "url", "reason")
 
 
+@query
+def comment_quarantine(spark, d):
+    q = ingest.quarantine(A.comment_pages_from_conversations(_conv(spark, d)))
+    return q.select("repository", "issue_number", "page_number", "reason")
+
+
+@query
+def updated_per_repo(spark, d):
+    i = ingest.newest_per_repository(ingest.flatten_issues(_pages(spark, d)), ingest.DEFAULT_ISSUES_PER_REPO, by="updated_at")
+    return i.select("repository", "issue_number", "updated_at")
+
+
 @query
 def crawl_links(spark, d):
     return ingest.crawl_links(_pages(spark, d))
@@ -597,7 +611,7 @@ def crawl_links(spark, d):
 
 @query
 def crawl_frontier(spark, d):
-    pages = _pages(spark, d)
+    pages = _pages(spark, d).filter("status = 200")
     # The last landed page of every repository is treated as not yet fetched.
     landed = pages.filter(F.col("link_header").isNotNull())
     return ingest.crawl_frontier(landed)

@@ -93,6 +93,7 @@ def comments_cte() -> str:
          CAST(turn AS INTEGER) AS position_in_thread,
          coalesce(text, '') AS comment_body,
          CAST(length(coalesce(text, '')) AS INTEGER) AS comment_length,
+         'user-' || role AS author,
          CASE WHEN role = 'assistant' THEN 'MEMBER' ELSE 'NONE' END AS author_association,
          CASE WHEN role = 'system' THEN 'Bot' ELSE 'User' END AS user_type,
          {created_at('conv_id')} AS created_at
@@ -137,19 +138,25 @@ def line(x: str, i: int) -> str:
 def labelled_cte(d: CueDictionary | None = A.SIGNAL) -> str:
     rule = "CASE " + " ".join(f"WHEN l.quality = {q} AND l.toxic = {t} THEN '{n}'" for q, t, n in A.LABEL_RULE) + " END"
     fields = ["user_goal", "obstacle", "workaround", "human_cost", "underlying_need", "evidence_quote"]
+    text = f"(CASE WHEN d.doc_id % {A.EMPTY_EVERY} = 5 THEN '' ELSE coalesce(d.text, '') END)"
+    phrases = "[" + ", ".join(lit(x) for x in A.COST_PHRASES) + f"][d.doc_id % {len(A.COST_PHRASES)} + 1]"
+
+    def field(i: int, f: str) -> str:
+        x = line(text, i)
+        return f"CASE WHEN {x} = '' THEN '' ELSE {x} || {phrases} END" if f == "human_cost" else x
+
     fcols = ",\n         ".join(
-        f"CASE WHEN {rule} = 'workaround' THEN {line('coalesce(d.text, %s)' % repr(''), i + 2)} ELSE '' END AS {f}"
-        for i, f in enumerate(fields)
+        f"CASE WHEN {rule} = 'workaround' THEN {field(i + 2, f)} ELSE '' END AS {f}" for i, f in enumerate(fields)
     )
-    score = cue_score("coalesce(d.text, '')", d) if d is not None else "NULL"
-    names = cue_names("coalesce(d.text, '')", d) if d is not None else "''"
+    score = cue_score(text, d) if d is not None else "NULL"
+    names = cue_names(text, d) if d is not None else "''"
     return f"""labelled AS (
   SELECT printf('NS-%04d', d.doc_id + 1) AS annotation_id,
          d.source AS repository,
          d.doc_id AS issue_number,
          '{A.URL_ROOT}' || d.source || '/' || CAST(d.doc_id AS VARCHAR) AS issue_url,
-         {line("coalesce(d.text, '')", 1)} AS title,
-         coalesce(d.text, '') AS thread_text,
+         {line(text, 1)} AS title,
+         {text} AS thread_text,
          CAST(CAST(trunc(d.n_chars / 1000) AS BIGINT) AS VARCHAR) AS comments_count,
          CAST({score} AS VARCHAR) AS heuristic_score,
          {names} AS matched_patterns,

@@ -46,8 +46,9 @@ def get_spark(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a local-mode session
-    (tests, benches) without that setting gets a private scratch folder.
+    The cluster names it in ``spark.checkpoint.dir``. Tests and benches set it
+    too; only a local-mode session without the setting gets a scratch folder,
+    as all its tasks share this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.functions.text import strip_ws, text_length
+from threadlens.operators.sampling import sequence_number
 from threadlens.sources.schemas import require_columns
 
 # --- fixed values ---------------------------------------------------------------
@@ -21,7 +22,6 @@ COMMENTS_TEXT_SEPARATOR = "\n\n"
 DEFAULT_ISSUE_LIMIT = 100
 DEFAULT_ISSUES_PER_REPO = 175
 DEFAULT_RICHEST_ISSUES = 25
-DEFAULT_COMMENTS_PER_ISSUE = 40
 # ---------------------------------------------------------------------------------
 
 ISSUE_JSON_SCHEMA = (
@@ -58,24 +58,31 @@ def parse_next_link(link: Column | str, first_param_only: bool = False) -> Colum
 def payload_items(pages: DataFrame) -> DataFrame:
     """I10 split: valid list payloads exploded to one raw JSON item per row.
 
-    Adds ``page_index`` (0-based position of the item on its page).
+    Adds ``page_index`` (0-based position of the item on its page). Pages that
+    ``quarantine`` names are left out.
     """
     require_columns(pages, ["repository", "url", "body_json"], "Landed responses")
-    arr = F.from_json(F.col("body_json"), "array<string>")
-    valid = pages.filter(F.col("body_json").isNotNull() & F.trim(F.col("body_json")).startswith("[") & arr.isNotNull())
-    return valid.select("repository", "url", F.posexplode(arr).alias("page_index", "raw"))
+    valid = pages.filter(_fault(pages).isNull())
+    return valid.select("repository", "url", F.posexplode(_payload()).alias("page_index", "raw"))
 
 
-def quarantine(pages: DataFrame) -> DataFrame:
-    """Responses that are not a JSON list (or not HTTP 200), with a reason."""
-    arr = F.from_json(F.col("body_json"), "array<string>")
-    is_list = F.col("body_json").isNotNull() & F.trim(F.col("body_json")).startswith("[") & arr.isNotNull()
-    status_ok = F.col("status") == 200 if "status" in pages.columns else F.lit(True)
-    reason = (
-        F.when(~status_ok, F.concat(F.lit("status "), F.col("status").cast("string")))
+def _payload() -> Column:
+    return F.from_json(F.col("body_json"), "array<string>")
+
+
+def _fault(pages: DataFrame) -> Column:
+    """Why a landed page can't be read, null if it can. A null status is a fault."""
+    is_list = F.col("body_json").isNotNull() & F.trim(F.col("body_json")).startswith("[") & _payload().isNotNull()
+    status_ok = F.coalesce(F.col("status") == 200, F.lit(False)) if "status" in pages.columns else F.lit(True)
+    return (
+        F.when(~status_ok, F.concat(F.lit("status "), F.coalesce(F.col("status").cast("string"), F.lit("unknown"))))
         .when(~is_list, F.lit("unexpected response format"))
     )
-    return pages.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
+def quarantine(pages: DataFrame) -> DataFrame:
+    """Issue or comment pages that are not a JSON list (or not HTTP 200), with a reason."""
+    return pages.withColumn("reason", _fault(pages)).filter(F.col("reason").isNotNull())
 
 
 def is_pull_request(raw: Column | str = "raw") -> Column:
@@ -133,12 +140,12 @@ def flatten_comments(pages: DataFrame) -> DataFrame:
 
     Comment pages carry ``issue_number`` next to ``repository``; the position
     is the item's rank on its page plus the rows of earlier pages of the same
-    issue (``page_number`` column, 1-based, full pages of ``page_size``).
+    issue (``page_number`` column, 1-based, full pages of ``page_size``). Pages
+    that ``quarantine`` names are left out.
     """
     require_columns(pages, ["repository", "issue_number", "body_json"], "Landed comment responses")
-    arr = F.from_json(F.col("body_json"), "array<string>")
     cols = ["repository", "issue_number"] + (["page_number", "page_size"] if "page_number" in pages.columns else [])
-    items = pages.filter(arr.isNotNull()).select(*cols, F.posexplode(arr).alias("page_index", "raw"))
+    items = pages.filter(_fault(pages).isNull()).select(*cols, F.posexplode(_payload()).alias("page_index", "raw"))
     c = F.from_json("raw", COMMENT_JSON_SCHEMA)
     items = items.withColumn("c", c)
     body = F.coalesce(F.col("c.body"), F.lit(""))
@@ -149,6 +156,7 @@ def flatten_comments(pages: DataFrame) -> DataFrame:
         *([((F.col("page_number") - 1) * F.col("page_size") + F.col("page_index") + 1).cast("int").alias("position_in_thread")] if "page_number" in pages.columns else []),
         body.alias("comment_body"),
         text_length(body).cast("int").alias("comment_length"),
+        F.col("c.user.login").alias("author"),
         F.col("c.author_association").alias("author_association"),
         F.col("c.user.type").alias("user_type"),
         F.col("c.created_at").alias("created_at"),
@@ -159,9 +167,18 @@ def flatten_comments(pages: DataFrame) -> DataFrame:
 
 
 def comment_positions(comments: DataFrame) -> DataFrame:
-    """1-based position per discussion, created ascending, id breaks ties."""
-    w = Window.partitionBy("repository", "issue_number").orderBy(F.asc_nulls_last("created_at"), F.asc("comment_id"))
-    return comments.withColumn("position_in_thread", F.row_number().over(w).cast("int"))
+    """1-based position per discussion, created ascending, id breaks ties.
+
+    Keys and dates alone are numbered by range partitions, so a discussion of
+    any length spreads over tasks; the positions then join the comments.
+    """
+    key = ["repository", "issue_number"]
+    narrow = comments.select(*key, "created_at", "comment_id").distinct()
+    order = [F.asc_nulls_last("created_at"), F.asc("comment_id")]
+    numbered = sequence_number(narrow, order, key, out="position_in_thread")
+    same = [comments[c].eqNullSafe(numbered[c]) for c in [*key, "created_at", "comment_id"]]
+    rest = [comments[c] for c in comments.columns if c != "position_in_thread"]
+    return comments.join(numbered, same).select(*rest, numbered["position_in_thread"].cast("int").alias("position_in_thread"))
 
 
 def richest_issues(issues: DataFrame, max_issues: int = DEFAULT_RICHEST_ISSUES) -> DataFrame:
@@ -169,19 +186,20 @@ def richest_issues(issues: DataFrame, max_issues: int = DEFAULT_RICHEST_ISSUES)
     require_columns(issues, ["issue_number", "comments_count"], "Issues file")
     cc = F.coalesce(F.col("comments_count").cast("long"), F.lit(0))
     elig = issues.withColumn("comments_count", cc).filter(cc > 0)
-    return elig.orderBy(F.desc("comments_count"), F.asc("issue_number")).limit(max_issues)
+    order = [F.desc("comments_count"), F.asc("issue_number")]
+    if "repository" in issues.columns:  # an issue number names an issue of one repository only
+        order.append(F.asc("repository"))
+    return elig.orderBy(*order).limit(max_issues)
 
 
-def cap_comments(comments: DataFrame, cap: int | None = DEFAULT_COMMENTS_PER_ISSUE) -> DataFrame:
-    """First ``cap`` comments per discussion by position (WindowGroupLimit; None = all)."""
-    if cap is None:
-        return comments
+def cap_comments(comments: DataFrame, cap: int) -> DataFrame:
+    """First ``cap`` comments per discussion by position (WindowGroupLimit)."""
     w = Window.partitionBy("repository", "issue_number").orderBy("position_in_thread", "comment_id")
     return comments.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
 
-def nested_issues(pages: DataFrame, comments: DataFrame | None = None, include_comments: bool = True, cap: int | None = DEFAULT_COMMENTS_PER_ISSUE) -> DataFrame:
-    """I8 + I9: one nested record per issue with its comments array.
+def nested_issues(pages: DataFrame, comments: DataFrame | None = None, include_comments: bool = True, cap: int | None = None) -> DataFrame:
+    """I8 + I9: one nested record per issue with its comments array (all of them unless ``cap`` is given).
 
     Comments are attached only when requested and the issue has comments; the
     text joins stripped non-blank bodies by a blank line, in thread order.
@@ -209,14 +227,15 @@ def nested_issues(pages: DataFrame, comments: DataFrame | None = None, include_c
     )
     if not include_comments or comments is None:
         return issues.withColumns({"comments_text": F.lit(""), "comments": empty})
-    capped = cap_comments(comments, cap)
+    capped = comments if cap is None else cap_comments(comments, cap)
+    author = F.col("author").cast("string") if "author" in comments.columns else F.lit(None).cast("string")
     grouped = capped.groupBy(F.col("repository").alias("repo"), "issue_number").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
                     F.col("position_in_thread").cast("int").alias("position_in_thread"),
                     F.col("comment_id").cast("bigint").alias("comment_id"),
-                    F.lit(None).cast("string").alias("author"),
+                    author.alias("author"),
                     F.col("author_association").cast("string").alias("author_association"),
                     F.col("created_at").cast("string").alias("created_at"),
                     F.col("updated_at").cast("string").alias("updated_at"),
