@@ -23,7 +23,7 @@ def corpus(spark, n=60):
 
 def test_word_and_char_features(spark):
     df = spark.createDataFrame([("d1", "Hello hello World"), ("d2", "world peace")], "doc string, text string")
-    counts = FT.term_counts(df, "doc", FT.word_ngrams(FT.word_tokens("text")))
+    counts = FT.word_term_counts(df, "doc", "text")
     got = {(r["doc"], r["term"]): r["tf"] for r in counts.collect()}
     assert got[("d1", "hello")] == 2 and got[("d1", "hello hello")] == 1 and got[("d2", "world peace")] == 1
     v = FT.fit_vocabulary(counts, 2, max_features=3)

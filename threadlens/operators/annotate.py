@@ -239,8 +239,3 @@ def audit_summary(audit: DataFrame) -> DataFrame:
         [("total", "", 0), ("reviewed", "", 0), ("remaining", "", 0), ("warning", warn, 0)], "section string, value string, n int"
     )
     return counted.unionByName(zeros).groupBy("section", "value").agg(F.sum("n").cast("long").alias("records"))
-
-
-def fields_present(df: DataFrame, fields: Sequence[str] = WORKAROUND_FIELDS) -> DataFrame:
-    """Count of non-blank workaround fields per row (diagnostic helper)."""
-    return df.withColumn("fields_present", sum((~is_blank(f)).cast("int") for f in fields))

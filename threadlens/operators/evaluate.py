@@ -137,16 +137,6 @@ def error_table(predictions: DataFrame, actual: str = "actual_label", predicted:
     return errs.orderBy(*order)
 
 
-def correct_counts(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Evaluated / correct / incorrect in one pass."""
-    same = F.col(actual) == F.col(predicted)
-    return df.agg(
-        F.count("*").alias("evaluated_records"),
-        F.count_if(same).alias("correct_predictions"),
-        F.count_if(~same).alias("incorrect_predictions"),
-    )
-
-
 def comparison_row(name: str, cm: DataFrame) -> DataFrame:
     """One model's headline counters (input of J6)."""
     m = metrics_from_confusion(cm)

@@ -121,15 +121,12 @@ class CountTables:
 
 
 def count_terms(docs: DataFrame, spec: DetectorSpec) -> CountTables:
-    """Tokenise once; checkpoint ``(doc, term, tf)`` per block."""
-    word = FT.term_counts(docs, "doc", FT.word_ngrams(FT.word_tokens("text"), FT.WORD_NGRAM_RANGE[1]))
-    word = cut_lineage(word).persist(StorageLevel.MEMORY_AND_DISK)
+    """Tokenise once; checkpoint ``(doc[, fold], term, tf)`` per block."""
+    extra = ["fold"] if "fold" in docs.columns else []
+    word = cut_lineage(FT.word_term_counts(docs, "doc", "text", FT.WORD_NGRAM_RANGE[1], extra))
     char = None
     if spec.char_max_features is not None:
-        char = FT.char_wb_term_counts(docs, "doc", "text", *FT.CHAR_NGRAM_RANGE)
-        char = cut_lineage(char).persist(StorageLevel.MEMORY_AND_DISK)
-    # k + 1 fits re-read these: keep a deserialised copy (spills to disk), the
-    # checkpoint stays the recovery point if an executor is lost.
+        char = cut_lineage(FT.char_wb_term_counts(docs, "doc", "text", *FT.CHAR_NGRAM_RANGE, extra=extra))
     return CountTables(word, char)
 
 
@@ -142,35 +139,29 @@ class FeatureModel:
     def size(self) -> int:
         return self.word.size + (self.char.size if self.char else 0)
 
-    def unpersist(self) -> None:
-        self.word.table.unpersist()
-        if self.char:
-            self.char.table.unpersist()
 
+def fit_features(word: DataFrame, char: DataFrame | None, n_train: int, spec: DetectorSpec) -> FeatureModel:
+    """Vocabulary and idf from the term statistics of the training documents."""
+    return FeatureModel(
+        FT.vocabulary_of(word, n_train, spec.word_max_features, spec.word_max_df),
+        None if char is None else FT.vocabulary_of(char, n_train, spec.char_max_features),
+    )
 
-def fit_features(counts: CountTables, train_docs: DataFrame, n_train: int, spec: DetectorSpec) -> FeatureModel:
-    """Vocabulary and idf from the training documents only."""
-    wc = counts.word.join(train_docs.select("doc"), "doc", "left_semi")
-    word = FT.fit_vocabulary(wc, n_train, spec.word_max_features, spec.word_max_df)
-    char = None
-    if counts.char is not None:
-        cc = counts.char.join(train_docs.select("doc"), "doc", "left_semi")
-        char = FT.fit_vocabulary(cc, n_train, spec.char_max_features)
-    return FeatureModel(word, char)
+
+def feature_entries(counts: CountTables, fm: FeatureModel) -> DataFrame:
+    """``(doc, block, idx, w)`` of both blocks, the character block's indices after the words'."""
+    entries = FT.weighted_entries(counts.word, fm.word, 0, 0)
+    if fm.char is not None and counts.char is not None:
+        entries = entries.unionByName(FT.weighted_entries(counts.char, fm.char, fm.word.size, 1))
+    return entries
 
 
 def featurize(counts: CountTables, docs: DataFrame, fm: FeatureModel) -> DataFrame:
-    """``(doc, features)`` for ``docs`` with a fitted feature model (word ⧺ char).
+    """``(doc, features)`` for ``docs``, the documents counted, with a fitted feature model (word ⧺ char).
 
     Both blocks' weights are unioned and grouped once per document.
     """
-    entries = FT.weighted_entries(counts.word.join(docs.select("doc"), "doc", "left_semi"), fm.word, 0, 0)
-    blocks = 1
-    if fm.char is not None and counts.char is not None:
-        ce = FT.weighted_entries(counts.char.join(docs.select("doc"), "doc", "left_semi"), fm.char, fm.word.size, 1)
-        entries = entries.unionByName(ce)
-        blocks = 2
-    return FT.assemble_blocks(entries, fm.size, blocks, docs)
+    return FT.assemble_blocks(feature_entries(counts, fm), fm.size, 2 if fm.char is not None else 1, docs)
 
 
 def _balanced_weights(df: DataFrame, n: int, pos: int, neg: int) -> DataFrame:
@@ -193,11 +184,11 @@ def fit_classifier(train: DataFrame, n_train: int, pos: int, neg: int, spec: Det
         tol=spec.tol,
     )
     data = _balanced_weights(train, n_train, pos, neg).withColumn("target", F.col("target").cast("double"))
-    # Every L-BFGS iteration is one aggregation job over the training rows:
-    # size the partitions by row count so small folds are not dominated by
-    # per-task overhead and large ones still spread over the cluster.
-    parts = max(1, math.ceil(n_train / TRAIN_ROWS_PER_PARTITION))
-    return lr.fit(data.repartition(parts))
+    # Every L-BFGS iteration is one aggregation job over the training rows: few
+    # tasks for few rows, but never more than two rounds of the cluster's cores.
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(math.ceil(n_train / TRAIN_ROWS_PER_PARTITION), 2 * cores))
+    return lr.setAggregationDepth(2 if parts <= 256 else 3).fit(data.repartition(parts))
 
 
 def _class_counts(df: DataFrame) -> tuple[int, int]:
@@ -209,145 +200,54 @@ def probability_of_positive(scored: DataFrame) -> DataFrame:
     return scored.withColumn("probability", vector_to_array("probability").getItem(1))
 
 
-def _score_fold(i: int, folds: DataFrame, counts: CountTables, spec: DetectorSpec, sizes: dict) -> DataFrame:
-    train = folds.filter(F.col("fold") != i)
-    test = folds.filter(F.col("fold") == i)
+def _unique_ids(docs: DataFrame) -> None:
+    """Counts and joins go by id, so an id must name one document."""
+    if not docs.groupBy("doc").count().filter("count > 1").isEmpty():
+        raise ValueError("ids of labelled rows must be unique; run the validation first")
+
+
+def _score_fold(i: int, folds: DataFrame, counts: CountTables, stats: CountTables, spec: DetectorSpec, sizes: dict) -> DataFrame:
     tpos = sum(n for (f, t), n in sizes.items() if f != i and t == 1)
     tneg = sum(n for (f, t), n in sizes.items() if f != i and t == 0)
     n_train = tpos + tneg
-    fm = fit_features(counts, train, n_train, spec)
+    fm = fit_features(FT.without_fold(stats.word, i), None if stats.char is None else FT.without_fold(stats.char, i), n_train, spec)
     # One featurisation of all rows with this fold's vocabulary, then split.
-    x = featurize(counts, folds, fm).join(folds.select("doc", "fold", "target", "cues"), "doc")
+    x = featurize(counts, folds, fm).join(folds, "doc")
     # Deterministic to recompute (sorted per-document entries), so a cached
     # copy is enough for the L-BFGS passes; the small score table is the
     # reliable checkpoint of the fold.
     x = x.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_classifier(x.filter(F.col("fold") != i), n_train, tpos, tneg, spec)
-    xtest = x.filter(F.col("fold") == i)
-    scored = probability_of_positive(model.transform(xtest)).select("doc", "fold", "target", "cues", "probability")
-    scored = cut_lineage(scored)
+    scored = probability_of_positive(model.transform(x.filter(F.col("fold") == i)))
+    scored = cut_lineage(scored.select("doc", "fold", "target", "cues", "probability"))
     x.unpersist()
-    fm.unpersist()
     return scored
 
 
-def _fit_fold_vocabularies(
-    counts: DataFrame, members: DataFrame, n_by_model: dict, max_features: int | None, max_df: float | None = None
-) -> tuple[DataFrame, dict]:
-    """All k training-fold vocabularies in one pass: ``(model, term, idx, idf)``.
-
-    Every document contributes to the k - 1 models whose training folds hold
-    it; document frequencies, the max_df filter, the per-model top
-    ``max_features`` (a WindowGroupLimit) and the sorted indices are computed
-    per model. Rows are bounded by k x max_features.
-    """
-    from pyspark.sql import Window
-
-    n_map = F.create_map(*[x for m, n in sorted(n_by_model.items()) for x in (F.lit(m), F.lit(float(n)))])
-    n = F.try_element_at(n_map, F.col("model"))
-    stats = counts.join(members, "doc").groupBy("model", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    if max_df is not None:
-        stats = stats.filter(F.col("df") <= F.lit(float(max_df)) * n)
-    if max_features is not None:
-        top = Window.partitionBy("model").orderBy(F.desc("total"), F.asc("term"))
-        stats = stats.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= max_features).drop("_r")
-        table = stats.withColumn("idx", (F.row_number().over(Window.partitionBy("model").orderBy("term")) - 1).cast("int"))
-    else:
-        from threadlens.operators.sampling import sequence_number
-
-        table = sequence_number(stats, ["term"], ["model"], out="_i").withColumn("idx", (F.col("_i") - 1).cast("int")).drop("_i")
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    table = table.select("model", "term", "idx", "df", idf.alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r[0]: r[1] for r in table.groupBy("model").count().collect()}  # k rows
-    return table, sizes
-
-
-def _featurize_folds(
-    counts: CountTables, docs: DataFrame, word: tuple, char: tuple | None, k: int, word_max: int | None, char_max: int | None
-) -> DataFrame:
-    """``(model, doc, features)`` for every document under every fold's vocabulary.
-
-    Documents without any known term of a model get an all-zero vector (left
-    join from all k x N model/document pairs).
-    """
-    wtable, wsizes = word
-    bound = (lambda mf: mf is not None and mf * k <= FT.BROADCAST_VOCAB_MAX)
-
-    def entries(cnt: DataFrame, table: DataFrame, block: int, offsets: dict | None, max_features) -> DataFrame:
-        t = table.select("model", "term", "idx", "idf")
-        if bound(max_features):
-            t = F.broadcast(t)
-        off = F.lit(0)
-        if offsets:
-            off = F.try_element_at(F.create_map(*[x for m, o in sorted(offsets.items()) for x in (F.lit(m), F.lit(o))]), F.col("model"))
-        return cnt.join(t, "term").select(
-            "model", "doc", F.lit(block).alias("block"), (F.col("idx") + off).cast("int").alias("idx"),
-            ((F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")).alias("w"),
-        )
-
-    e = entries(counts.word, wtable, 0, None, word_max)
-    blocks = 1
-    sizes = dict(wsizes)
-    if char is not None and counts.char is not None:
-        ctable, csizes = char
-        e = e.unionByName(entries(counts.char, ctable, 1, wsizes, char_max))
-        blocks = 2
-        sizes = {m: wsizes.get(m, 0) + csizes.get(m, 0) for m in range(k)}
-    grouped = e.groupBy("model", "doc").agg(F.collect_list(F.struct("idx", "block", "w")).alias("_e"))
-    pairs = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("model"))
-    grouped = pairs.join(grouped, ["model", "doc"], "left").withColumn(
-        "_e", F.coalesce("_e", F.array().cast("array<struct<idx:int,block:int,w:double>>"))
-    )
-    size_col = F.try_element_at(F.create_map(*[x for m, z in sorted(sizes.items()) for x in (F.lit(m), F.lit(z))]), F.col("model"))
-    return FT.assemble_grouped(grouped.withColumn("_size", size_col), blocks, keys=["model", "doc"])
-
-
-
-def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int = 42, parallel_folds: int | None = None, one_pass: bool = False) -> DataFrame:
+def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int = 42, parallel_folds: int | None = None) -> DataFrame:
     """M6: ``(doc, fold, target, cues, probability)`` — every row scored exactly once.
 
-    k = min(5, smallest class); folds are the stratified hash folds (W3).
-    By default each fold refits its vocabularies and featurises on its own and
-    the k fold chains run from a small thread pool. ``one_pass`` instead fits
-    all k vocabularies and featurises every fold in one job each (k copies of
-    the term counts in one shuffle); on local[8] at sf0.1 it measured slower
-    (189 s vs ~115 s), so it is opt-in.
+    k = min(5, smallest class); folds are the stratified hash folds (W3). Terms
+    are counted once with their document's fold; one aggregation by term then
+    holds every training fold's statistics, by subtraction. The k fold chains
+    run from a small thread pool.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     docs = prepare_documents(labelled, spec)
-    docs = cut_lineage(docs)
+    _unique_ids(docs)
     neg, pos, k = class_guard(docs, "target", spec.min_rows)
-    folds = cut_lineage(stratified_folds(docs, "target", k, key="doc", seed=seed))
-    counts = count_terms(docs, spec)
+    placed = stratified_folds(docs, "target", k, key="doc", seed=seed)
+    folds = cut_lineage(placed.select("doc", "fold", "target", "cues"))
+    counts = count_terms(docs.select("doc", "text").join(folds.select("doc", "fold"), "doc"), spec)
+    stats = CountTables(
+        cut_lineage(FT.term_statistics(counts.word, k)),
+        None if counts.char is None else cut_lineage(FT.term_statistics(counts.char, k)),
+    )
     # k x 2 class counts in one small aggregate (bounded: folds x classes rows)
     sizes = {(r[0], r[1]): r[2] for r in folds.groupBy("fold", "target").count().collect()}
-    if not one_pass:
-        with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
-            parts = list(pool.map(lambda i: _score_fold(i, folds, counts, spec, sizes), range(k)))
-    else:
-        members = folds.select("doc", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: m != F.col("fold"))).alias("model"))
-        n_by_model = {m: sum(n for (f, _), n in sizes.items() if f != m) for m in range(k)}
-        word = _fit_fold_vocabularies(counts.word, members, n_by_model, spec.word_max_features, spec.word_max_df)
-        char = _fit_fold_vocabularies(counts.char, members, n_by_model, spec.char_max_features) if counts.char is not None else None
-        x = _featurize_folds(counts, folds, word, char, k, spec.word_max_features, spec.char_max_features)
-        x = x.join(folds.select("doc", "fold", "target", "cues"), "doc")
-        x = x.persist(StorageLevel.MEMORY_AND_DISK)
-
-        def fit_one(m: int) -> DataFrame:
-            tpos = sum(n for (f, t), n in sizes.items() if f != m and t == 1)
-            tneg = sum(n for (f, t), n in sizes.items() if f != m and t == 0)
-            mine = x.filter(F.col("model") == m)
-            clf = fit_classifier(mine.filter(F.col("fold") != m), tpos + tneg, tpos, tneg, spec)
-            scored = probability_of_positive(clf.transform(mine.filter(F.col("fold") == m)))
-            return cut_lineage(scored.select("doc", "fold", "target", "cues", "probability"))
-
-        with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
-            parts = list(pool.map(fit_one, range(k)))
-        x.unpersist()
-        word[0].unpersist()
-        if char is not None:
-            char[0].unpersist()
+    with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
+        parts = list(pool.map(lambda i: _score_fold(i, folds, counts, stats, spec, sizes), range(k)))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
@@ -383,20 +283,52 @@ class Detector:
 
 def fit_detector(labelled: DataFrame, spec: DetectorSpec = IMPROVED) -> Detector:
     """M7: final fit on every labelled row."""
-    docs = cut_lineage(prepare_documents(labelled, spec))
+    docs = prepare_documents(labelled, spec)
+    _unique_ids(docs)
     neg, pos, _ = class_guard(docs, "target", spec.min_rows)
     counts = count_terms(docs, spec)
-    fm = fit_features(counts, docs, pos + neg, spec)
+    stats = FT.term_statistics(counts.word), None if counts.char is None else FT.term_statistics(counts.char)
+    fm = fit_features(*stats, pos + neg, spec)
     x = featurize(counts, docs, fm).join(docs.select("doc", "target"), "doc")
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_classifier(x, pos + neg, pos, neg, spec)
+    x.unpersist()
     return Detector(spec, fm, model)
 
 
+def objective_gradient(det: Detector, labelled: DataFrame) -> DataFrame:
+    """One row: the largest absolute entry of the fit's gradient at its coefficients.
+
+    The objective is the class-balanced mean log loss plus half the L2 penalty
+    ``1 / (C * n)`` on the coefficients (not the intercept); at its minimum the
+    gradient is zero.
+    """
+    docs = prepare_documents(labelled, det.spec)
+    neg, pos, _ = class_guard(docs, "target", det.spec.min_rows)
+    n = pos + neg
+    counts = count_terms(docs, det.spec)
+    blocks = 2 if det.features.char is not None else 1
+    entries = FT.normalised_entries(feature_entries(counts, det.features), blocks)
+    entries = docs.select("doc").join(entries, "doc", "left")  # a document without known terms scores the intercept
+    coefficients = det.classifier.coefficients.toArray().tolist()  # bounded by the vocabulary caps
+    table = F.broadcast(labelled.sparkSession.createDataFrame(list(enumerate(coefficients)), "idx int, weight double"))
+    entries = entries.select("doc", F.coalesce("idx", F.lit(-1)).alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    scored = FT.linear_scores(entries, table, det.classifier.intercept)
+    weight = F.when(F.col("target") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * neg))
+    residual = scored.join(docs.select("doc", "target"), "doc").select("doc", (weight * (F.col("probability") - F.col("target")) / n).alias("r"))
+    slopes = entries.filter("idx >= 0").join(residual, "doc").groupBy("idx").agg(F.sum(F.col("value") * F.col("r")).alias("g"))
+    slopes = slopes.join(table, "idx").select((F.col("g") + F.col("weight") / (det.spec.C * n)).alias("g"))
+    slopes = slopes.unionByName(residual.agg(F.sum("r").alias("g")))
+    return slopes.agg(F.max(F.abs("g")).alias("largest_slope"))
+
+
 def top_terms(det: Detector, n: int = 15) -> DataFrame:
     """M8: the ``n`` most positive and most negative coefficients with their terms.
 
     The coefficient vector is model state (size bounded by the vocabulary caps).
     """
+    if det.features.word.max_features is None:
+        raise ValueError("the word vocabulary has no cap, so its coefficients have no bound")
     spark = SparkSession.getActiveSession()
     coef = det.classifier.coefficients.toArray().tolist()
     coefs = spark.createDataFrame(list(enumerate(coef)), "idx int, weight double")
@@ -422,7 +354,7 @@ def score(det: Detector, threads: DataFrame, id_col: str = "annotation_id") -> D
     if spec.augment is not None:
         docs = docs.withColumn("_c", spec.augment.cue_array("text")).select("doc", augment_text("text", "_c").alias("text"))
     counts = CountTables(
-        FT.term_counts(docs, "doc", FT.word_ngrams(FT.word_tokens("text"), FT.WORD_NGRAM_RANGE[1])),
+        FT.word_term_counts(docs, "doc", "text", FT.WORD_NGRAM_RANGE[1]),
         FT.char_wb_term_counts(docs, "doc", "text", *FT.CHAR_NGRAM_RANGE) if det.features.char else None,
     )
     x = featurize(counts, docs, det.features)

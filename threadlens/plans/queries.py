@@ -17,6 +17,7 @@ from threadlens.functions import scoring as S
 from threadlens.functions import text as T
 from threadlens.operators import analysis, annotate, evaluate, marts, opportunity, sampling, threads
 from threadlens.plans import adapters as A
+from threadlens.session import cut_lineage
 from threadlens.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,8 @@ QUEUE_LIMIT = 20
 NEWEST_PER_REPO = 5
 COMMENT_CAP = 3
 OPPORTUNITY_PREVIEW = 10
+SCORED_TERMS = 24_000
+SCORE_INTERCEPT = 0.25
 
 
 def query(fn: Query) -> Query:
@@ -627,8 +630,7 @@ def document_frequencies(spark, d):
     from threadlens.operators import features as FT
 
     docs = _documents(spark, d)
-    counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text")))
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return FT.term_statistics(FT.word_term_counts(docs, "doc_id", "text"))
 
 
 @query
@@ -639,7 +641,7 @@ def word_ngram_tfidf(spark, d):
     docs = _documents(spark, d)
     n = docs.count()
     # the vocabulary fit and the weighting both read the counts: tokenise once
-    counts = FT.term_counts(docs, "doc_id", FT.word_ngrams(FT.word_tokens("text"))).persist()
+    counts = cut_lineage(FT.word_term_counts(docs, "doc_id", "text"))
     vocab = FT.fit_vocabulary(counts, n, BASELINE.word_max_features, BASELINE.word_max_df)
     entries = FT.tfidf_entries(counts, vocab)
     terms = vocab.table.select("idx", "term")
@@ -660,6 +662,58 @@ def char_vocabulary(spark, d):
     return vocab.table.select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
+def _union_entries(spark, d):
+    """Both blocks of the improved detector's features over all documents."""
+    from threadlens.operators import model as M
+
+    docs = _documents(spark, d).select(F.col("doc_id").alias("doc"), "text")
+    counts = M.count_terms(docs, M.IMPROVED)
+    from threadlens.operators import features as FT
+
+    fm = M.fit_features(FT.term_statistics(counts.word), FT.term_statistics(counts.char), docs.count(), M.IMPROVED)
+    return FT.normalised_entries(M.feature_entries(counts, fm), 2).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def feature_union(spark, d):
+    return _union_entries(spark, d).select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))
+
+
+@query
+def linear_scores(spark, d):
+    """Scoring with a given coefficient table: a weight by index, the published threshold."""
+    from threadlens.operators import features as FT
+
+    entries = _union_entries(spark, d).withColumnRenamed("doc_id", "doc")
+    coefficients = spark.range(SCORED_TERMS).select(F.col("id").cast("int").alias("idx"), ((F.col("id") % 7 - 3) / 4.0).alias("weight"))
+    scored = FT.linear_scores(entries, coefficients, SCORE_INTERCEPT)
+    return scored.select(
+        F.col("doc").alias("doc_id"), F.round("probability", 6).alias("probability"),
+        S.threshold_label(F.round("probability", 6), S.DEFAULT_THRESHOLD).alias("prediction"),
+    )
+
+
+@query
+def oof_coverage(spark, d):
+    """Fold, actual label and number of scores of every trained row."""
+    from threadlens.operators import model as M
+
+    p = M.oof_predictions(_labelled(spark, d), M.BASELINE)
+    p = p.groupBy("annotation_id", "fold", "actual_label").agg(
+        F.count("*").alias("scores"), F.count_if(F.col("workaround_probability").between(0, 1)).alias("valid_scores")
+    )
+    return p.withColumn("fold", F.col("fold").cast("long"))
+
+
+@query
+def fit_optimality(spark, d):
+    """The stated objective's largest slope at the fitted coefficients, to two places."""
+    from threadlens.operators import model as M
+
+    lab = _labelled(spark, d)
+    return M.objective_gradient(M.fit_detector(lab, M.BASELINE), lab).select(F.round("largest_slope", 2).alias("largest_slope"))
+
+
 @query
 def training_set_summary(spark, d):
     from threadlens.operators import model as M

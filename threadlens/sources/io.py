@@ -8,8 +8,6 @@ reach the scan).
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,29 +79,3 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON-lines sink (metrics row, nested issue records)."""
     df.write.mode(mode).json(path)
-
-
-def save_model_bundle(model, path: str, threshold: float, dictionary, model_name: str) -> None:
-    """The fitted PipelineModel plus a one-row metadata record next to it."""
-    spark = SparkSession.getActiveSession()
-    model.write().overwrite().save(f"{path}/model")
-    meta = {
-        "threshold": float(threshold),
-        "model_name": model_name,
-        "cue_dictionary": dictionary.name,
-        "cues": [{"name": n, "pattern": p} for n, p in dictionary.entries],
-    }
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/meta"
-    )
-
-
-def load_model_bundle(spark: SparkSession, path: str):
-    from pyspark.ml import PipelineModel
-
-    from threadlens.functions.cues import CueDictionary
-
-    model = PipelineModel.load(f"{path}/model")
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    dictionary = CueDictionary.of(meta["cue_dictionary"], [(c["name"], c["pattern"]) for c in meta["cues"]])
-    return model, meta["threshold"], dictionary, meta["model_name"]
