@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import stage
+from threadlens.llm.staging import bound_batches, stage
 
 WINDOW = 13
 SHINGLE = 3
@@ -269,6 +269,7 @@ def annotate(
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     items = stage(items.mapInArrow(_item_words, "item_id string, words binary, n long").filter("n > 0"), "benchmark-items")
     total = items.agg(F.sum("n")).first()[0] or 0
+    bound_batches(docs)
     blocks = max(1, -(-total // block_words))
     parts = []
     for b in range(blocks):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import stage, stage_path, unstage
+from threadlens.llm.staging import bound_batches, stage, stage_path, unstage
 
 MAX_BITS = 16
 LANE = 64
@@ -238,7 +238,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
 
     size = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {_type(rows, 'doc_id')}, ids binary, n long"
     return stage(rows.mapInArrow(_tokenise(tokenizer_path, end_id, kind), schema), "token-ids"), kind
 

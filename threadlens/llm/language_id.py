@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
+from threadlens.llm.staging import bound_batches
 
 DIMS = 4096
 SAMPLE_TEXTS = 3000
@@ -95,7 +96,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
-            for chunk in textnum.chunks(batch.column(0), textnum.CHUNK_BYTES // 2, 256):
+            for chunk in textnum.chunks(batch.column(0), textnum.CHUNK_BYTES, 128):
                 total += (_counts(chunk) > 0).sum(axis=0)
                 n += chunk.last - chunk.first
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(total, n))], ["feature", "n"])
@@ -124,7 +125,7 @@ def _spherical_kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the training texts that have a language."""
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
+    train = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         in_training(F.col("id")) & F.col("lang").isNotNull()
     )
     frequency, n = document_frequencies(train, "text")
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in textnum.chunks(batch.column(1), textnum.CHUNK_BYTES // 2, 256):
+            for chunk in textnum.chunks(batch.column(1), textnum.CHUNK_BYTES, 128):
                 x = _vectors(chunk, idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(x)), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "vector"]
@@ -171,7 +172,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for chunk in textnum.chunks(batch.column(len(names)), textnum.CHUNK_BYTES // 2, 256):
+            for chunk in textnum.chunks(batch.column(len(names)), textnum.CHUNK_BYTES, 128):
                 cosine = _vectors(chunk, model.idf) @ model.centroids.T
                 for i in range(len(cosine)):
                     if not model.languages or not has_letter(chunk.text(i)):
@@ -190,4 +191,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         [docs.schema[c] for c in names] + [T.StructField("language", T.StructType.fromDDL("lang string, score double, rejected boolean"))]
     )
     columns = [F.col(f"`{c}`") for c in names]
-    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(docs).select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)

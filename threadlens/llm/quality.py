@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import stage
+from threadlens.llm.staging import bound_batches, stage
 
 FINE, FAULT, ABSTAIN = 0, 1, 2
 FEATURE_BITS = 20
@@ -163,7 +163,7 @@ def _decode(code: int, labellers: int) -> list[int]:
 
 def heuristic_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, junk, toxic): each document's votes as base-3 numbers."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = bound_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _hashes(INSULTS), _hashes(ENGLISH)
@@ -401,4 +401,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     kind = T.StructType.fromDDL("junk double, toxic double, score double, kept boolean")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(result, kind)])
     columns = [F.col(f"`{c}`") for c in names]
-    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(docs).select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)

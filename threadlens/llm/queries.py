@@ -92,15 +92,17 @@ def op9_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from threadlens.llm.sample_pieces import decode, encode
+    from threadlens.llm.staging import stage
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
+    pieces = stage(encode(docs, path, keep_text=False), "pieces")
     return decode(pieces, path).select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
         F.crc32(F.array_join("piece_ids", ",").cast("binary")).alias("ids_crc32"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+        F.sha2("decoded", 256).eqNullSafe(F.col("text_sha256")).alias("lossless"),
     )
 
 

@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
+from threadlens.llm.staging import bound_batches
 
 THETA = 1.0
 SEED = 9
 #: Arcs that a Python worker keeps; beyond it the cache starts anew.
-CACHE_ARCS = 4_000_000
+CACHE_ARCS = 2_000_000
 SPACE = "▁"
 
 
@@ -233,7 +234,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, seeds = batch.column(len(names)), batch.column(len(names) + 1).to_numpy().view(np.uint64)
-            for chunk in textnum.chunks(text, textnum.CHUNK_BYTES // 2):
+            for chunk in textnum.chunks(text):
                 # A space before each text that isn't empty.
                 sizes = np.diff(chunk.docs)
                 data = np.insert(chunk.data, chunk.docs[:-1][sizes > 0], 0x20)
@@ -250,7 +251,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [lists], names + [out_col])
 
     schema = _struct(docs, names, [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(
+    return bound_batches(docs).select(
         *[F.col(f"`{c}`") for c in names],
         F.col(f"`{text_col}`").cast("string").alias("__text"),
         F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__seed"),
@@ -282,4 +283,4 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col
                 texts = [None if skip else data[a + 1 : b].decode("utf-8", "replace") for a, b, skip in zip(ends[:-1].tolist(), ends[1:].tolist(), null)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(texts, pa.string())], names + [out_col])
 
-    return rows.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, _struct(rows, names, [T.StructField(out_col, T.StringType())]))
+    return bound_batches(rows).select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, _struct(rows, names, [T.StructField(out_col, T.StringType())]))

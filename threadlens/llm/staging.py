@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.session import ensure_checkpoint_dir
 
+BATCH_BYTES = 8 << 20
+
 
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
@@ -25,6 +27,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batch size to BATCH_BYTES, so that a task with
+    long texts holds a few of them at a time on either side; returns ``df``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(str(conf.get(name)).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     spark = df.sparkSession
