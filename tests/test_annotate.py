@@ -96,3 +96,10 @@ def test_class_guard(spark):
         AN.class_guard(spark.createDataFrame([(1,)] * 1 + [(0,)] * 11, "target int"))
     with pytest.raises(ValueError):
         AN.class_guard(spark.createDataFrame([(0,)] * 12, "target int"))
+
+
+def test_unreviewed_queue(spark):
+    df = spark.createDataFrame([("c", ""), ("a", " "), ("b", "explicit"), ("d", "")], "annotation_id string, evidence_status string")
+    assert [r[0] for r in AN.unreviewed_queue(df, 2).orderBy("annotation_id").collect()] == ["a", "c"]
+    assert AN.unreviewed_queue(df).count() == 3
+    assert AN.unreviewed_queue(df.select("annotation_id"), 10).count() == 4

@@ -4,14 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from threadlens.plans.oracle import ORACLE
 
 SMOKE = "/root/testdata/sf0.001"
-FAST = [
-    "normalized_text", "thread_cues", "top_cue_threads", "behaviour_cues_8", "annotation_sample", "stratified_folds",
-    "validation_findings", "label_upsert", "classification_report", "fn_analysis", "audit_summary", "opportunity_scores",
-    "kpis", "facets", "issues_flatten", "issues_nested", "crawl_links", "word_ngram_tfidf",
-    "training_set_summary", "comments_flatten", "error_overview",
-]
+NAMES = sorted(ORACLE)
 
 
 def test_entry_runs(spark):
@@ -31,7 +27,7 @@ def _norm(v):
 
 
 @pytest.mark.skipif(not os.path.exists(SMOKE), reason="driver test data not present")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in ["documents", "labels", "conversations", "events"]:

@@ -56,3 +56,39 @@ def test_frontier(spark):
     rows = [("o/r", "u1", 200, '<u2>; rel="next", <u3>; rel="last"', "[]"), ("o/r", "u2", 200, '<u3>; rel="next"', "[]")]
     pages = spark.createDataFrame(rows, PAGES)
     assert [r["next_url"] for r in IG.crawl_frontier(pages).collect()] == ["u3"]
+
+
+def test_no_comment_is_lost_and_bad_pages_are_named(spark):
+    import json
+
+    body = json.dumps([{"number": 1, "title": "t", "comments": 60, "user": {"login": "me"}}])
+    pages = spark.createDataFrame(
+        [("r", "u1", 200, None, body), ("r", "u2", 403, None, body), ("r", "u3", 200, None, '{"message": "x"}'), ("r", "u4", None, None, body)],
+        "repository string, url string, status int, link_header string, body_json string",
+    )
+    assert IG.flatten_issues(pages).count() == 1
+    assert {r["url"]: r["reason"] for r in IG.quarantine(pages).collect()} == {
+        "u2": "status 403", "u3": "unexpected response format", "u4": "status unknown",
+    }
+    items = json.dumps([{"id": i, "body": f"b{i}", "user": {"login": f"w{i}", "type": "User"}, "created_at": "2024"} for i in range(60)])
+    cpages = spark.createDataFrame(
+        [("r", 1, 1, 100, 200, items), ("r", 1, 2, 100, 500, items), ("r", 1, 3, 100, 200, "oops")],
+        "repository string, issue_number long, page_number int, page_size int, status int, body_json string",
+    )
+    comments = IG.flatten_comments(cpages)
+    assert comments.count() == 60 and IG.quarantine(cpages).count() == 2
+    nested = IG.nested_issues(pages, comments).first()
+    assert len(nested["comments"]) == 60 and nested["comments"][59]["author"] == "w59"
+    assert len(IG.nested_issues(pages, comments, cap=5).first()["comments"]) == 5
+
+
+def test_positions_of_one_long_discussion(spark):
+    from pyspark.sql import functions as F
+
+    c = spark.range(3000).select(
+        F.lit("r").alias("repository"), F.lit(1).cast("long").alias("issue_number"), F.col("id").alias("comment_id"),
+        F.when(F.col("id") % 10 == 0, None).otherwise(F.format_string("2024-%05d", 5000 - F.col("id"))).alias("created_at"),
+    )
+    got = IG.comment_positions(c.repartition(5)).collect()
+    order = sorted(got, key=lambda r: (r["created_at"] is None, r["created_at"] or "", r["comment_id"]))
+    assert [r["position_in_thread"] for r in order] == list(range(1, 3001))

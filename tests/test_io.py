@@ -38,3 +38,26 @@ def test_balance_partitions(spark):
     assert IO.balance_partitions(df, 4).rdd.getNumPartitions() == 4
     many = spark.range(100).repartition(8)
     assert IO.balance_partitions(many, 4).rdd.getNumPartitions() == 8
+
+
+def test_missing_value_tokens(spark, tmp_dir):
+    path = f"{tmp_dir}/na.csv"
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("a,b\nNA,x\nnan,NaN \n#N/A,None\nnone,-\n")
+    rows = [tuple(r) for r in IO.read_csv(spark, path, keep_blanks=False).collect()]
+    assert rows == [(None, "x"), (None, "NaN "), (None, None), ("none", "-")]
+    assert IO.read_csv(spark, path).first()["a"] == "NA"
+
+
+def test_array_and_nested_sinks(spark, tmp_dir):
+    import json
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, ["a", "b"], [("u", 2)])], "id int, tags array<string>, comments array<struct<author:string,n:int>>")
+    IO.write_csv(df, f"{tmp_dir}/csv")
+    row = IO.read_csv(spark, f"{tmp_dir}/csv").first()
+    assert json.loads(row["tags"]) == ["a", "b"] and json.loads(row["comments"]) == [{"author": "u", "n": 2}]
+    IO.write_json(df, f"{tmp_dir}/json")
+    back = spark.read.json(f"{tmp_dir}/json")
+    assert back.select(F.col("comments")[0]["author"]).first()[0] == "u" and back.first()["tags"] == ["a", "b"]

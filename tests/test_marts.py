@@ -63,3 +63,14 @@ def test_fn_analysis_and_counts(spark):
     assert thread_only[0]["behavioral_cues"] == "repetition_or_retry | multi_step_sequence"
     ov = AZ.error_overview(pred).first()
     assert (ov["evaluated_records"], ov["correct_predictions"], ov["false_negatives"], ov["false_positives"]) == (3, 0, 2, 1)
+
+
+def test_kpis_fall_back_to_the_metrics_record(spark):
+    bare = spark.createDataFrame([("a",), ("b",)], "annotation_id string")
+    record = spark.createDataFrame([(60, 42, 0.7)], "evaluated_records long, correct_predictions long, accuracy double")
+    k = MT.kpis(bare, record).first()
+    assert (k["evaluated"], k["correct"], k["accuracy"], k["workaround_recall"]) == (60, 42, 0.7, 0.0)
+    assert MT.kpis(bare).first()["evaluated"] == 2
+    full = spark.createDataFrame([("workaround", "workaround")], "actual string, predicted string")
+    k = MT.kpis(full, record).first()
+    assert (k["evaluated"], k["correct"], k["accuracy"]) == (60, 1, 1.0)

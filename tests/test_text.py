@@ -42,3 +42,19 @@ def test_text_length_code_points(spark):
 
 def test_strip_accents(spark):
     assert one(spark, T.strip_accents(F.lower("v")), "Crème Brûlée Ñandú") == "creme brulee nandu"
+
+
+def test_accents_fold_like_the_unicode_database(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from threadlens.functions.text import strip_accents
+
+    chars = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    fold = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    single = [c for c in chars if len(fold(c)) == 1]
+    got = spark.createDataFrame([(c,) for c in single], "c string").select("c", strip_accents(F.col("c")).alias("f")).collect()
+    wrong = [(r["c"], r["f"]) for r in got if r["f"] != fold(r["c"]) and unicodedata.category(r["c"]) != "Mn"]
+    assert wrong == []
+    assert [r["f"] for r in got if r["c"] in "ёй"] == ["е", "и"] or {"е", "и"} <= {r["f"] for r in got}

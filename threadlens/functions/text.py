@@ -114,12 +114,14 @@ def try_number(c: ColumnOrName) -> Column:
 def _accent_map() -> tuple[str, str]:
     """Accent folding table built from the Unicode database (NFKD minus marks).
 
-    Only characters whose folded form is a single character are included, so
+    All characters beyond ASCII whose folded form is a single character, so
     the mapping can run as one native ``translate``.
     """
     src, dst = [], []
-    for cp in list(range(0xC0, 0x250)) + list(range(0x1E00, 0x1F00)):
+    for cp in range(0x80, 0x30000):
         ch = chr(cp)
+        if 0xD800 <= cp < 0xE000:
+            continue
         folded = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
         if len(folded) == 1 and folded != ch:
             src.append(ch)

@@ -208,6 +208,14 @@ def apply_audit_decisions(audit: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select(*audit.columns)
 
 
+def unreviewed_queue(audit: DataFrame, limit: int | None = None, order: str = "annotation_id") -> DataFrame:
+    """Rows whose evidence status is still blank, the first ``limit`` in id order."""
+    from threadlens.operators.sampling import top_k
+
+    queue = audit_table(audit).filter(is_blank("evidence_status"))
+    return queue if limit is None else top_k(queue, [order], limit)
+
+
 def audit_summary(audit: DataFrame) -> DataFrame:
     """Totals plus counts per evidence status and per outcome, one pass.
 

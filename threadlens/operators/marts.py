@@ -49,8 +49,41 @@ def evaluated(base: DataFrame) -> DataFrame:
     return base.filter(F.col("actual").isin(BINARY_LABELS) & F.col("predicted").isin(BINARY_LABELS))
 
 
-def kpis(predictions: DataFrame) -> DataFrame:
-    """Evaluated, correct, accuracy, workaround recall, missed — 0 when no denominator."""
+def kpis(predictions: DataFrame, record: DataFrame | None = None) -> DataFrame:
+    """Evaluated, correct, accuracy, workaround recall, missed — 0 when no denominator.
+
+    ``record`` is a one-row metrics table. Its ``evaluated_records``, if any,
+    replaces the count of rows; if the predictions lack a label column, its
+    ``correct_predictions`` and ``accuracy`` (else 0) stand for what can't be
+    computed, and recall and misses are 0.
+    """
+    if {"actual", "predicted"} <= set(predictions.columns):
+        out = _computed_kpis(predictions)
+    else:
+        out = predictions.agg(F.count("*").alias("evaluated")).withColumns(
+            {
+                "correct": F.lit(0).cast("long"), "accuracy": F.lit(0.0), "workaround_recall": F.lit(0.0),
+                "missed_workarounds": F.lit(0).cast("long"), "false_positives": F.lit(0).cast("long"),
+            }
+        )
+        fields = {"correct_predictions": "correct", "accuracy": "accuracy"}
+        out = _from_record(out, record, fields)
+    return _from_record(out, record, {"evaluated_records": "evaluated"})
+
+
+def _from_record(out: DataFrame, record: DataFrame | None, fields: dict[str, str]) -> DataFrame:
+    """Replace columns of a one-row table by those of a one-row record that has them."""
+    have = {a: b for a, b in fields.items() if record is not None and a in record.columns}
+    if not have:
+        return out
+    one = record.limit(1).select(*[F.col(a).alias(f"_r_{b}") for a, b in have.items()])
+    joined = out.join(one, F.lit(True), "left")
+    return joined.withColumns(
+        {b: F.coalesce(F.col(f"_r_{b}").cast(out.schema[b].dataType), F.col(b)) for b in have.values()}
+    ).select(*out.columns)
+
+
+def _computed_kpis(predictions: DataFrame) -> DataFrame:
     a, p = F.col("actual"), F.col("predicted")
     agg = predictions.agg(
         F.count("*").alias("evaluated"),

@@ -416,6 +416,11 @@ def _():
     return _audit_prelude() + "SELECT annotation_id, evidence_status, audit_outcome, audit_notes FROM aud"
 
 
+@sql("audit_queue")
+def _():
+    return _audit_prelude() + f"SELECT annotation_id, evidence_status FROM aud WHERE evidence_status = '' ORDER BY annotation_id LIMIT {Q.QUEUE_LIMIT}"
+
+
 @sql("audit_summary")
 def _():
     return _audit_prelude() + """SELECT 'total' AS section, '' AS value, count(*) AS records FROM aud
@@ -517,6 +522,12 @@ def _():
        round({_div('det', 'aw')}, 6) AS workaround_recall, missed AS missed_workarounds FROM k"""
 
 
+@sql("kpis_from_record")
+def _():
+    return _lab_prelude() + f"""SELECT tn + fp + fn + tp AS evaluated, tn + tp AS correct, round({_div('tp + tn', 'tp + tn + fp + fn')}, 4) AS accuracy,
+       CAST(0.0 AS DOUBLE) AS workaround_recall FROM cm"""
+
+
 @sql("evaluation_summary")
 def _():
     return _base_prelude() + """SELECT 'Evaluated records' AS metric, evaluated AS records FROM k

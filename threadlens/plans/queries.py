@@ -419,6 +419,11 @@ def audit_upsert(spark, d):
     return _audit(spark, d).select("annotation_id", "evidence_status", "audit_outcome", "audit_notes")
 
 
+@query
+def audit_queue(spark, d):
+    return annotate.unreviewed_queue(_audit(spark, d), QUEUE_LIMIT).select("annotation_id", "evidence_status")
+
+
 @query
 def audit_summary(spark, d):
     s = annotate.audit_summary(_audit(spark, d))
@@ -481,6 +486,17 @@ def kpis(spark, d):
     )
 
 
+@query
+def kpis_from_record(spark, d):
+    """Predictions without labels: the metrics record of the keyword detector stands in."""
+    record = evaluate.metrics_record(evaluate.confusion(_flags(spark, d)), "keyword_heuristic", "rule", S.DEFAULT_THRESHOLD)
+    k = marts.kpis(_labelled(spark, d).select("annotation_id"), record)
+    return k.select(
+        F.col("evaluated").cast("long").alias("evaluated"), F.col("correct").cast("long").alias("correct"),
+        F.round("accuracy", 4).alias("accuracy"), "workaround_recall",
+    )
+
+
 @query
 def evaluation_summary(spark, d):
     return marts.evaluation_summary(_kpis(spark, d))

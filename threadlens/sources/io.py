@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadlens.sources.schemas import clean_headers, fill_blank_strings
+from threadlens.sources.schemas import clean_headers, fill_blank_strings, null_missing_tokens
 
 _CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
@@ -47,12 +47,15 @@ def read_csv(
     schema: T.StructType | None = None,
     keep_blanks: bool = True,
 ) -> DataFrame:
-    """S1 (``keep_blanks``: blanks stay ``""``) / S2 (blanks -> null); S3 applied."""
+    """S1 (``keep_blanks``: blanks stay ``""``) / S2 (blanks and missing-value tokens -> null); S3 applied.
+
+    Quoted line feeds make a file one task: land a large table as many files.
+    """
     reader = spark.read.options(**_CSV_OPTIONS)
     if schema is not None:
         reader = reader.schema(schema)
     df = clean_headers(reader.csv(path))
-    return fill_blank_strings(df) if keep_blanks else df
+    return fill_blank_strings(df) if keep_blanks else null_missing_tokens(df)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:

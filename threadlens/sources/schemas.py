@@ -130,3 +130,17 @@ def fill_blank_strings(df: DataFrame) -> DataFrame:
     """Blank cells stay ``""`` (not null) for string columns, as the CSV stages expect."""
     string_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     return df.na.fill("", subset=string_cols) if string_cols else df
+
+
+# --- fixed values: cells that read as missing when blanks aren't kept ------------
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+# -----------------------------------------------------------------------------------
+
+
+def null_missing_tokens(df: DataFrame) -> DataFrame:
+    """String cells that hold a missing-value token become null."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")) for c in names}) if names else df
