@@ -36,15 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import stage
+from threadlens.llm.staging import bound_batches, stage
 
 WINDOW = 50
 GRAM = 16
 SHALLOW = 24
+PLACE_BITS = 31  # a column of texts has at most 2 GB
+#: Small enough for a processor's cache.
+CHUNK = 1 << 18
 KEYS_PER_BUCKET = 1 << 19
-SNIPPETS_PER_BUCKET = 1 << 17
+#: A snippet needs up to 2 KB while a bucket is sorted.
+SNIPPETS_PER_BUCKET = 1 << 15
+HOT_COUNT = 1 << 16
 MAX_BITS = 29
-HOT_COUNT = 20_000
 HOT_KEYS = 1_000_000
 #: Up to so many repeated texts (24 bytes each) are broadcast.
 BROADCAST_TEXTS = 500_000
@@ -59,21 +63,25 @@ def anchors(chunk: textnum.Chunk) -> tuple[np.ndarray, ...]:
     n = len(chunk.data)
     if n < WINDOW:
         return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.int64))
-    at = np.arange(n - GRAM + 1)
-    spans = textnum.Spans(chunk.data, textnum.CASED)
-    hashes = spans.hashes(at, at + GRAM)
-    # Leftmost least hash of each WINDOW - GRAM + 1 grams, by doubling.
-    width, span, value, owner = WINDOW - GRAM + 1, 1, hashes, at
+    eight = _eight(chunk.data)
+    hashes = eight[:-8] * np.uint64(0x9FB21C651E98DF25) + (eight[8:] ^ (eight[8:] >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    # Hash above place: a least value is the leftmost of the least hashes. The
+    # same bits of the hash count in any chunk.
+    bits = np.uint64(PLACE_BITS)
+    least = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
+    width, span = WINDOW - GRAM + 1, 1
     while span < width:
         step = min(span, width - span)
-        left = value[:-step] <= value[step:]
-        owner = np.where(left, owner[:-step], owner[step:])
-        value = np.where(left, value[:-step], value[step:])
+        least = np.minimum(least[:-step], least[step:])
         span += step
-    limit = np.repeat(chunk.docs[1:], np.diff(chunk.docs))
-    inside = np.arange(len(owner)) + WINDOW <= limit[: len(owner)]
-    owner = np.where(inside, owner, -1)
-    first = np.flatnonzero(np.diff(owner, prepend=-1) != 0)
+    owner = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # No window spans the end of a document.
+    for end in chunk.docs[1:].tolist():
+        owner[max(0, end - WINDOW + 1) : end] = -1
+    first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    first = np.insert(first, 0, 0)
     count = np.diff(np.append(first, len(owner)))
     mine = owner[first] >= 0
     first, count = first[mine], count[mine]
@@ -81,6 +89,11 @@ def anchors(chunk: textnum.Chunk) -> tuple[np.ndarray, ...]:
     return first, count, own, textnum.mix(hashes[own] ^ _KEY_SEED), np.searchsorted(chunk.docs, first, "right") - 1
 
 
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number."""
+    return np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+
+
 def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -97,22 +110,25 @@ def _send_keys(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tags = batch.column(1).to_numpy().view(np.uint64)
-            for chunk in textnum.chunks(batch.column(3)):
-                _, _, _, keys, doc = anchors(chunk)
-                at = tags[chunk.first + doc]
-                order = np.argsort(keys, kind="stable")
-                keys, at = keys[order], at[order]
-                bucket = _buckets(keys, bits)
-                first, last = _runs(bucket)
-                rest = (keys << np.uint64(bits)) >> np.uint64(24)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[first]),
-                        pa.array([_five(rest[a:b]) for a, b in zip(first, last)], pa.binary()),
-                        pa.array([_five(at[a:b]) for a, b in zip(first, last)], pa.binary()),
-                    ],
-                    ["bucket", "keys", "tags"],
-                )
+            keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for chunk in textnum.chunks(batch.column(3), CHUNK):
+                _, _, _, own, doc = anchors(chunk)
+                keys.append(own)
+                at.append(tags[chunk.first + doc])
+            keys, at = np.concatenate(keys), np.concatenate(at)
+            order = np.argsort(keys, kind="stable")
+            keys, at = keys[order], at[order]
+            bucket = _buckets(keys, bits)
+            first, last = _runs(bucket)
+            rest = (keys << np.uint64(bits)) >> np.uint64(24)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[first]),
+                    pa.array([_five(rest[a:b]) for a, b in zip(first, last)], pa.binary()),
+                    pa.array([_five(at[a:b]) for a, b in zip(first, last)], pa.binary()),
+                ],
+                ["bucket", "keys", "tags"],
+            )
 
     return run
 
@@ -174,36 +190,51 @@ class _Filter:
 # --- snippets and their suffixes --------------------------------------------------------
 
 def _send_snippets(held, bits: int):
-    """(bucket, ids, texts, places, counts, anchors, data) of the snippets that aren't hot."""
+    """(bucket, ids, texts, places, counts, anchors, data) of the snippets that aren't hot; data is compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = held.value
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for chunk in textnum.chunks(batch.column(3)):
+            parts, data = [], []
+            for chunk in textnum.chunks(batch.column(3), CHUNK):
                 first, count, own, keys, doc = anchors(chunk)
                 mine = keep.repeated(keys)
                 mine &= ~keep.is_hot(keys)
-                order = np.flatnonzero(mine)
-                order = order[np.argsort(_buckets(keys[order], bits), kind="stable")]
-                first, count, own, doc = first[order], count[order], own[order], doc[order]
+                first, count, own, doc = first[mine], count[mine], own[mine], doc[mine]
                 size = count + WINDOW - 1
                 ends = np.cumsum(size)
-                data = chunk.data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)]
-                cut = np.append(0, ends)
-                a, b = _runs(_buckets(keys[order], bits))
-                place = (first - chunk.docs[doc]).astype("<u4")
-                parts = (ids[chunk.first + doc].astype("<i8"), texts[chunk.first + doc].astype("<i8"), place, count.astype(np.uint8), (own - first).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_buckets(keys[order], bits)[a])]
-                    + [pa.array([p[x:y].tobytes() for x, y in zip(a, b)], pa.binary()) for p in parts]
-                    + [pa.array([data[cut[x] : cut[y]].tobytes() for x, y in zip(a, b)], pa.binary())],
-                    ["bucket", "ids", "texts", "places", "counts", "anchors", "data"],
-                )
+                data.append(chunk.data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - size), size)])
+                parts.append((_buckets(keys[mine], bits), ids[chunk.first + doc], texts[chunk.first + doc], first - chunk.docs[doc], count, own - first))
+            if not parts:
+                continue
+            bucket, *columns = (np.concatenate(x) for x in zip(*parts))
+            data = np.concatenate(data)
+            size = columns[3] + WINDOW - 1
+            start = np.cumsum(size) - size
+            order = np.argsort(bucket, kind="stable")
+            bucket, size, start = bucket[order], size[order], start[order]
+            columns = [c[order].astype(kind) for c, kind in zip(columns, ("<i8", "<u4", "<u4", np.uint8, np.uint8))]
+            rows = [[] for _ in range(7)]
+            for a, b in zip(*_runs(bucket)):
+                n = size[a:b]
+                text = data[np.arange(int(n.sum())) + np.repeat(start[a:b] - (np.cumsum(n) - n), n)]
+                for row, value in zip(rows, (int(bucket[a]), *(c[a:b].tobytes() for c in columns), _pack(text))):
+                    row.append(value)
+            kinds = [pa.int64()] + [pa.binary()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["bucket", "ids", "texts", "places", "counts", "anchors", "data"])
 
     return run
 
 
+def _pack(text: np.ndarray) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+
+
 def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Class of each suffix ``at``: those of one ``group`` that agree over WINDOW bytes.
 
@@ -211,10 +242,10 @@ def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.nda
     """
     out = np.arange(len(at))
     live = np.arange(len(at))
-    eight = np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data), strides=(1,))
+    eight = _eight(data)
     depth = 0
     while depth < SHALLOW and len(live):  # multikey: one eight-byte character at a time
-        word = eight[at[live] + depth].astype(np.uint64)
+        word = eight[at[live] + depth]
         order = np.lexsort((word, group[live]))
         live, word = live[order], word[order]
         own = group[live]
@@ -229,7 +260,7 @@ def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.nda
         head = np.repeat(live[first], last - first)
         branch = np.full(len(live), WINDOW)
         for offset in offsets[::-1]:
-            differ = eight[at[live] + offset].astype(np.uint64) ^ eight[at[head] + offset].astype(np.uint64)
+            differ = eight[at[live] + offset] ^ eight[at[head] + offset]
             some = differ != 0
             if some.any():
                 branch[some] = np.minimum(branch[some], offset + _first_byte(differ[some]))
@@ -267,10 +298,10 @@ def _relabel(group: np.ndarray, live: np.ndarray, new: np.ndarray) -> np.ndarray
 
 
 def _resolve(table: pa.Table) -> pa.Table:
-    """(doc_id, t1, start, stop): runs of bytes to remove that one bucket finds."""
+    """(doc_id, text, start, stop): runs of bytes to remove that one bucket finds."""
     column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    ids, texts, place = column("ids", "<i8"), column("texts", "<i8"), column("places", "<u4").astype(np.int64)
-    count, anchor, data = column("counts", np.uint8).astype(np.int64), column("anchors", np.uint8).astype(np.int64), column("data", np.uint8)
+    ids, texts, place = column("ids", "<i8"), column("texts", "<u4").astype(np.int64), column("places", "<u4").astype(np.int64)
+    count, anchor, data = column("counts", np.uint8).astype(np.int64), column("anchors", np.uint8).astype(np.int64), np.concatenate([_unpack(x) for x in table.column("data").to_pylist()])
     size = count + WINDOW - 1
     start = np.cumsum(size) - size
     spans = textnum.Spans(data, textnum.CASED)
@@ -316,17 +347,17 @@ def _resolve(table: pa.Table) -> pa.Table:
     of = np.repeat(np.arange(len(order)), n)
     a, b = np.flatnonzero(begin), np.flatnonzero(finish)
     from_, owner = place[order][of[a]] + inner[a], order[of[a]]
-    return pa.table([pa.array(ids[owner]), pa.array(texts[owner]), pa.array(from_), pa.array(from_ + (b - a) + WINDOW)], ["doc_id", "t1", "start", "stop"])
+    return pa.table([pa.array(ids[owner]), pa.array(texts[owner]), pa.array(from_), pa.array(from_ + (b - a) + WINDOW)], ["doc_id", "text", "start", "stop"])
 
 
 def _send_hot_windows(held):
-    """(w1, w2, doc_id, t1, start) of every window with a hot anchor."""
+    """(w1, w2, doc_id, text, start) of every window with a hot anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = held.value
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for chunk in textnum.chunks(batch.column(3)):
+            for chunk in textnum.chunks(batch.column(3), CHUNK):
                 first, count, _, keys, doc = anchors(chunk)
                 mine = np.flatnonzero(keep.is_hot(keys))
                 n = count[mine]
@@ -338,8 +369,8 @@ def _send_hot_windows(held):
                 w1 = textnum.mix(half[0] * np.uint64(0xD6E8FEB86659FD93) + half[1])
                 w2 = textnum.mix(half[1] * np.uint64(0xA0761D6478BD642F) ^ half[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array(texts[chunk.first + doc]), pa.array(at - chunk.docs[doc])],
-                    ["w1", "w2", "doc_id", "t1", "start"],
+                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array(texts[chunk.first + doc].astype(np.uint32).astype(np.int64)), pa.array(at - chunk.docs[doc])],
+                    ["w1", "w2", "doc_id", "text", "start"],
                 )
 
     return run
@@ -371,7 +402,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(texts: DataFrame, total_bytes: int, hot_count: int = HOT_COUNT) -> DataFrame:
-    """(doc_id, t1, start, stop) of the bytes to remove in ``texts`` (doc_id, t1, t2, text), distinct texts with ids."""
+    """(doc_id, text, start, stop) of the bytes to remove in ``texts`` (doc_id, t1, t2, text), distinct texts with ids; ``text`` is the low half of t1."""
     spark = texts.sparkSession
     expected = max(1, 2 * total_bytes // (WINDOW - GRAM + 2))
     bits = min(24, max(0, (expected // KEYS_PER_BUCKET).bit_length()))
@@ -388,14 +419,14 @@ def repeated_runs(texts: DataFrame, total_bytes: int, hot_count: int = HOT_COUNT
     snippet_bits = min(24, max(0, (expected // 4 // SNIPPETS_PER_BUCKET).bit_length()))
     fields = "bucket long, ids binary, texts binary, places binary, counts binary, anchors binary, data binary"
     runs = texts.mapInArrow(_send_snippets(held, snippet_bits), fields).groupBy("bucket").applyInArrow(
-        _resolve, "doc_id long, t1 long, start long, stop long"
+        _resolve, "doc_id long, text long, start long, stop long"
     )
     if not len(hot):
         return runs
-    windows = texts.mapInArrow(_send_hot_windows(held), "w1 long, w2 long, doc_id long, t1 long, start long")
-    least = stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "hot-windows")
+    windows = stage(texts.mapInArrow(_send_hot_windows(held), "w1 long, w2 long, doc_id long, text long, start long"), "hot-windows")
+    least = stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "hot-least")
     lost = windows.join(least, ["w1", "w2"]).filter("doc_id > least")
-    return runs.unionByName(lost.select("doc_id", "t1", "start", (F.col("start") + WINDOW).alias("stop")))
+    return runs.unionByName(lost.select("doc_id", "text", "start", (F.col("start") + WINDOW).alias("stop")))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_count: int = HOT_COUNT) -> DataFrame:
@@ -408,7 +439,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id take nothing from each other. An empty table gives no rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
+    rows = bound_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
     narrow = stage(rows.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "text-names")
     copies = narrow.filter("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = stage(copies.select("t1", "t2", "least"), "copies")
@@ -420,8 +451,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter(F.col("least").isNull() | (F.col("doc_id") == F.col("least")))
         .select("doc_id", "t1", "t2", "text")
     )
-    runs = stage(repeated_runs(texts, total, hot_count).groupBy("doc_id", "t1").agg(F.collect_list(F.struct("start", "stop")).alias("runs")), "runs")
-    parts = texts.select("doc_id", "t1", "t2", "text").join(runs, ["doc_id", "t1"]).dropDuplicates(["doc_id", "t1", "t2"])
+    runs = repeated_runs(texts, total, hot_count).groupBy("doc_id", F.col("text").alias("half")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = stage(runs, "runs")
+    parts = texts.withColumn("half", F.col("t1").bitwiseAND(F.lit(0xFFFFFFFF)))
+    if runs.count() <= BROADCAST_TEXTS:  # then the other texts needn't move
+        parts = parts.join(F.broadcast(runs.select("doc_id", "half")), ["doc_id", "half"], "left_semi")
+    parts = parts.join(runs, ["doc_id", "half"]).dropDuplicates(["doc_id", "t1", "t2"])
     cut = parts.select("t1", "t2", "runs", "text").mapInArrow(_remove, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
     cut = stage(cut, "cut-texts")
     whole = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
