@@ -24,7 +24,7 @@ from threadlens.sources.schemas import (
     require_columns,
 )
 
-INTERPRETATION_NOTE = "Results are preliminary because the human-labeled dataset is still small."
+INTERPRETATION_NOTE = "Few rows carry human labels so far, so read these figures as a first estimate."
 
 
 def prepare_annotation_dataset(

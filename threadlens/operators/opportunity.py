@@ -24,7 +24,7 @@ def build_opportunities(annotations: DataFrame, require_any: bool = False) -> Da
     """
     opp = confirmed_workarounds(annotations)
     if require_any and opp.isEmpty():
-        raise ValueError("No confirmed workaround records were found.")
+        raise ValueError("no annotation is labelled workaround, so there is nothing to score")
     cols = set(annotations.columns)
     opp = opp.withColumns(
         {

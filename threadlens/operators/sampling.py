@@ -104,7 +104,7 @@ def stratified_sample(
     ``fetch_threads`` brings the other columns.
     """
     if sample_size < 1:
-        raise ValueError("Sample size must be at least 1.")
+        raise ValueError(f"a sample needs one row or more, not {sample_size}")
     key = list(key)
     order_key = hash_order(key, seed)
     # The pools, the count and the top-up read keys and scores alone: these narrow

@@ -130,7 +130,7 @@ def newest_per_repository(issues: DataFrame, n: int = DEFAULT_ISSUE_LIMIT, by: s
     cannot flood one task.
     """
     if n < 1:
-        raise ValueError("Limit must be at least 1.")
+        raise ValueError(f"n has to be positive, not {n}")
     w = Window.partitionBy("repository").orderBy(F.desc_nulls_last(by), F.desc("issue_number"))
     return issues.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

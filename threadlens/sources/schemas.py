@@ -19,6 +19,7 @@ def _struct(fields: Sequence[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# --- fixed values: the column contracts of the stages' tables, in file order ---------
 ISSUES = _struct([
     ("repository", S), ("issue_number", L), ("title", S), ("body", S), ("state", S),
     ("state_reason", S), ("labels", S), ("comments_count", I), ("created_at", S),
@@ -90,6 +91,9 @@ PREDICTION_ALIASES = {
 }
 
 
+# -----------------------------------------------------------------------------------
+
+
 def require_columns(df: DataFrame, required: Iterable[str], what: str = "Dataset") -> None:
     """Q1: fail before any job runs when required columns are absent."""
     missing = sorted(set(required) - set(df.columns))
