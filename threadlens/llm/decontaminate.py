@@ -266,10 +266,10 @@ def annotate(
     that share windows or an id are each found, an id is listed once. Any
     column of ``docs`` called ``decon`` is replaced. Empty tables are fine.
     """
+    bound_batches(docs)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     items = stage(items.mapInArrow(_item_words, "item_id string, words binary, n long").filter("n > 0"), "benchmark-items")
     total = items.agg(F.sum("n")).first()[0] or 0
-    bound_batches(docs)
     blocks = max(1, -(-total // block_words))
     parts = []
     for b in range(blocks):

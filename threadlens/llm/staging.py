@@ -6,13 +6,18 @@ sees, so a lost executor costs the tasks it ran and nothing more.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.session import ensure_checkpoint_dir
 
 BATCH_BYTES = 8 << 20
+_shipped: set[str] = set()
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -30,6 +35,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def bound_batches(df: DataFrame) -> DataFrame:
     """Lower the session's Arrow batch size to BATCH_BYTES, so that a task with
     long texts holds a few of them at a time on either side; returns ``df``."""
+    ship_package(df.sparkSession)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
     if int(str(conf.get(name)).rstrip("b")) > BATCH_BYTES:
@@ -37,6 +43,17 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path has it already."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _shipped or any(p and Path(p).resolve() == root for p in paths):
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='threadlens-')}/threadlens", "zip", root, "threadlens")
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     spark = df.sparkSession
