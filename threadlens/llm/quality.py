@@ -221,23 +221,28 @@ def fit_labels(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Labe
 
 # --- hashed linear scorer ----------------------------------------------------------
 
-def _features(chunk: textnum.Chunk, lists: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, each once, by document."""
+def _features(chunk: textnum.Chunk, lists: tuple[np.ndarray, np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs, each once, by document; of the ``wanted`` features, if given."""
     t = _read(chunk, lists)
     starts, ends, offsets = textnum.words(chunk, textnum.ALNUM)
     doc = textnum.doc_numbers(offsets)
+    spans = textnum.Spans(chunk.data)
     shift = np.uint64(64 - FEATURE_BITS)
-    docs, found = [doc], [textnum.word_hashes(chunk, starts, ends) >> shift]
+    docs, found = [], []
+
+    def add(at: np.ndarray, feature: np.ndarray) -> None:
+        keep = slice(None) if wanted is None else wanted[feature]
+        docs.append(at[keep])
+        found.append(feature[keep])
+
+    add(doc, spans.hashes(starts, ends) >> shift)
     for size in PREFIXES:
         long = ends - starts > size
-        h = textnum.word_hashes(chunk, starts[long], starts[long] + size)
-        docs.append(doc[long])
-        found.append(textnum.mix(h + np.uint64(size)) >> shift)
+        add(doc[long], textnum.mix(spans.hashes(starts[long], starts[long] + size) + np.uint64(size)) >> shift)
     n_docs = len(t.n)
     for j in range(len(STATS)):
         bucket = np.minimum(t.stats[:, j] * 20, 19).astype(np.uint64)
-        docs.append(np.arange(n_docs))
-        found.append(textnum.mix(bucket + np.uint64(1000 * (j + 1))) >> shift)
+        add(np.arange(n_docs), textnum.mix(bucket + np.uint64(1000 * (j + 1))) >> shift)
     pairs = np.unique(np.concatenate(docs).astype(np.uint64) << np.uint64(FEATURE_BITS) | np.concatenate(found))
     return (pairs >> np.uint64(FEATURE_BITS)).astype(np.int64), (pairs & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int64)
 
@@ -384,10 +389,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _hashes(INSULTS), _hashes(ENGLISH)
+        wanted = np.zeros(1 << FEATURE_BITS, bool)
+        for h in HEADS:
+            wanted[model.scorers[h].features] = True
         for batch in batches:
             parts = {h: [np.zeros(0)] for h in HEADS}
             for chunk in textnum.chunks(batch.column(len(names))):
-                doc, feature = _features(chunk, lists)
+                doc, feature = _features(chunk, lists, wanted)
                 for h in HEADS:
                     parts[h].append(model.scorers[h].score(doc, feature, chunk.last - chunk.first))
             p = {h: np.concatenate(parts[h]) for h in HEADS}
