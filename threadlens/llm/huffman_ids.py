@@ -211,7 +211,7 @@ def _worker_cache(path: str) -> _Pieces:
 def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in textnum.chunks(batch.column(1)):
+            for chunk in textnum.chunks(batch.column(1), 4 * textnum.CHUNK_BYTES):  # pieces repeat more in a longer chunk
                 starts, ends, offsets = pieces(chunk)
                 ids, total = _worker_cache(path).encode(chunk, starts, ends)
                 cuts = np.concatenate([[0], total])[offsets]
