@@ -44,7 +44,7 @@ def _sets(rows):
     return out
 
 
-def _components(sets):
+def _components(sets, percent=85):
     parent = list(range(len(sets)))
 
     def find(x):
@@ -55,7 +55,7 @@ def _components(sets):
     for x in range(len(sets)):
         for y in range(x):
             a, b = sets[x][1], sets[y][1]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[find(x)] = find(y)
     least = {}
     for x in range(len(sets)):
@@ -79,18 +79,19 @@ def near_rows(seed=3):
     return rows
 
 
-def _check_near(spark, df, rows):
-    expected = _components(_sets(rows))
-    got = near_dedup.near_dedup(df).collect()
+def _check_near(spark, df, rows, percent=85):
+    expected = _components(_sets(rows), percent)
+    got = near_dedup.near_dedup(df, percent=percent).collect()
     key = lambda i, n, c, k: repr((i, n, c, k))
     assert sorted(key(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted(
         key(i, len(s), c, i == c) for (i, s), c in zip(_sets(rows), expected)
     )
 
 
-def test_near_dups_match_brute_force(spark):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dups_match_brute_force(spark, percent):
     rows = near_rows()
-    _check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    _check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, percent)
 
 
 def test_near_dups_in_blocks(spark, monkeypatch):

@@ -7,22 +7,26 @@ fills. Two texts agree in each coordinate with their Jaccard similarity as
 probability, and the agreement of COORDS coordinates is concentrated about it.
 
 Texts with equal shingle sets are one class from the start, so copies cost
-nothing below. BANDS bands of ROWS coordinates propose class pairs:
+nothing below. Bands of coordinates propose class pairs:
 
 1. star: each class is paired with the least class of each of its buckets (so
    pairs grow with the rows, not with the square of a bucket);
-2. rest: in buckets that still hold several components, classes of different
-   components are compared in blocks of at most BLOCK sketches each.
+2. neighbours: in buckets that hold several components, cut into random blocks
+   of about BLOCK sketches, each class is paired with its most similar one of
+   another component; this is repeated while it finds links;
+3. rest: in buckets that still hold several components, all classes outside the
+   main component are compared with all others, in blocks.
 
-Pairs whose sketches or set sizes rule a link out (by more than six standard
+Pairs whose sketches or set sizes rule a link out (by more than five standard
 deviations, or exactly) are dropped, all others are verified on the full
-shingle sets of the texts. A pair at the least similarity shares no band with
-a probability of 1e-6.
+shingle sets of the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -32,19 +36,40 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import textnum
 from threadlens.llm.components import connected_components
-from threadlens.llm.staging import stage, unstage
+from threadlens.llm.staging import bound_batches, stage, unstage
 
 SHINGLE = 5
-BANDS, ROWS = 36, 7
-COORDS = BANDS * ROWS
-PERCENT = 85
-#: Least number of agreeing sketch bytes of a link: 0.85 * 252 less six deviations.
-AGREE = int(COORDS * PERCENT / 100 - 6 * (COORDS * PERCENT * (100 - PERCENT)) ** 0.5 / 100)
+#: The bands share out the coordinates; all of them estimate the similarity.
+COORDS = 504
 BLOCK = 256
 GROUP_ROWS = 4096
+NEIGHBOUR_ROUNDS = 4
+#: Another round of neighbours follows one that found a link for every so many classes.
+WORTHWHILE = 4
 #: Up to so many classes (16 bytes each) are broadcast to fetch their texts.
 BROADCAST_CLASSES = 200_000
 
+
+@dataclass(frozen=True)
+class Link:
+    """What links two texts: a Jaccard similarity of ``percent`` or more."""
+
+    percent: int
+    rows: int  # coordinates of a band
+
+    @property
+    def bands(self) -> int:
+        return COORDS // self.rows
+
+    @property
+    def agree(self) -> int:
+        """Least number of agreeing sketch bytes: the expected one less five deviations."""
+        return int(COORDS * self.percent / 100 - 5 * (COORDS * self.percent * (100 - self.percent)) ** 0.5 / 100)
+
+
+#: By percent: a pair at the least similarity shares no band with a probability of 4e-7 and 9e-6.
+LINKS = {85: Link(85, 9), 80: Link(80, 8)}
+
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 40) - 1)
 _SEEDS = textnum.mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -91,15 +116,15 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return out.reshape(n, COORDS)
 
 
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """Documents x BANDS."""
-    key = np.tile(_SEEDS[:BANDS], (len(sketches), 1))
-    for r in range(ROWS):
-        key = textnum.mix(key * np.uint64(0xD6E8FEB86659FD93) + sketches[:, r::ROWS])
+def band_keys(sketches: np.ndarray, link: Link) -> np.ndarray:
+    """Documents x bands."""
+    key = np.tile(_SEEDS[: link.bands], (len(sketches), 1))
+    for r in range(link.rows):
+        key = textnum.mix(key * np.uint64(0xD6E8FEB86659FD93) + sketches[:, r :: link.rows])
     return key
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(link: Link, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in textnum.chunks(batch.column(3)):
             sets = shingle_sets(chunk)
@@ -108,18 +133,27 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = size == 0
             digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             short = textnum.mix(sketches).astype(np.uint8)
-            keys = band_keys(sketches).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, mask=np.append(none, False)), pa.array(keys.ravel()))
+            keys = band_keys(sketches, link).view(np.int64)
+            keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * link.bands, mask=np.append(none, False)), pa.array(keys.ravel()))
             part = batch.slice(chunk.first, len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(part.column(i) for i in range(3)), pa.array(size), pa.array(digests, pa.binary(), mask=none),
-                    pa.array([s.tobytes() for s in short], pa.binary(), mask=none), bands,
+                    pa.array([s.tobytes() for s in short], pa.binary(), mask=none), keyed,
                 ],
-                ["doc_id", "t1", "t2", "n", "class", "sketch", "bands"],
+                ["doc_id", "t1", "t2", "n", "class", "sketch", "keys"],
             )
 
 
+def _low_halves(link: Link, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, keys of all bands, as four bytes each."""
+    for batch in batches:
+        keys = batch.column(batch.num_columns - 1).flatten().to_numpy().view(np.uint64)
+        packed = (keys & np.uint64(0xFFFFFFFF)).astype("<u4").reshape(-1, link.bands)
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tobytes() for x in packed], pa.binary())], ["class", "rep", "n", "t1", "t2", "sketch", "bands"])
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, t1, t2, text): t1 and t2 name the text."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -131,76 +165,152 @@ def _agreeing(a: pa.Array, b: pa.Array) -> np.ndarray:
     return (x == y).sum(axis=1)
 
 
-def _could_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _could_link(link: Link, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            keep = pa.array(_agreeing(batch.column(2), batch.column(3)) >= AGREE)
+            keep = pa.array(_agreeing(batch.column(2), batch.column(3)) >= link.agree)
             yield batch.filter(keep).select([0, 1])
 
 
-def _sizes_could_link(a: str, b: str):
+def _sizes_could_link(link: Link, a: str, b: str):
     small, large = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    return small * 100 >= large * PERCENT
+    return small * 100 >= large * link.percent
 
 
-def _star_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): each class and the least class of each of its buckets."""
-    least = stage(buckets.groupBy("key").agg(F.min("class").alias("a")), "bucket-least")
-    pairs = buckets.join(least, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
-    a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    joined = pairs.join(b, "b").join(a, "a").filter(_sizes_could_link("na", "nb"))
-    return joined.select("a", "b", "sa", "sb").mapInArrow(_could_link, "a binary, b binary")
+def _star_pairs(link: Link, buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): each class and the least class of each of its buckets (key, class, n, a, na, m)."""
+    pairs = buckets.filter(_sizes_could_link(link, "n", "na")).select("a", F.col("class").alias("b")).distinct()
+    a = classes.select(F.col("class").alias("a"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("class").alias("b"), F.col("sketch").alias("sb"))
+    joined = pairs.join(b, "b").join(a, "a")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(partial(_could_link, link), "a binary, b binary")
 
 
-def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Pairs of different components in the buckets (or pairs of blocks) of one group."""
+def _block_arrays(table: pa.Table) -> tuple:
     key = table.column("key").to_numpy()
     order = np.argsort(key, kind="stable")
     table, key = table.take(pa.array(order)), key[order]
-    classes, roots = table.column("class").to_pylist(), table.column("root").to_pylist()
-    n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
+    roots = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1] if len(key) else key
     sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDS)
-    found = set()
     edges = np.flatnonzero(np.diff(key)) + 1
-    for first, last in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+    runs = list(zip([0, *edges.tolist()], [*edges.tolist(), len(key)]))
+    return table, key, roots, table.column("n").to_numpy(), sketches, runs
+
+
+def _partners(link: Link, i: int, others: np.ndarray, roots: np.ndarray, n: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``others`` in other components that could be linked with i, and their agreement."""
+    others = others[(roots[others] != roots[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * link.percent)]
+    agree = (sketches[others] == sketches[i]).sum(axis=1) if len(others) else np.zeros(0, np.int64)
+    return others[agree >= link.agree], agree[agree >= link.agree]
+
+
+def _pair_table(found: set, table: pa.Table) -> pa.Table:
+    classes = table.column("class").to_pylist()
+    pairs = sorted((min(classes[i], classes[j]), max(classes[i], classes[j])) for i, j in found)
+    return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+
+def _nearest(link: Link, table: pa.Table) -> pa.Table:
+    """Each class's best partner in another component of its blocks."""
+    table, _, roots, n, sketches, runs = _block_arrays(table)
+    found = set()
+    for first, last in runs:
+        for i in range(first, last):
+            who, agree = _partners(link, i, np.arange(first, last), roots, n, sketches)
+            if len(who):
+                found.add(tuple(sorted((i, int(who[np.argmax(agree)])))))
+    return _pair_table(found, table)
+
+
+def _all_partners(link: Link, table: pa.Table) -> pa.Table:
+    """All pairs of different components; of different sides where there are
+    sides. A pair is made in the bucket of its first common band alone."""
+    table, key, roots, n, sketches, runs = _block_arrays(table)
+    side = table.column("side").to_numpy()
+    bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), "<u4").reshape(-1, link.bands)
+    found = set()
+    for first, last in runs:
         for i in range(first, last):
             rest = np.arange(i + 1, last)
             rest = rest[(side[i] == 0) | (side[rest] != side[i])]
-            rest = rest[(np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * PERCENT)]
-            rest = np.array([j for j in rest if roots[j] != roots[i]], np.int64)
-            for j in rest[(sketches[rest] == sketches[i]).sum(axis=1) >= AGREE].tolist() if len(rest) else []:
-                found.add((min(classes[i], classes[j]), max(classes[i], classes[j])))
-    return pa.table([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+            who = _partners(link, i, rest, roots, n, sketches)[0]
+            first_band = np.argmax(bands[who] == bands[i], axis=1)
+            here = bands[i][first_band] == np.uint32(int(key[first]) & 0xFFFFFFFF)
+            found |= {(i, j) for j in who[here].tolist()}
+    return _pair_table(found, table)
 
 
-def _rest_pairs(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): classes of different components that share a bucket, compared in blocks."""
+def _mixed(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, class, root) of all buckets, and (key, m, main, rest) of those with
+    several components: size, largest component and number of other classes."""
     labelled = buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     labelled = stage(labelled, "labelled-buckets")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    mixed = stage(mixed.select("key", "m", "lo"), "mixed-buckets")
-    rows = labelled.join(mixed, "key").join(classes.select("class", "n", "sketch"), "class")
-    small = rows.filter(F.col("m") <= BLOCK)
-    large = rows.filter(F.col("m") > BLOCK)
-    groups = max(1, -(-(mixed.filter(F.col("m") <= BLOCK).agg(F.sum("m")).first()[0] or 0) // GROUP_ROWS))
-    small = small.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("x"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "key", "class", "root", "n", "sketch")
-    # A large bucket: blocks of about BLOCK/2 classes, each pair of blocks one group.
-    blocks = F.ceil(F.col("m") * 2 / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    large = (
-        large.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            F.col("key").alias("x"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            "key", "class", "root", "n", "sketch",
-        )
+    sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top")).filter("m > top.n")
+    return labelled, stage(mixed.select("key", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("rest")), "mixed-buckets")
+
+
+def _near_roots(links: DataFrame) -> DataFrame:
+    """(node, root): a node's least neighbour's least neighbour. Nodes with one
+    root are of one component; the opposite needn't hold."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("near")))
+    least = stage(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("near")), "least-neighbours")
+    onward = least.select(F.col("node").alias("near"), F.col("near").alias("root"))
+    return least.join(onward, "near").select("node", "root")
+
+
+def _grouped(rows: DataFrame, function) -> DataFrame:
+    """Blocks of one bucket are groups of their own; small buckets share groups of about GROUP_ROWS rows."""
+    total = rows.filter("i < 0").count()
+    groups = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // GROUP_ROWS))))
+    rows = rows.withColumn("x", F.when(F.col("i") < 0, groups).otherwise(F.col("key")))
+    return rows.groupBy("x", "i", "j").applyInArrow(function, "a binary, b binary").distinct()
+
+
+def _neighbour_pairs(link: Link, buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): within random blocks of the mixed buckets, each class and its best partner."""
+    labelled, mixed = _mixed(buckets, roots)
+    rows = labelled.join(mixed.select("key", "m"), "key").join(classes.select("class", "n", "sketch"), "class")
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    own = F.when(F.col("m") <= BLOCK, -1).otherwise(F.pmod(F.xxhash64("class", "key"), blocks).cast("int"))
+    rows = rows.select("key", "class", "root", "n", "sketch", own.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    return _grouped(rows, lambda table: _nearest(link, table))
+
+
+def _rest_pairs(link: Link, buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all possible links between components that share a bucket, compared in blocks.
+
+    Of a large bucket, the classes outside its main component meet each other
+    in pairs of blocks, and meet every block of the main component; the main
+    component's classes don't meet each other.
+    """
+    labelled, mixed = _mixed(buckets, roots)
+    rows = labelled.join(mixed, "key").join(classes.select("class", "n", "sketch", "bands"), "class")
+    base = ["key", "class", "root", "n", "sketch", "bands"]
+    small = rows.filter(F.col("m") <= BLOCK).select(*base, F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    large = rows.filter(F.col("m") > BLOCK).withColumn("is_main", F.col("root") == F.col("main"))
+    half = F.lit(BLOCK // 2)
+    parts = F.greatest(F.ceil(F.col("rest") / half), F.lit(1)).cast("int")
+    outside = (
+        large.filter("not is_main")
+        .withColumn("own", F.pmod(F.xxhash64("class"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    )
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    outside = outside.select(*base, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    blocks = F.greatest(F.ceil((F.col("m") - F.col("rest")) / half), F.lit(1)).cast("int")
+    meets = large.filter("not is_main").select(
+        *base, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"), F.lit(1).alias("side")
     )
-    return small.unionByName(large).groupBy("x", "i", "j").applyInArrow(_compare_blocks, "a binary, b binary").distinct()
+    mains = large.filter("is_main").select(
+        *base, F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(2).alias("side")
+    )
+    # Groups of the main component are told from pairs of blocks by i beyond any part.
+    across = meets.unionByName(mains).select(*base, (F.col("block") + F.lit(1 << 30)).alias("i"), F.col("part").alias("j"), "side")
+    return _grouped(small.unionByName(outside).unionByName(across), lambda table: _all_partners(link, table))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(link: Link, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose texts' full shingle sets are similar enough."""
     last_text, last_set = None, None
     for batch in batches:
@@ -213,28 +323,30 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     (chunk,) = textnum.chunks(pa.array([text]))
                     (last_set,) = shingle_sets(chunk)
                 both = len(np.intersect1d(last_set, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(last_set) + len(y) - both))
+                keep.append(100 * both >= link.percent * (len(last_set) + len(y) - both))
             yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(link: Link, pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, checked on the texts."""
     pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     names = stage(classes.select("class", "t1", "t2").join(wanted, "class"), "wanted-classes")
     held = F.broadcast(names) if names.count() <= BROADCAST_CLASSES else names
     found = stage(texts.join(held, ["t1", "t2"]).groupBy("class").agg(F.first("text").alias("text")), "wanted-texts")
     a, b = (found.select(F.col("class").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     # Rows of one a lie together, so its set is made once.
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
-    links = stage(joined.mapInArrow(_verified, "a binary, b binary"), "verified")
+    links = stage(joined.mapInArrow(partial(_verified, link), "a binary, b binary"), "verified")
     unstage(found)
     return links
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, links, t1, t2.
 
+    ``percent`` is the similarity of a link, one of LINKS.
+
     ``links`` counts the row's class's verified links to other classes of the
     proposed pairs; (t1, t2) names the row's text. Each row is judged by its
     own text. A null or empty text, or one of white space only, has no
@@ -243,24 +355,46 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     unless all are; it is kept only if its component has no id. Rows that
     repeat an id and text share one fate. An empty table gives no rows.
     """
-    texts = _keyed(docs, id_col, text_col)
+    link = LINKS[percent]
+    texts = _keyed(bound_batches(docs), id_col, text_col)
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = stage(
-        texts.mapInArrow(_sketch_rows, f"doc_id {id_type}, t1 long, t2 long, n long, class binary, sketch binary, bands array<long>"),
+        texts.mapInArrow(partial(_sketch_rows, link), f"doc_id {id_type}, t1 long, t2 long, n long, class binary, sketch binary, keys array<long>"),
         "sketches",
     )
     classes = rows.filter("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min(F.struct("t1", "t2")).alias("t"),
-        F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
     )
-    classes = stage(classes.select("class", "rep", "n", "t.t1", "t.t2", "sketch", "bands"), "classes")
-    buckets = classes.select("class", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    buckets = stage(buckets.join(stage(shared, "shared-keys"), "key").select("key", "class"), "buckets")
-    star = _verify(_star_pairs(buckets, classes), classes, texts.select("t1", "t2", "text"))
-    rest = _verify(_rest_pairs(buckets, classes, connected_components(star)), classes, texts.select("t1", "t2", "text"))
-    links = stage(star.unionByName(rest).distinct(), "all-links")
-    roots = connected_components(links).withColumnRenamed("node", "class")
+    classes = stage(classes.select("class", "rep", "n", "t.t1", "t.t2", "sketch", "keys"), "classes")
+    buckets = classes.select("class", "n", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("class", "n")).alias("least")).filter("m > 1")
+    shared = stage(shared.select("key", "m", F.col("least.class").alias("a"), F.col("least.n").alias("na")), "shared-keys")
+    buckets = stage(buckets.join(shared, "key").filter("class <> a"), "buckets")
+    content = texts.select("t1", "t2", "text")
+    links = _verify(link, _star_pairs(link, buckets, classes), classes, content)
+    # The least class of a bucket has met all others; two more make a pair that hasn't met.
+    buckets = buckets.filter("m > 2").select("key", "class")
+    # The low half of each band's key tells which band two classes share first.
+    low = partial(_low_halves, link)
+    classes = stage(
+        classes.select("class", "rep", "n", "t1", "t2", "sketch", "keys").mapInArrow(
+            low, f"class binary, rep {id_type}, n long, t1 long, t2 long, sketch binary, bands binary"
+        ),
+        "classes-packed",
+    )
+    many, roots = classes.count() // WORTHWHILE, _near_roots(links)
+    for _ in range(NEIGHBOUR_ROUNDS):
+        more = _verify(link, _neighbour_pairs(link, buckets, classes, roots), classes, content)
+        links = stage(links.unionByName(more), "links-so-far")
+        roots = connected_components(links)
+        if more.count() <= many:
+            break
+    rest = _verify(link, _rest_pairs(link, buckets, classes, roots), classes, content)
+    links = stage(links.unionByName(rest).distinct(), "all-links")
+    if not rest.isEmpty():
+        roots = connected_components(links)
+    roots = roots.withColumnRenamed("node", "class")
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     labelled = stage(
         classes.select("class", "rep").join(roots, "class", "left").join(degree, "class", "left")
