@@ -20,6 +20,10 @@ from threadlens.llm import decontaminate, line_dedup, near_dedup, quality, sampl
 from threadlens.llm.staging import stage
 
 
+#: Up to so many dropped documents (24 bytes each) are broadcast; then the texts needn't move.
+BROADCAST_COPIES = 500_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,12 +42,14 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group the smallest doc_id stays; texts without words are no group."""
-    judged = near_dedup.near_dedup(docs)
+    """Links have a similarity of 0.8 or more on five-word shingles. Of a group the
+    smallest doc_id stays; texts without words are no group."""
+    judged = near_dedup.near_dedup(docs, percent=80)
     gone = judged.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(text, F.lit(1)) == F.col("__t2"))
-    return docs.join(stage(gone, "near-copies"), match, "left_anti")
+    gone = stage(gone, "near-copies")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_COPIES else gone, match, "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

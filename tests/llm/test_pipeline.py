@@ -52,7 +52,7 @@ def test_near_dups_stage(steps):
     docs, done = steps[2]
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     sets = _sets(rows)
-    kept = [i for (i, _), c in zip(sets, _components(sets)) if i == c]
+    kept = [i for (i, _), c in zip(sets, _components(sets, 80)) if i == c]
     assert sorted(r[0] for r in done.select("doc_id").collect()) == sorted(kept)
 
 
