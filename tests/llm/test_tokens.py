@@ -167,3 +167,36 @@ def test_pieces_of_a_chunk_cover_it():
     starts, ends, offsets = huffman_ids.pieces(chunk)
     assert b"".join(chunk.data[a:b].tobytes() for a, b in zip(starts, ends)).decode() == text.replace(" ", "").replace("\n", "") + "z"
     assert np.diff(offsets).tolist()[1:] == [0, 0, 1]
+
+
+#: Texts with the tokenizer's added tokens: bare, glued, repeated, in capitals, cut short and over a border of rows.
+ADDED = [
+    f"{lead}{token}{tail}"
+    for token in ("<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|endoftext", "endoftext|>", "<|end oftext|>")
+    for lead, tail in (("", ""), ("ab ", " cd"), ("ab", "cd"), ("x!", "!y"), ("x'", "s it"), ("é", "\u0301a"), ("1", "2"), ("<|", "|>"), ("\n", "\n"))
+] + ["<|endoftext|><|startoftext|><|endoftext|>a<|endoftext|><|ENDOFTEXT|>", "ab <|endo", "ftext|> cd", "<|", "endoftext|>"]
+
+
+def test_added_tokens_stay_whole(spark):
+    rows = list(enumerate(ADDED))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    expected = {i: v for (i, _), v in _expected(rows).items()}
+    assert [3937, 49407, 4480, 2] in [v[3] for v in expected.values()]
+    for r in huffman_ids.read_ids(spark, huffman_ids.encode_corpus(docs, WORDS)).collect():
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], np.frombuffer(r["ids"], "<u4").tolist()) == expected[r["doc_id"]], ADDED[r["doc_id"]]
+
+
+@pytest.mark.parametrize("options", [{}, {"lstrip": True, "rstrip": True}, {"normalized": True}, {"single_word": True}])
+def test_added_tokens_of_any_kind(options):
+    """Overlapping tokens, one with a space, found raw, after normalising, or as words only."""
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.add_tokens([AddedToken(t, **({"normalized": False} | options)) for t in ("<a", "<a b>", "x9y")])
+    texts = ["<a b> <a  b> z<a b>z <A B><a", "", "x9y x9yz ax9y X9Y", "<a", " b>", "<|endoftext|>x9y"]
+    (chunk,) = textnum.chunks(pa.array(texts))
+    cache = huffman_ids._Pieces(tokenizer)
+    for _ in range(2):
+        ids, cuts = cache.documents(chunk)
+        got = [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

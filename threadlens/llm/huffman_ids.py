@@ -16,6 +16,7 @@ then the bit stream, all but the stream little-endian.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -137,14 +138,39 @@ _OTHER = ~_LETTER & (np.arange(256) < 128)
 _APOSTROPHE = 0x27
 
 
-def pieces(chunk: textnum.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def added_tokens(tokenizer) -> list[bytes] | None:
+    """The tokens that the tokenizer finds in the raw text before all else, longest first.
+
+    None if it has added tokens that it finds after normalising or by the
+    characters around them.
+    """
+    tokens = tokenizer.get_added_tokens_decoder().values()
+    if any(t.normalized or t.single_word for t in tokens):
+        return None
+    return sorted({t.content.encode() for t in tokens if t.content}, key=lambda t: (-len(t), t))
+
+
+def literals(chunk: textnum.Chunk, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the given tokens, leftmost and longest first within each document, and which each is."""
+    found, data = [], chunk.data.tobytes() if tokens else b""
+    if any(t in data for t in tokens):
+        number, pattern = {t: i for i, t in enumerate(tokens)}, re.compile(b"|".join(map(re.escape, tokens)))
+        docs = chunk.docs.tolist()
+        found = [(*m.span(), number[m.group()]) for a, b in zip(docs[:-1], docs[1:]) for m in pattern.finditer(data, a, b)]
+    starts, ends, which = np.array(found, np.int64).reshape(-1, 3).T
+    return starts, ends, which
+
+
+def pieces(chunk: textnum.Chunk, whole: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all pieces, and offsets of each document's pieces.
 
     Texts are cut where no token can span for a tokenizer that drops white
     space, lowers case and splits letters from other characters: at ASCII
     white space and between an ASCII letter and another ASCII character
-    (but not after an apostrophe, which may start a contraction). Encoding the
-    pieces one by one thus gives the ids of the whole text.
+    (but not after an apostrophe, which may start a contraction). The byte
+    ranges from the starts to the ends in ``whole``, the tokenizer's added
+    tokens, are a piece each. Encoding the pieces one by one thus gives the
+    ids of the whole text.
     """
     data = chunk.data
     inside = textnum.NOT_SPACE[data]
@@ -155,22 +181,39 @@ def pieces(chunk: textnum.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cut[0] = cut[-1] = True
         cut[1:-1] |= (letter[:-1] & other[1:]) | (other[:-1] & letter[1:] & (data[:-1] != _APOSTROPHE))
         cut[1:-1] |= inside[1:] != inside[:-1]
+    for a, b in zip(*(x.tolist() for x in whole)) if whole else ():
+        inside[a:b], cut[a:b] = True, False
+        cut[a] = cut[b] = True
     starts = np.flatnonzero(inside & cut[:-1])
     ends = np.flatnonzero(inside & cut[1:]) + 1
     return starts, ends, np.searchsorted(starts, chunk.docs)
 
 
 class _Pieces:
-    """Ids of the pieces seen, by the 64-bit hash of their lowered bytes."""
+    """Ids of the pieces seen, by the 64-bit hash of their lowered bytes, or of an added token's number."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.tokens = tokenizer, added_tokens(tokenizer)
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, chunk: textnum.Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, chunk: textnum.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk, and offsets of each document's ids."""
+        if self.tokens is None:
+            texts = [chunk.text(i).decode("utf-8", "replace") for i in range(len(chunk.docs) - 1)]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate(found), np.cumsum([0, *map(len, found)])
+        begin, end, which = literals(chunk, self.tokens)
+        starts, ends, offsets = pieces(chunk, (begin, end))
+        hashes = textnum.word_hashes(chunk, starts, ends)
+        # Apart from the same bytes in capitals, which aren't the token.
+        hashes[np.searchsorted(starts, begin)] = textnum.mix(~which.astype(np.uint64))
+        ids, total = self.encode(chunk, starts, ends, hashes)
+        return ids, np.concatenate([[0], total])[offsets]
+
+    def encode(self, chunk: textnum.Chunk, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the given pieces, and the running number of ids."""
-        hashes, first, group = np.unique(textnum.word_hashes(chunk, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, group = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, hashes)
         new = np.ones(len(hashes), bool)
         if len(self.keys):
@@ -212,9 +255,7 @@ def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in textnum.chunks(batch.column(1), 4 * textnum.CHUNK_BYTES):  # pieces repeat more in a longer chunk
-                starts, ends, offsets = pieces(chunk)
-                ids, total = _worker_cache(path).encode(chunk, starts, ends)
-                cuts = np.concatenate([[0], total])[offsets]
+                ids, cuts = _worker_cache(path).documents(chunk)
                 ids = np.insert(ids, cuts[1:], end_id).astype(kind)
                 cuts += np.arange(len(cuts))
                 out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
