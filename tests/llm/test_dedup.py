@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from threadlens.llm import components, exact_dedup, near_dedup, suffix_dedup, textnum
@@ -196,3 +198,38 @@ def test_equal_windows_have_equal_anchors():
     other = np.frombuffer(b"other " + text.tobytes()[30:90] + b" tail of the other one", np.uint8)
     keys = [set(suffix_dedup.anchors(textnum.Chunk(0, 1, x, np.array([0, len(x)])))[3].tolist()) for x in (text, other)]
     assert keys[0] & keys[1]
+
+
+def test_hot_anchors_arrive_as_few_rows(monkeypatch):
+    """A passage of all texts and a long run of one byte: two entries a key and batch, all occurrences counted."""
+    monkeypatch.setattr(suffix_dedup, "FOLD_KEYS", 100)
+    rng = np.random.default_rng(5)
+    passage = bytes(rng.integers(97, 123, 300).astype(np.uint8)).decode()
+    texts = [f"{i} " + bytes(rng.integers(97, 123, 80).astype(np.uint8)).decode() + passage for i in range(400)] + ["x" * 20_000, ""]
+    tags = suffix_dedup.textnum.mix(np.arange(1, len(texts) + 1, dtype=np.uint64))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(tags[a:b].view(np.int64)), pa.array(tags[a:b].view(np.int64)), pa.array(texts[a:b])], ["doc_id", "t1", "t2", "text"])
+        for a, b in ((0, 150), (150, 401), (401, 402))
+    ]
+    seen = {}
+    for batch in batches:
+        for chunk in textnum.chunks(batch.column(3)):
+            _, _, _, keys, doc = suffix_dedup.anchors(chunk)
+            for key, tag in zip(keys.tolist(), batch.column(1).to_numpy().view(np.uint64)[chunk.first + doc].tolist()):
+                seen.setdefault(key >> 21, []).append(tag)
+    assert max(map(len, seen.values())) > 10_000
+    sent = list(suffix_dedup._send_keys(3)(iter(batches)))
+    for batch in sent:
+        for row in batch.to_pylist():
+            _, n = np.unique(suffix_dedup._unfive(row["keys"]), return_counts=True)
+            assert n.max() <= 2
+    rows = pa.Table.from_batches(sent)
+    hot = set()
+    for bucket in range(8):
+        mine = rows.filter(pa.compute.equal(rows["bucket"], bucket))
+        (found,) = suffix_dedup._repeated_keys(3, 12, 300)(iter(mine.to_batches()))
+        part = np.unpackbits(np.frombuffer(found["part"][0].as_py(), np.uint8))
+        several = {(key & (1 << 40) - 1) >> 31 for key, t in seen.items() if key >> 40 == bucket and len(set(t)) > 1}
+        assert set(np.flatnonzero(part).tolist()) == several
+        hot |= set(found["hot"][0].as_py())
+    assert {h % (1 << 64) for h in hot} == {key for key, t in seen.items() if len(t) > 300 and len(set(t)) > 1} != set()

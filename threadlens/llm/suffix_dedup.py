@@ -7,7 +7,9 @@ place, and most have no partner, so Spark deals them out by content first:
 1. Anchors. A window's anchor is its leftmost GRAM-byte string of least hash.
    Equal windows have equal anchors at the same place, and about one byte in
    17 is an anchor. Tasks send anchor keys (5 bytes) with text tags (5 bytes),
-   packed by bucket; a bucket finds the keys that more than one text has. They
+   packed by bucket, of each key and Arrow batch only the least and greatest
+   tag and the number of occurrences; a bucket folds them as they arrive and
+   finds the keys that more than one text has. They
    come back as a bit table of at most 2 ** MAX_BITS bits, whatever the
    corpus: a fuller table lets more snippets pass, and changes no result.
 2. Snippets. Each run of windows that share a repeated anchor is sent, as one
@@ -50,10 +52,13 @@ SNIPPETS_PER_BUCKET = 1 << 15
 HOT_COUNT = 1 << 16
 MAX_BITS = 29
 HOT_KEYS = 1_000_000
+#: A bucket folds so many keys, or as many as it holds, at a time.
+FOLD_KEYS = 1 << 18
 #: Up to so many repeated texts (24 bytes each) are broadcast.
 BROADCAST_TEXTS = 500_000
 
 _KEY_SEED = np.uint64(0x632BE59BD9B4E019)
+_FORTY = np.uint64((1 << 40) - 1)
 
 
 # --- anchors -------------------------------------------------------------------------
@@ -105,7 +110,11 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_keys(bits: int):
-    """(bucket, keys, tags): 40 bits of each anchor key below its bucket's, 40 bits of its text's hash."""
+    """(bucket, keys, tags, places, more): 40 bits of each anchor key below its bucket's, 40 bits of its text's hash.
+
+    Of a key's tags in a batch the least and the greatest are sent; ``more``
+    has the number of the others by the place of the least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,22 +126,37 @@ def _send_keys(bits: int):
                 at.append(tags[chunk.first + doc])
             keys, at = np.concatenate(keys), np.concatenate(at)
             order = np.argsort(keys, kind="stable")
-            keys, at = keys[order], at[order]
-            bucket = _buckets(keys, bits)
+            keys, low, high, n = _fold(keys[order] >> np.uint64(24 - bits), at[order] & _FORTY, at[order] & _FORTY)
+            sent = 1 + (low != high)
+            start = np.cumsum(sent) - sent
+            keys, at, more = np.repeat(keys, sent), np.repeat(high, sent), np.zeros(int(sent.sum()), np.uint32)
+            at[start], more[start] = low, n - sent
+            bucket = (keys >> np.uint64(40)).astype(np.int64)
             first, last = _runs(bucket)
-            rest = (keys << np.uint64(bits)) >> np.uint64(24)
+            places = [np.flatnonzero(more[a:b]) for a, b in zip(first, last)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket[first]),
-                    pa.array([_five(rest[a:b]) for a, b in zip(first, last)], pa.binary()),
+                    pa.array([_five(keys[a:b]) for a, b in zip(first, last)], pa.binary()),
                     pa.array([_five(at[a:b]) for a, b in zip(first, last)], pa.binary()),
+                    pa.array([x.astype("<u4").tobytes() for x in places], pa.binary()),
+                    pa.array([more[a + x].astype("<u4").tobytes() for a, x in zip(first, places)], pa.binary()),
                 ],
-                ["bucket", "keys", "tags"],
+                ["bucket", "keys", "tags", "places", "more"],
             )
 
     return run
 
 
+def _fold(keys: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted keys once each, with the least ``low``, the greatest ``high`` and the sum of ``n`` (1 each by default)."""
+    first, last = _runs(keys)
+    if not len(first):
+        return keys, low, high, np.zeros(0, np.int64)
+    n = last - first if n is None else np.add.reduceat(n, first)
+    return keys[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), n
+
+
 def _five(values: np.ndarray) -> bytes:
     """The low five bytes of each value, byte plane by byte plane."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
@@ -148,23 +172,37 @@ def _unfive(data: bytes) -> np.ndarray:
 def _repeated_keys(bits: int, table_bits: int, hot_count: int):
     """Per bucket: its part of the bit table of repeated keys, and its hot keys."""
 
-    def run(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unfive(x) for x in table.column("keys").to_pylist()])
-        tags = np.concatenate([_unfive(x) for x in table.column("tags").to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        keys, tags = keys[order], tags[order]
-        first, last = _runs(keys)
-        several = np.minimum.reduceat(tags, first) != np.maximum.reduceat(tags, first)
-        bucket = table.column("bucket")[0].as_py()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, parts, waiting = 0, [_none()], [], 0
+
+        def fold() -> tuple[np.ndarray, ...]:
+            columns = [np.concatenate(x) for x in zip(*held, *parts)]
+            order = np.argsort(columns[0], kind="stable")
+            return _fold(*(x[order] for x in columns))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                bucket, keys, tags = row["bucket"], _unfive(row["keys"]), _unfive(row["tags"])
+                n = np.ones(len(keys), np.int64)
+                n[np.frombuffer(row["places"], "<u4")] += np.frombuffer(row["more"], "<u4")
+                parts.append((keys, tags, tags, n))
+                waiting += len(keys)
+                if waiting > max(FOLD_KEYS, len(held[0][0])):
+                    held, parts, waiting = [fold()], [], 0
+        keys, low, high, n = fold()
+        several = low != high
         part = np.zeros(1 << (table_bits - bits), bool)
-        part[keys[first[several]] >> np.uint64(40 - (table_bits - bits))] = True
-        hot = keys[first[several & (last - first > hot_count)]]
-        whole = (np.uint64(bucket) << np.uint64(40)) | hot
-        return pa.table([pa.array([bucket]), pa.array([np.packbits(part).tobytes()], pa.binary()), pa.array([whole.view(np.int64).tolist()], pa.list_(pa.int64()))], ["bucket", "part", "hot"])
+        part[keys[several] >> np.uint64(40 - (table_bits - bits))] = True
+        whole = (np.uint64(bucket) << np.uint64(40)) | keys[several & (n > hot_count)]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([np.packbits(part).tobytes()], pa.binary()), pa.array([whole.view(np.int64).tolist()], pa.list_(pa.int64()))], ["bucket", "part", "hot"])
 
     return run
 
 
+def _none() -> tuple[np.ndarray, ...]:
+    return tuple(np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.uint64, np.int64))
+
+
 class _Filter:
     """The bit table of repeated keys, and the hot keys with their bucket above 40 bits."""
 
@@ -409,7 +447,7 @@ def repeated_runs(texts: DataFrame, total_bytes: int, hot_count: int = HOT_COUNT
     table_bits = max(bits + 3, min(MAX_BITS, expected.bit_length() + 2, bits + 40))
     hot_count = max(hot_count, expected // HOT_KEYS)
     found = (
-        texts.mapInArrow(_send_keys(bits), "bucket long, keys binary, tags binary")
+        texts.mapInArrow(_send_keys(bits), "bucket long, keys binary, tags binary, places binary, more binary")
         .groupBy("bucket")
         .applyInArrow(_repeated_keys(bits, table_bits, hot_count), "bucket long, part binary, hot array<long>")
         .collect()  # at most 2 ** MAX_BITS bits and HOT_KEYS keys
