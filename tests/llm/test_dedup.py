@@ -233,3 +233,13 @@ def test_hot_anchors_arrive_as_few_rows(monkeypatch):
         assert set(np.flatnonzero(part).tolist()) == several
         hot |= set(found["hot"][0].as_py())
     assert {h % (1 << 64) for h in hot} == {key for key, t in seen.items() if len(t) > 300 and len(set(t)) > 1} != set()
+
+
+def test_readme_states_the_bands():
+    from pathlib import Path
+
+    readme = " ".join((Path(__file__).resolve().parents[2] / "README.md").read_text().split())
+    at85, at80 = near_dedup.LINKS[85], near_dedup.LINKS[80]
+    miss = [f"{(1 - (x.percent / 100) ** x.rows) ** x.bands:.0e}".replace("e-0", "e-") for x in (at85, at80)]
+    assert f"{at85.bands} bands of {at85.rows} ({at80.bands} of {at80.rows} for the pipeline's 0.8)" in readme
+    assert f"with a probability of {miss[0]} ({miss[1]} at 0.8)" in readme
