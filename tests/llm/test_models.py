@@ -153,3 +153,29 @@ def test_quality_edges(spark, scored, edge_docs, no_docs):
     for docs, reviews in ((edge_docs, None), (no_docs, labels), (edge_docs, labels.limit(0))):
         fitted = quality.fit(docs, reviews)
         assert quality.score(edge_docs, fitted).count() == edge_docs.count()
+
+
+def test_every_language_is_sampled(spark, monkeypatch):
+    """More languages than sample texts: each is learned, from its least hashes, and none with more than its share."""
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 10)
+    rows = [(i, f"{'abcdefghijkl'[i % 12] * 4} {i}", f"l{i % 12}") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert set(model.languages) == {f"l{k}" for k in range(12)}
+    keys = docs.select("lang", F.xxhash64("doc_id").alias("h"))
+    chosen, n = language_id._sample(keys)
+    assert n == 12 and {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()} == {f"l{k}": language_id.LEAST_TEXTS for k in range(12)}
+    order = lambda h: (h % (1 << 40), h)
+    mine = sorted((r["h"] for r in keys.filter("lang = 'l3'").collect()), key=order)[: language_id.LEAST_TEXTS]
+    assert sorted(r["h"] for r in chosen.filter("lang = 'l3'").collect()) == sorted(mine)
+
+
+def test_repeated_ids_keep_the_language_sample_bounded(spark, monkeypatch):
+    """One id on many rows: the sample is one of texts, not all or none of the id's rows."""
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 40)
+    fitted, kmeans = [], language_id._spherical_kmeans
+    monkeypatch.setattr(language_id, "_spherical_kmeans", lambda x, k: fitted.append(len(x)) or kmeans(x, k))
+    one = next(r["id"] for r in spark.range(9).filter(language_id.in_training(F.col("id"))).collect())
+    rows = [(one, f"some words {i}", "a") for i in range(3000)] + [(one, "wieder derselbe", "b")] * 3000
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted == [20, 1]

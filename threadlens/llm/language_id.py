@@ -7,8 +7,10 @@ language. A text further from its centroid than nearly all of that centroid's
 own members is marked as rejected.
 
 The inverse document frequencies cover every training text. The centroids are
-fitted on a bounded sample: at most about ``SAMPLE_TEXTS`` vectors, shared
-evenly by the languages and drawn by a hash of the id.
+fitted on a bounded sample: ``SAMPLE_TEXTS`` vectors shared evenly by the
+languages, but LEAST_TEXTS for each language at least (all it has, if fewer), so
+with many languages the bound follows their number. A language's sample has the
+least hashes of id and text; rows that repeat both are drawn once.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import bound_batches
+from threadlens.llm.staging import bound_batches, stage
 
 DIMS = 4096
 SAMPLE_TEXTS = 3000
+LEAST_TEXTS = 20
 CLUSTERS = 4
 ROUNDS = 12
 #: Rejected below the mean cosine of a centroid's members less so many deviations.
@@ -123,6 +126,20 @@ def _spherical_kmeans(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centroids, np.argmax(x @ centroids.T, axis=1)
 
 
+def _sample(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The sample's (lang, h), each language's least distinct hashes, and the number of languages."""
+    keys = stage(rows.distinct(), "language-keys")
+    sizes = stage(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")  # one row per language
+    n_languages = sizes.count()
+    share = max(LEAST_TEXTS, SAMPLE_TEXTS // max(1, n_languages))
+    # A limit on the hash first, six deviations and more above the share, so that few rows are sorted.
+    ample = share + 6 * share**0.5 + LEAST_TEXTS
+    draw = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    few = keys.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < ample)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "h"))
+    return few.withColumn("rank", rank).filter(F.col("rank") <= share).select("lang", "h"), n_languages
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the training texts that have a language."""
     train = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
@@ -130,14 +147,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     )
     frequency, n = document_frequencies(train, "text")
     idf = (np.log((n + 1) / (frequency + 1)) + 1).astype(np.float32)
-    sizes = train.filter(F.length("text") > 0).groupBy("lang").count().collect()  # one row per language
-    share = SAMPLE_TEXTS // max(1, len(sizes))
-    if not sizes:
+    train = train.filter(F.length("text") > 0).withColumn("h", F.xxhash64("id", "text", F.lit(5)))
+    chosen, n_languages = _sample(train.select("lang", "h"))
+    if not n_languages:
         return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    # A hash below the language's quota keeps about `share` of its texts.
-    quota = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, share / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    sample = train.filter((F.length("text") > 0) & (draw < quota[F.col("lang")])).select("lang", "text")
+    sample = train.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     [batch.column(0).slice(chunk.first, len(x)), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "vector"]
                 )
 
-    rows = sample.mapInArrow(vectors, "lang string, vector binary").collect()  # about SAMPLE_TEXTS rows
+    rows = sample.mapInArrow(vectors, "lang string, vector binary").collect()  # at most `chosen`
     centroids, languages, least = [], [], []
     for lang in sorted({r["lang"] for r in rows}):
         x = _unit(np.stack([np.frombuffer(r["vector"], np.float16) for r in rows if r["lang"] == lang]).astype(np.float32))
