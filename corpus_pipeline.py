@@ -42,14 +42,32 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links have a similarity of 0.8 or more on five-word shingles. Of a group the
-    smallest doc_id stays; texts without words are no group."""
-    judged = near_dedup.near_dedup(docs, percent=80)
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    """Links have a similarity of 0.8 or more on five-word shingles. Of a group one
+    row of the smallest doc_id stays, of a group without ids one row; texts without
+    words are no group."""
+    judged = near_dedup.near_dedup(docs, percent=80, with_group=True)
+    judged = stage(judged.select("doc_id", "t1", "t2", "near_group", "kept"), "near-judged")
+    name = F.struct("doc_id", "t1", "t2")
+    several = judged.filter("kept and near_group is not null").groupBy("near_group").agg(F.min(name).alias("least"), F.count(F.lit(1)).alias("n"))
+    several = stage(several.filter("n > 1").select("near_group", "least"), "near-several")
+    beside = judged.filter("kept").join(several, "near_group").filter(name != F.col("least"))
+    gone = judged.filter("not kept").select("doc_id", "t1", "t2").unionByName(beside.select("doc_id", "t1", "t2")).distinct()
+    left = _matching(docs, stage(gone, "near-copies"), "left_anti")
+    if several.isEmpty():
+        return left
+    # What stays of these groups has one id and text, maybe on several rows.
+    least = several.select("least.*")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one = _matching(left, least, "left_semi").withColumns({"__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(1))})
+    return _matching(left, least, "left_anti").unionByName(one.dropDuplicates(["doc_id", "__t1", "__t2"]).drop("__t1", "__t2"))
+
+
+def _matching(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with the staged ``names`` (doc_id, t1, t2) by id and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(text, F.lit(1)) == F.col("__t2"))
-    gone = stage(gone, "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_COPIES else gone, match, "left_anti")
+    names = names.toDF("__id", "__t1", "__t2")
+    return docs.join(F.broadcast(names) if names.count() <= BROADCAST_COPIES else names, match, how)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

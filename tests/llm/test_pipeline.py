@@ -74,3 +74,15 @@ def test_stages_take_edge_tables(spark, edge_docs, no_docs):
         for _, function in corpus_pipeline.STAGES[:-1]:
             assert function(spark, docs, SF).select([F.col(f"`{c}`") for c in docs.columns]).count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_near_dups_stage_keeps_one_row_of_a_group(spark):
+    """Rows that repeat an id and text, an id with two near texts, and groups without an id."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(100))
+    rows = [(8, ""), (8, ""), (None, None), (None, None), (1, words(1)), (1, words(1)), (2, words(1) + " more")]
+    rows += [(None, words(2)), (None, words(2)), (None, words(2) + " more"), (None, words(3)), (None, words(4)), (7, words(4) + " more")]
+    rows += [(5, words(5)), (5, words(5) + " more"), (9, words(6))]
+    docs = spark.createDataFrame([(*r, {"row": str(i)}) for i, r in enumerate(rows)], "doc_id long, text string, other map<string, string>").coalesce(1)
+    got = [(r["doc_id"], (r["text"] or "").split("x")[0]) for r in corpus_pipeline.near_dups_stage(spark, docs, SF).collect()]
+    expected = [(1, "w1"), (None, "w2"), (None, "w3"), (7, "w4"), (5, "w5"), (8, ""), (8, ""), (None, ""), (None, ""), (9, "w6")]
+    assert sorted(map(str, got)) == sorted(map(str, expected))

@@ -342,7 +342,7 @@ def _verify(link: Link, pairs: DataFrame, classes: DataFrame, texts: DataFrame)
     return links
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, with_group: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, links, t1, t2.
 
     ``percent`` is the similarity of a link, one of LINKS.
@@ -354,6 +354,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with a null id can be linked, but an id of its component is never null
     unless all are; it is kept only if its component has no id. Rows that
     repeat an id and text share one fate. An empty table gives no rows.
+    ``with_group`` adds the binary ``near_group`` that names the row's component
+    even if that has no id; it is null for a text without shingles.
     """
     link = LINKS[percent]
     texts = _keyed(bound_batches(docs), id_col, text_col)
@@ -402,7 +404,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "class-roots",
     )
     least = stage(labelled.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
-    by_class = stage(labelled.join(least, "root").select("class", "component_id", "links"), "class-components")
+    by_class = stage(labelled.join(least, "root").select("class", "component_id", "links", "root"), "class-components")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         rows.select("doc_id", "t1", "t2", "n", "class")
@@ -411,5 +413,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
             F.col("doc_id").eqNullSafe(component).alias("kept"),
             F.coalesce("links", F.lit(0)).cast("long").alias("links"), "t1", "t2",
+            *([F.col("root").alias("near_group")] if with_group else []),
         )
     )
