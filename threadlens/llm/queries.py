@@ -115,6 +115,23 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.whitening import fit, identity_error, whiten
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = fit(rows)
+    error = identity_error(rows, model)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]) if len(model.explained) else F.array().cast("array<double>")
+    return (
+        whiten(rows, model, keep_vector=False)
+        .select("vec_id", F.col("whitening.deviation").alias("deviation"), F.posexplode("whitening.whitened").alias("at", "whitened"))
+        .select(
+            "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+            explained[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -128,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_sample_pieces,
         op10_token_ids,
+        op11_whiten,
     )
 }

@@ -10,6 +10,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def free_name(columns: Iterable[str], base: str) -> str:
+    """``base``, lengthened until it is none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     spark = df.sparkSession
