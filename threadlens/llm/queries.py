@@ -132,6 +132,32 @@ def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """Rows with faults by crc32(conv_id:turn) % 20: 0 drops a row, 1 empties its text, 2
+    removes its sentence ends, 3 repeats it, 4 makes it the user's. Nulls are one space."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.conversation_repair import repair
+
+    conversations = _table(spark, sf_dir, "conversations")
+    found = repair(damaged_conversations(conversations)).withColumnRenamed("conv_id", "of")
+    every = conversations.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -146,5 +172,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sample_pieces,
         op10_token_ids,
         op11_whiten,
+        op12_repair_conversations,
     )
 }
