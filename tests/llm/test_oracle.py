@@ -26,6 +26,6 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     registered = entry.queries()
-    assert {f"op{n}" for n in range(1, 13)} == {k.split("_")[0] for k in registered if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registered if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in registered
     assert set(ORACLE) <= set(entry.oracle_sql())

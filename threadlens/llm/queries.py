@@ -158,6 +158,12 @@ def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlens.llm.signature_join import signature_join
+
+    return signature_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -173,5 +179,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_ids,
         op11_whiten,
         op12_repair_conversations,
+        op13_signature_join,
     )
 }

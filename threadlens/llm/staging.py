@@ -10,10 +10,13 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadlens.session import ensure_checkpoint_dir
 
@@ -63,6 +66,32 @@ def free_name(columns: Iterable[str], base: str) -> str:
     return base
 
 
+#: Bits of the table that thins rows before a join: 16 MB, whatever is joined.
+THIN_BITS = 1 << 27
+
+
+def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose hash ``key`` (a long) is not in ``wanted``.
+
+    A bit table of a fixed size is shipped to the tasks, so the join that
+    follows moves few other rows; the larger ``wanted`` is, the more pass.
+    """
+    word = F.col(key).bitwiseAND(F.lit(THIN_BITS - 1))
+    one = F.expr(f"shiftleft(1L, cast(({key} & {THIN_BITS - 1}) & 63 as int))")
+    found = wanted.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(THIN_BITS // 64, np.uint64)
+    table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    column = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(column).to_numpy().view(np.uint64) & np.uint64(THIN_BITS - 1)
+            bit = table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(bit.astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     spark = df.sparkSession
