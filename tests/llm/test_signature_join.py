@@ -97,7 +97,7 @@ def test_bounds_hold():
         b = np.unique(np.concatenate([a[: int(len(a) * rng.uniform(0.8, 1))], rng.integers(0, 1 << 62, n // 12, dtype=np.uint64)]))
         met = []
         sizes = np.array([len(a), len(b)])
-        walk = join.Traversal(80, sizes, np.arange(2), np.zeros(2, int), lambda i, j: met.append((i, j)))
+        walk = join.Traversal(80, sizes, np.arange(2), np.zeros(2, int), np.zeros((2, 0), np.float32), lambda i, j: met.append((i, j)))
         walk.run(np.arange(2), [join.signature(a).tobytes(), join.signature(b).tobytes()])
         assert met or not join._linked(80, a, b)
 

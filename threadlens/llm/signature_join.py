@@ -14,7 +14,8 @@ low, or whose rows are all connected already. Three traversals:
 
 1. propose: row pairs that pass become proposals, unless earlier ones connect
    them, most overlap first; proposals are verified on the full texts. A bucket
-   whose proposals all hold is done, as its tree was searched whole.
+   whose proposals all hold is done, as its tree was searched whole. The other
+   buckets follow with the rows that still have somebody to meet in them.
 2. Buckets above BLOCK rows are cut into random blocks for that, anew in each
    of ROUNDS rounds.
 3. rest: of the buckets left, rows that could link with another component are
@@ -49,6 +50,8 @@ LEAST_FREQUENT = 16
 BLOCK = 512
 GROUP_BYTES = 1 << 20
 ROUNDS = 2
+#: Up to so many rows of a bucket are asked whom they have yet to meet; of larger ones all rows stay.
+ASKED = 4096
 LEAF = 16
 FANOUT = 8
 LEAST_BITS = 64
@@ -204,11 +207,12 @@ class Traversal:
     """Row pairs of a bucket that could be linked, handed to ``meet`` leaf by leaf.
 
     ``label`` names the rows' components; ``meet`` may merge labels. Rows of
-    sides 1 and 2 meet the other side alone, rows of side 0 meet all.
+    sides 1 and 2 meet the other side alone, rows of side 0 meet all. Rows that
+    share a bucket in ``before`` (rows x buckets) have met there.
     """
 
-    def __init__(self, percent: int, n: np.ndarray, label: np.ndarray, side: np.ndarray, meet: Callable[[np.ndarray, np.ndarray], None]):
-        self.percent, self.n, self.label, self.side, self.meet = percent, n, label, side, meet
+    def __init__(self, percent: int, n: np.ndarray, label: np.ndarray, side: np.ndarray, before: np.ndarray, meet: Callable[[np.ndarray, np.ndarray], None]):
+        self.percent, self.n, self.label, self.side, self.before, self.meet = percent, n, label, side, before, meet
 
     def run(self, rows: np.ndarray, signatures: list[bytes]) -> None:
         rows = rows[np.lexsort((self.n[rows], self.label[rows]))]
@@ -267,6 +271,8 @@ class Traversal:
         could &= self.label[i][:, None] != self.label[j][None, :]
         side, other = self.side[i][:, None], self.side[j][None, :]
         could &= (side == 0) | (side != other)
+        if self.before.shape[1] and could.any():
+            could &= self.before[i] @ self.before[j].T == 0
         if a is b:
             could = np.triu(could, 1)
         u, v = np.nonzero(could)
@@ -282,6 +288,35 @@ def _buckets(table: pa.Table) -> Iterator[tuple[int, int]]:
     return zip([0, *edges.tolist()], [*edges.tolist(), len(key)] if len(key) else [])
 
 
+def _before(table: pa.Table, first: int, last: int) -> np.ndarray:
+    """Which earlier buckets the rows of a bucket are in, as 0 or 1."""
+    column = table.column("own").slice(first, last - first).combine_chunks()
+    flat = column.flatten().to_numpy()
+    keys, at = np.unique(flat, return_inverse=True)
+    out = np.zeros((last - first, len(keys)), np.float32)
+    out[np.repeat(np.arange(last - first), np.diff(column.offsets.to_numpy())), at] = 1
+    return out
+
+
+def _unmet(percent: int, table: pa.Table) -> pa.Table:
+    """(key, c): the rows that could be linked, by their sizes, with one they haven't met."""
+    table = table.sort_by("key")
+    n = table.column("n").to_numpy()
+    label = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1] if len(n) else n
+    stays = np.zeros(len(n), bool)
+    for first, last in _buckets(table):
+        if last - first > ASKED:
+            stays[first:last] = True
+            continue
+        before, size, own = _before(table, first, last), n[first:last], label[first:last]
+        for a in range(0, last - first, 512):
+            x = slice(a, a + 512)
+            some = (before[x] @ before.T == 0) & (own[x][:, None] != own[None, :])
+            some &= np.minimum(size[x][:, None], size[None, :]) * 100 >= np.maximum(size[x][:, None], size[None, :]) * percent
+            stays[first:last][x] = some.any(axis=1)
+    return table.filter(pa.array(stays)).select(["key", "m", "c"])
+
+
 def _arrays(table: pa.Table) -> tuple:
     table = table.sort_by("key")
     roots = {r: k for k, r in enumerate(sorted(set(table.column("root").to_pylist())))}
@@ -289,6 +324,13 @@ def _arrays(table: pa.Table) -> tuple:
     return table, table.column("n").to_numpy(), label, table.column("side").to_numpy(), table.column("sig").to_pylist()
 
 
+def _walk(percent: int, table: pa.Table, n: np.ndarray, label: np.ndarray, side: np.ndarray, signatures: list, first: int, last: int, meet) -> None:
+    """Traverse rows [first, last), a bucket; ``meet`` gets row numbers of the table."""
+    own = slice(first, last)
+    walk = Traversal(percent, n[own], label[own], side[own], _before(table, first, last), lambda i, j: meet(i + first, j + first))
+    walk.run(np.arange(last - first), signatures[own])
+
+
 def _proposals(percent: int, table: pa.Table) -> pa.Table:
     """(key, a, b): pairs that would connect the classes that could be linked."""
     table, n, label, side, signatures = _arrays(table)
@@ -303,7 +345,7 @@ def _proposals(percent: int, table: pa.Table) -> pa.Table:
                     out.append((int(keys[x]), min(classes[x], classes[y]), max(classes[x], classes[y])))
                     part[part == label[y]] = label[x]
 
-        Traversal(percent, n, label, side, meet).run(np.arange(first, last), signatures)
+        _walk(percent, table, n, label, side, signatures, first, last, meet)
     return pa.table({"key": pa.array([o[0] for o in out], pa.int64()), "a": pa.array([o[1] for o in out], pa.binary()), "b": pa.array([o[2] for o in out], pa.binary())})
 
 
@@ -316,8 +358,8 @@ def _marked(percent: int, table: pa.Table) -> pa.Table:
         live[i] = live[j] = True
 
     for first, last in _buckets(table):
-        Traversal(percent, n, label, side, meet).run(np.arange(first, last), signatures)
-    return table.filter(pa.array(live)).select(["key", "i", "j", "side", "class", "root", "n", "sig"])
+        _walk(percent, table, n, label, side, signatures, first, last, meet)
+    return table.filter(pa.array(live)).select(["key", "i", "j", "side", "class", "root", "n", "sig", "own"])
 
 
 def _checked(percent: int, table: pa.Table) -> pa.Table:
@@ -335,7 +377,7 @@ def _checked(percent: int, table: pa.Table) -> pa.Table:
                     out.append((min(classes[x], classes[y]), max(classes[x], classes[y])))
                     part[part == label[y]] = label[x]
 
-        Traversal(percent, n, label, side, meet).run(np.arange(first, last), signatures)
+        _walk(percent, table, n, label, side, signatures, first, last, meet)
     return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
 
 
@@ -355,10 +397,10 @@ def _group(rows: DataFrame, weight, function, schema: str) -> DataFrame:
 
 
 def _propose(percent: int, rows: DataFrame, turn: int) -> DataFrame:
-    """(key, a, b) from whole small buckets and from random blocks of large ones (key, m, class, root, n, sig)."""
+    """(key, a, b) from whole small buckets and from random blocks of large ones (key, m, class, root, n, sig, own)."""
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     block = F.when(F.col("m") <= BLOCK, -1).otherwise(F.pmod(F.xxhash64("class", "key", F.lit(turn)), blocks).cast("int"))
-    rows = rows.select("key", "class", "root", "n", "sig", block.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    rows = rows.select("key", "class", "root", "n", "sig", "own", block.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
     return stage(_group(rows, F.octet_length("sig"), lambda t: _proposals(percent, t), "key long, a binary, b binary"), "proposals")
 
 
@@ -396,8 +438,8 @@ def _verify(percent: int, pairs: DataFrame, classes: DataFrame, texts: DataFrame
 
 
 def _rest(percent: int, rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links between components that the buckets (key, m, class, root, n, sig) still hold."""
-    base = ["key", "class", "root", "n", "sig"]
+    """All links between components that the buckets (key, m, class, root, n, sig, own) still hold."""
+    base = ["key", "class", "root", "n", "sig", "own"]
     small = rows.filter(F.col("m") <= BLOCK).select(*base, F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
     large = rows.filter(F.col("m") > BLOCK)
     sizes = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("r")).groupBy("key").agg(F.max(F.struct("r", "root")).alias("main"))
@@ -407,14 +449,14 @@ def _rest(percent: int, rows: DataFrame, classes: DataFrame, texts: DataFrame) -
     mains = F.greatest(F.ceil(F.col("main.r") / half), F.lit(1)).cast("int")
     part, block = F.pmod(F.xxhash64("class"), parts).cast("int"), F.pmod(F.xxhash64("class"), mains).cast("int")
     # Blocks of other components meet each other, and each block of the main one (j beyond any part).
-    apart = large.filter("not is_main").withColumn("own", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    apart = apart.select(*base, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    apart = large.filter("not is_main").withColumn("mine", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    apart = apart.select(*base, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"))
     beyond = F.lit(1 << 30)
     outer = large.filter("not is_main").select(*base, part.alias("i"), F.explode(F.sequence(beyond, beyond + mains - 1)).alias("j"), F.lit(1).alias("side"))
     inner = large.filter("is_main").select(*base, F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), (block + beyond).alias("j"), F.lit(2).alias("side"))
     blocks = small.unionByName(apart).unionByName(outer).unionByName(inner)
-    live = _group(blocks, F.octet_length("sig"), lambda t: _marked(percent, t), "key long, i int, j int, side int, class binary, root binary, n long, sig binary")
+    live = _group(blocks, F.octet_length("sig"), lambda t: _marked(percent, t), "key long, i int, j int, side int, class binary, root binary, n long, sig binary, own array<long>")
     live = stage(live, "live-rows")
     found = _fetch(live.select("class"), classes, texts)
     links = stage(_group(live.join(found, "class"), F.octet_length("text"), lambda t: _checked(percent, t), "a binary, b binary").distinct(), "rest-links")
@@ -448,27 +490,39 @@ def signature_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stage(classes.select("class", "rep", "n", "c", "t.t1", "t.t2", "sig", "keys"), "classes")
     # Buckets name classes by half their digest; where two share it, both come.
     exploded = classes.select("c", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = stage(exploded.join(stage(shared, "shared-keys"), "key"), "members")
+    shared = stage(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-keys")
+    members = stage(thinned(exploded, shared, "key").join(shared, "key"), "members")
     same = members.groupBy("key", "m").agg(F.bit_xor(F.xxhash64("c")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2"))
     kept = stage(same.groupBy("m", "f1", "f2").agg(F.min("key").alias("key")).select("key"), "kept-keys")
     buckets = stage(members.join(kept, "key"), "buckets")
     unstage(members)
-    described = classes.select("class", "c", "n", "sig")
-    rows_of = lambda b: b.join(described, "c").select("key", "m", "class", "n", "sig")
-
-    proposals = _propose(percent, rows_of(buckets).withColumn("root", F.col("class")), 0)
-    links = _verify(percent, proposals, classes, texts)
-    failed = proposals.join(links, ["a", "b"], "left_anti").select("key").distinct()
-    left = stage(buckets.join(failed.withColumn("failed", F.lit(True)), "key", "left").filter(F.col("failed") | (F.col("m") > BLOCK)).drop("failed"), "buckets-left")
-    roots = None
+    least = buckets.groupBy("c").agg(F.min("key").alias("key")).select("key").distinct()
+    buckets = stage(buckets.join(least.withColumn("chosen", F.lit(True)), "key", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))), "chosen-keys")
+    met = buckets.filter("chosen").groupBy("c").agg(F.collect_set("key").alias("met"))
+    described = stage(classes.select("class", "c", "n", "sig").join(met, "c"), "members-described")
+
+    def rows_of(some: DataFrame, chosen: bool) -> DataFrame:
+        own = F.filter("met", lambda k: k < F.col("key")) if chosen else F.col("met")
+        return some.join(described, "c").select("key", "m", "class", "n", "sig", own.alias("own"))
+
+    first = rows_of(buckets.filter("chosen"), True)
+    links, open_first = _linked_buckets(percent, first.withColumn("root", F.col("class")), classes, texts)
+    roots = connected_components(links)
+    # Whoever has somebody to meet beyond the chosen buckets.
+    narrow = _labelled(buckets.filter("not chosen").join(described.drop("sig"), "c").select("key", "m", "c", "class", "n", F.col("met").alias("own")), roots)
+    asked = narrow.select("key", "m", "c", "root", "n", "own", F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    unmet = _group(asked, F.size("own") * 8, lambda t: _unmet(percent, t), "key long, m long, c long").distinct()
+    second = stage(_labelled(rows_of(unmet, False), roots), "second-rows")
+    more, open_second = _linked_buckets(percent, second, classes, texts)
+    links = stage(links.unionByName(more), "links-so-far")
+    left = stage(first.join(open_first, "key").unionByName(second.drop("root").join(open_second, "key")), "buckets-left")
     for turn in range(1, ROUNDS + 1):
         roots = connected_components(links)
-        mixed = _mixed(rows_of(left), roots)
-        if turn == ROUNDS or mixed.filter(F.col("m") > BLOCK).isEmpty():
+        mixed = _mixed(left, roots)
+        large = mixed.filter(F.col("m") > BLOCK)
+        if turn == ROUNDS or large.isEmpty():
             break
-        more = _verify(percent, _propose(percent, mixed.filter(F.col("m") > BLOCK), turn), classes, texts)
-        links = stage(links.unionByName(more), "links-so-far")
+        links = stage(links.unionByName(_verify(percent, _propose(percent, large, turn), classes, texts)), "links-so-far")
     rest = None if mixed.isEmpty() else _rest(percent, mixed, classes, texts)
     if rest is not None and not rest.isEmpty():
         roots = connected_components(links.unionByName(rest))
@@ -479,8 +533,21 @@ def signature_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("doc_id", "n", "class").join(by_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with their class's component as ``root``."""
+    return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def _linked_buckets(percent: int, rows: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links of the buckets' proposals, and the keys of buckets that may hold more."""
+    proposals = _propose(percent, rows, 0)
+    links = _verify(percent, proposals, classes, texts)
+    failed = proposals.join(links, ["a", "b"], "left_anti").select("key")
+    return links, failed.unionByName(rows.filter(F.col("m") > BLOCK).select("key")).distinct()
+
+
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, m, class, root, n, sig) of the buckets that hold several components."""
-    labelled = stage(rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "labelled")
+    """(key, m, class, root, n, sig, own) of the buckets that hold several components."""
+    labelled = stage(_labelled(rows, roots), "labelled")
     several = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
     return stage(labelled.join(several, "key"), "mixed")
