@@ -19,7 +19,8 @@ EDGE_ROWS = [
     (11, "TWO words", "de", "c"),
 ]
 #: Extra columns whose names clash with those that the operators use.
-EXTRA = ["kept", "n", "class", "decon", "language", "quality_check", "piece_ids", "host", "rule", "lines", "site", "id", "ids", "start", "dedup_lines"]
+EXTRA = ["kept", "n", "class", "decon", "language", "quality_check", "piece_ids", "host", "rule", "lines", "site", "id", "ids", "start", "dedup_lines", "Dedup_Dropped", "site_key", "salt", "salts", "bad_lines", "kept_lines",
+         "seed", "runs", "items", "wanted", "t1", "t2", "hash_a", "pages", "bad", "key", "c"]
 
 
 @pytest.fixture(scope="session")

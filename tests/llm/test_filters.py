@@ -57,19 +57,33 @@ def test_rule_beats_list_and_empty_tables(spark):
 
 def test_line_dedup_by_site(spark):
     rows = [(i, f"Header\nbody {i}\n\nbody {i}", "a") for i in range(20)]
-    rows += [(100 + i, f"Header\nother {i}", "b") for i in range(4)]  # under min_pages
+    rows += [(100 + i, f"Header\nother {i}", "b") for i in range(4)]
     rows += [(200 + i, " Menu \t\nx", None) for i in range(6)]
     rows += [(300, None, "a"), (301, "", "a"), (None, "Header", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {(r["doc_id"]): r for r in line_dedup.line_dedup(df).collect()}
     assert got[3]["text"] == "body 3\n\nbody 3" and (got[3]["dedup_lines"], got[3]["dedup_dropped"]) == (4, 1)
-    assert got[101]["text"] == "Header\nother 1"
+    assert got[101]["text"] == "other 1"
     assert got[205]["text"] == "" and got[205]["dedup_dropped"] == 2
     assert got[300]["text"] is None and got[301]["text"] == "" and got[None]["text"] == ""
 
 
+@pytest.mark.parametrize("pages", [1, 2, 3, 4, 30])
+def test_line_dedup_ratio_decides(spark, pages):
+    """From two pages on, the ratio alone tells boilerplate, on sites of any size."""
+    rows = [(i, f"All\n{'Two' if i < 2 else f'own {i}'}\n{i}", "a") for i in range(pages)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    few = 1 < pages < 20  # 2 of 20 pages are not more than a tenth
+    for i in range(pages):
+        second = "Two" if i < 2 else f"own {i}"
+        expected = [] if pages > 1 else ["All"]
+        expected += [] if few and i < 2 else [second]
+        assert got[i] == "\n".join([*expected, str(i)])
+
+
 def test_line_dedup_edges(edge_docs, no_docs):
     got = line_dedup.line_dedup(edge_docs)
     assert got.count() == edge_docs.count()
-    assert set(edge_docs.columns) <= set(got.columns)
+    assert {c.lower() for c in edge_docs.columns} <= {c.lower() for c in got.columns}
+    assert {r["site_key"] for r in got.collect()} == {"x-site_key"}
     assert line_dedup.line_dedup(no_docs).collect() == []

@@ -1,7 +1,8 @@
 """Line deduplication by site-relative frequency.
 
 A line is boilerplate of its site if more than ``max_ratio`` of the site's
-pages contain it (and at least ``min_pages`` pages do). Pages are counted in
+pages contain it. A line of one page alone says nothing, so ``min_pages`` is 2:
+the ratio decides. Pages are counted in
 one aggregation of ``(site, 128-bit line hash)`` with map-side combine; text
 does not move for it. A site has fewer than (mean lines per page) / max_ratio
 boilerplate lines, so they fit into one array per site, which joins the pages.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.staging import stage
+from threadlens.llm.staging import free_name, stage
 
 HOT_SHARE = 1000
 
@@ -64,10 +65,12 @@ def line_dedup(
     text_col: str = "text",
     id_col: str = "doc_id",
     max_ratio: float = 0.1,
-    min_pages: int = 5,
+    min_pages: int = 2,
+    lines_col: str = "dedup_lines",
+    dropped_col: str = "dedup_dropped",
 ) -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` cleaned, and beside them
-    ``dedup_lines`` (lines before) and ``dedup_dropped`` (lines dropped).
+    ``lines_col`` (lines before) and ``dropped_col`` (lines dropped).
 
     Lines end at ``\\n``; they are compared without outer white space, and blank
     lines are never boilerplate. Rows with a null site form one site. A null
@@ -75,38 +78,38 @@ def line_dedup(
     replaced. Repeated rows count as pages of their own; an empty table gives
     no rows.
     """
-    spark = docs.sparkSession
+    key_col, salt_col, salts_col, bad_col, kept_col = (free_name(docs.columns, c) for c in ("site_key", "salt", "salts", "bad_lines", "kept_lines"))
     sites = stage(boilerplate_lines(docs, site_col, text_col, max_ratio, min_pages), "site-lines")
     total = sites.agg(F.sum("pages")).first()[0] or 0
     salts = F.ceil(F.col("pages") * F.lit(HOT_SHARE) / F.lit(max(1, total))).cast("int")
-    hot = sites.filter(F.col("pages") * HOT_SHARE > total).select(F.col("site").alias("__site"), salts.alias("__salts"))
+    hot = sites.filter(F.col("pages") * HOT_SHARE > total).select(F.col("site").alias(key_col), salts.alias(salts_col))
     per_site = sites.filter("lines is not null").select(
-        F.col("site").alias("__site"),
-        F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).alias("__salt"),
-        F.col("lines").alias("__bad"),
+        F.col("site").alias(key_col),
+        F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)).alias(salt_col),
+        F.col("lines").alias(bad_col),
     )
-    names = [c for c in docs.columns if c not in ("dedup_lines", "dedup_dropped")]
+    names = [c for c in docs.columns if c.lower() not in (lines_col.lower(), dropped_col.lower())]
     text = F.col(f"`{text_col}`")
     keyed = (
         docs.select(*[F.col(f"`{c}`") for c in names])
-        .withColumn("__site", F.coalesce(F.col(f"`{site_col}`"), F.lit("")))
-        .join(F.broadcast(hot), "__site", "left")
+        .withColumn(key_col, F.coalesce(F.col(f"`{site_col}`"), F.lit("")))
+        .join(F.broadcast(hot), key_col, "left")
         .withColumn(
-            "__salt",
-            F.coalesce(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.col("__salts")).cast("int"), F.lit(0)),
+            salt_col,
+            F.coalesce(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.col(salts_col)).cast("int"), F.lit(0)),
         )
     )
-    joined = keyed.join(per_site, ["__site", "__salt"], "left")
+    joined = keyed.join(per_site, [key_col, salt_col], "left")
     lines = _lines(text)
     kept = F.when(
-        F.col("__bad").isNull(), lines
-    ).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), _key(x))))
-    cleaned = joined.withColumn("__kept", kept)
+        F.col(bad_col).isNull(), lines
+    ).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad_col), _key(x))))
+    cleaned = joined.withColumn(kept_col, kept)
     return cleaned.select(
         *[
-            F.when(text.isNotNull(), F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(f"`{c}`")
+            F.when(text.isNotNull(), F.array_join(kept_col, "\n")).alias(c) if c == text_col else F.col(f"`{c}`")
             for c in names
         ],
-        F.size(lines).alias("dedup_lines"),
-        (F.size(lines) - F.size("__kept")).alias("dedup_dropped"),
+        F.size(lines).alias(lines_col),
+        (F.size(lines) - F.size(kept_col)).alias(dropped_col),
     )

@@ -36,7 +36,7 @@ k AS (SELECT rid, site, line_no, line, CASE WHEN trim(line, ' ') <> '' THEN {_BA
 totals AS (SELECT site, count(*) AS pages FROM d GROUP BY site),
 bad AS (
   SELECT site, bare FROM (SELECT DISTINCT rid, site, bare FROM k WHERE bare IS NOT NULL) JOIN totals USING (site)
-  GROUP BY site, bare, pages HAVING count(*) >= 5 AND count(*) > pages * 0.1
+  GROUP BY site, bare, pages HAVING count(*) >= 2 AND count(*) > pages * 0.1
 ),
 kept AS (
   SELECT k.rid, count(*) AS n_lines, count(*) FILTER (bad.bare IS NOT NULL) AS n_dropped,

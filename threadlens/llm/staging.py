@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.session import ensure_checkpoint_dir
 
@@ -70,26 +71,33 @@ def free_name(columns: Iterable[str], base: str) -> str:
 THIN_BITS = 1 << 27
 
 
-def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose hash ``key`` (a long) is not in ``wanted``.
+def flagged(rows: DataFrame, wanted: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where the hash ``key`` (a long) is not in ``wanted``.
 
-    A bit table of a fixed size is shipped to the tasks, so the join that
-    follows moves few other rows; the larger ``wanted`` is, the more pass.
+    A bit table of a fixed size is shipped to the tasks, so a join that follows
+    needn't move the rows without the flag; the larger ``wanted`` is, the more
+    rows have it.
     """
     word = F.col(key).bitwiseAND(F.lit(THIN_BITS - 1))
-    one = F.expr(f"shiftleft(1L, cast(({key} & {THIN_BITS - 1}) & 63 as int))")
+    one = F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")
     found = wanted.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     table = np.zeros(THIN_BITS // 64, np.uint64)
     table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    column = rows.columns.index(key)
+    column, names = rows.columns.index(key), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(column).to_numpy().view(np.uint64) & np.uint64(THIN_BITS - 1)
             bit = table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-            yield batch.filter(pa.array(bit.astype(bool)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bit.astype(bool))], [*names, flag])
+
+    return bound_batches(rows).mapInArrow(run, T.StructType([*rows.schema, T.StructField(flag, T.BooleanType())]))
 
-    return rows.mapInArrow(run, rows.schema)
+
+def thinned(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose hash ``key`` is not in ``wanted``."""
+    flag = free_name(rows.columns, "wanted")
+    return flagged(rows, wanted, key, flag).filter(F.col(flag)).drop(flag)
 
 
 def unstage(df: DataFrame) -> None:
