@@ -103,6 +103,12 @@ def test_near_dups_in_blocks(spark, monkeypatch):
     _check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_near_dups_between_empty_texts(spark):
+    """A text without shingles takes no band keys from its neighbours, nor gives them any."""
+    rows = [r for i, (d, t) in enumerate(near_rows(8)) for r in ((d, t), (1000 + i, "" if i % 3 else None))]
+    _check_near(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rows)
+
+
 def test_near_edges(spark, edge_docs, no_docs):
     _check_near(spark, edge_docs, [(i, t) for i, t, *_ in EDGE_ROWS])
     assert near_dedup.near_dedup(no_docs).collect() == []

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import bound_batches, stage
+from threadlens.llm.staging import bound_batches, free_name, stage
 
 WINDOW = 13
 SHINGLE = 3
@@ -258,13 +258,14 @@ def annotate(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     keep_text: bool = True,
+    out_col: str = RESULT,
 ) -> DataFrame:
-    """``docs`` with a struct ``decon``: n_words, n_hit, n_items, items_sha256, contaminated.
+    """``docs`` with a struct ``out_col``: n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words and is clean. Null or empty items have no
     windows; a null item_id's windows count as hits but it isn't listed. Items
     that share windows or an id are each found, an id is listed once. Any
-    column of ``docs`` called ``decon`` is replaced. Empty tables are fine.
+    column of ``docs`` called ``out_col`` (in any case) is replaced. Empty tables are fine.
     """
     bound_batches(docs)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
@@ -280,26 +281,26 @@ def annotate(
         parts.append(block)
         if blocks > 1:
             parts[-1] = stage(_block_hits(docs, text_col, block), "window-hits")
-    names = [c for c in docs.columns if c != RESULT]
+    names = [c for c in docs.columns if c.lower() != out_col.lower()]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     if blocks == 1:
-        return _annotate_rows(docs, text_col, parts[0], keep_text)
-    return _unite(docs, text_col, parts, keep_text)
+        return _annotate_rows(docs, text_col, parts[0], keep_text, out_col)
+    return _unite(docs, text_col, parts, keep_text, out_col)
 
 
-def _annotate_rows(docs: DataFrame, text_col: str, block: Block, keep_text: bool) -> DataFrame:
+def _annotate_rows(docs: DataFrame, text_col: str, block: Block, keep_text: bool, out_col: str) -> DataFrame:
     names = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__text"))
+            text = batch.column(len(names))
             rows = [_summary(n, _covered(runs), items) for n, runs, items in _judge(block, text)]
             kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(rows, kind)], names + [RESULT])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(rows, kind)], names + [out_col])
 
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(RESULT, T.StructType.fromDDL(RESULT_TYPE[7:-1]))])
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out_col, T.StructType.fromDDL(RESULT_TYPE[7:-1]))])
     columns = [F.col(f"`{c}`") for c in names]
-    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(f"`{text_col}`").cast("string").alias(free_name(names, "text"))).mapInArrow(run, schema)
 
 
 def _block_hits(docs: DataFrame, text_col: str, block: Block) -> DataFrame:
@@ -320,15 +321,17 @@ def _block_hits(docs: DataFrame, text_col: str, block: Block) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
-def _unite(docs: DataFrame, text_col: str, parts: list[DataFrame], keep_text: bool) -> DataFrame:
+def _unite(docs: DataFrame, text_col: str, parts: list[DataFrame], keep_text: bool, out_col: str) -> DataFrame:
     """Several blocks: their hits are united by text, then joined with the documents."""
+    own = [*docs.columns]
+    a, b, hash_a, hash_b, runs_col, items_col = (free_name(own, c) for c in ("hits_a", "hits_b", "hash_a", "hash_b", "runs", "items"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("runs")).alias("__runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("runs")).alias(runs_col), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items_col)).toDF(a, b, runs_col, items_col)
     text = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(text, F.lit(1))})
-    joined = keyed.join(hits, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b")), "left")
+    keyed = docs.withColumns({hash_a: F.xxhash64(text), hash_b: F.xxhash64(text, F.lit(1))})
+    joined = keyed.join(hits, (F.col(hash_a) == F.col(a)) & (F.col(hash_b) == F.col(b)), "left")
     names = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +345,7 @@ def _unite(docs: DataFrame, text_col: str, parts: list[DataFrame], keep_text: bo
                 for n, r, i in zip(sizes, runs.to_pylist(), items.to_pylist())
             ]
             kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(rows, kind)], names + [RESULT])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(rows, kind)], names + [out_col])
 
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(RESULT, T.StructType.fromDDL(RESULT_TYPE[7:-1]))])
-    return joined.select(*[F.col(f"`{c}`") for c in names], text.alias("__text"), "__runs", "__items").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out_col, T.StructType.fromDDL(RESULT_TYPE[7:-1]))])
+    return joined.select(*[F.col(f"`{c}`") for c in names], text.alias(free_name([*names, runs_col, items_col], "text")), runs_col, items_col).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import bound_batches, stage
+from threadlens.llm.staging import bound_batches, free_name, stage
 
 DIMS = 4096
 SAMPLE_TEXTS = 3000
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     text if no language was learned. The score is the best cosine. Long texts
     count whole. A column of ``docs`` called ``language`` is replaced.
     """
-    names = [c for c in docs.columns if c not in (text_col, "language")]
+    names = [c for c in docs.columns if c != text_col and c.lower() != "language"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,4 +205,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         [docs.schema[c] for c in names] + [T.StructField("language", T.StructType.fromDDL("lang string, score double, rejected boolean"))]
     )
     columns = [F.col(f"`{c}`") for c in names]
-    return bound_batches(docs).select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(docs).select(*columns, F.col(f"`{text_col}`").cast("string").alias(free_name(names, "text"))).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import textnum
 from threadlens.llm.components import connected_components
-from threadlens.llm.staging import bound_batches, stage, unstage
+from threadlens.llm.staging import bound_batches, stage, thinned, unstage
 
 SHINGLE = 5
 #: The bands share out the coordinates; all of them estimate the similarity.
@@ -46,8 +46,6 @@ GROUP_ROWS = 4096
 NEIGHBOUR_ROUNDS = 4
 #: Another round of neighbours follows one that found a link for every so many classes.
 WORTHWHILE = 4
-#: Up to so many classes (16 bytes each) are broadcast to fetch their texts.
-BROADCAST_CLASSES = 200_000
 
 
 @dataclass(frozen=True)
@@ -134,7 +132,9 @@ def _sketch_rows(link: Link, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             short = textnum.mix(sketches).astype(np.uint8)
             keys = band_keys(sketches, link).view(np.int64)
-            keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * link.bands, mask=np.append(none, False)), pa.array(keys.ravel()))
+            # A null list must be an empty range: the one before it ends where the next valid one starts.
+            ends = np.append(0, np.cumsum(np.where(none, 0, link.bands))).astype(np.int32)
+            keyed = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), pa.array(keys[~none].ravel()))
             part = batch.slice(chunk.first, len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -332,8 +332,7 @@ def _verify(link: Link, pairs: DataFrame, classes: DataFrame, texts: DataFrame)
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     names = stage(classes.select("class", "t1", "t2").join(wanted, "class"), "wanted-classes")
-    held = F.broadcast(names) if names.count() <= BROADCAST_CLASSES else names
-    found = stage(texts.join(held, ["t1", "t2"]).groupBy("class").agg(F.first("text").alias("text")), "wanted-texts")
+    found = stage(thinned(texts, names, "t1").join(names, ["t1", "t2"]).groupBy("class").agg(F.first("text").alias("text")), "wanted-texts")
     a, b = (found.select(F.col("class").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     # Rows of one a lie together, so its set is made once.
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")

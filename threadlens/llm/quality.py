@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import bound_batches, stage
+from threadlens.llm.staging import bound_batches, free_name, stage
 
 FINE, FAULT, ABSTAIN = 0, 1, 2
 FEATURE_BITS = 20
@@ -161,21 +161,26 @@ def _decode(code: int, labellers: int) -> list[int]:
     return [code // 3**j % 3 for j in range(labellers)]
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
 def heuristic_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, junk, toxic): each document's votes as base-3 numbers."""
-    rows = bound_batches(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """(id, t, junk, toxic): each document's votes as base-3 numbers; t is a hash of the text."""
+    rows = _texts(bound_batches(docs), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _hashes(INSULTS), _hashes(ENGLISH)
         for batch in batches:
-            for chunk in textnum.chunks(batch.column(1)):
+            for chunk in textnum.chunks(batch.column(2)):
                 codes = {head: _code(v) for head, v in _votes(_read(chunk, lists)).items()}
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.last - chunk.first)] + [pa.array(codes[h], pa.int64()) for h in HEADS],
-                    ["id", *HEADS],
+                    [batch.column(i).slice(chunk.first, chunk.last - chunk.first) for i in range(2)] + [pa.array(codes[h], pa.int64()) for h in HEADS],
+                    ["id", "t", *HEADS],
                 )
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"]] + [T.StructField(h, T.LongType()) for h in HEADS]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], rows.schema["t"]] + [T.StructField(h, T.LongType()) for h in HEADS]))
 
 
 # --- weak-label model ------------------------------------------------------------
@@ -264,26 +269,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def fit_scorer(rows: list[np.ndarray], target: np.ndarray) -> Scorer:
-    """L1-penalised logistic regression on the features that tell the classes apart most."""
-    none = np.zeros(0, np.int64)
-    if not len(rows) or target.min() > 0.5 or target.max() < 0.5:
-        return Scorer(none, np.zeros(0), -10.0)
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    size = 1 << FEATURE_BITS
+def screen(counts: DataFrame, n0: float, n1: float) -> np.ndarray:
+    """The SCREENED features (feature, with0, with1) that tell the classes apart most, in order."""
+    p1, p0 = (F.col("with1") + 0.5) / (n1 + 1), (F.col("with0") + 0.5) / (n0 + 1)
+    p = (F.col("with1") + F.col("with0") + 1) / (n1 + n0 + 2)
+    z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    told = counts.filter(F.col("with0") + F.col("with1") >= MIN_DOCS).select("feature", z.alias("z")).filter(F.col("z") > MIN_Z)
+    return np.sort(np.array([r.feature for r in told.orderBy(F.desc("z"), "feature").limit(SCREENED).collect()], np.int64))
+
+
+def fit_scorer(features: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> Scorer:
+    """L1-penalised logistic regression; ``rows`` hold positions in ``features``."""
     n1, n0 = target.sum(), (1 - target).sum()
-    with1 = np.bincount(flat, weights=target[doc], minlength=size)
-    with0 = np.bincount(flat, weights=1 - target[doc], minlength=size)
-    p1, p0, p = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1), (with1 + with0 + 1) / (n1 + n0 + 2)
-    z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    z[with1 + with0 < MIN_DOCS] = 0
-    features = np.sort(np.argsort(-z, kind="stable")[:SCREENED])
-    features = features[z[features] > MIN_Z]
     if not len(features):
-        return Scorer(none, np.zeros(0), float(np.log(n1 / n0)))
-    at = np.minimum(np.searchsorted(features, flat), len(features) - 1)
-    mine = features[at] == flat
-    row, col = doc[mine], at[mine]
+        return Scorer(features, np.zeros(0), float(np.log(n1 / n0)))
+    col, row = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     w, bias, slope = np.zeros(len(features)), float(np.log(n1 / n0)), np.full(len(features) + 1, 1e-8)
     for _ in range(STEPS):  # proximal AdaGrad on the whole sample
         residual = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col], minlength=len(rows)) + bias, -60, 60))) - target
@@ -319,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         )
     review = {"junk": "bad", "toxic": "mean"}
     votes = votes.join(reviews, "id", "left").select(
-        "id",
+        "id", "t",
         *[
             (F.col(h) + F.coalesce(F.col(review[h]), F.lit(ABSTAIN)) * 3 ** (len(HEADS[h]) - 1)).cast("long").alias(h)
             for h in HEADS
@@ -346,46 +346,70 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def _train(docs: DataFrame, votes: DataFrame, head: str, rates: dict, id_col: str, text_col: str) -> Scorer:
+    """Draws the sample by id and text, each once; counts of its features are
+    summed by Spark, and the driver gets the screened features alone."""
+    never = Scorer(np.zeros(0, np.int64), np.zeros(0), -10.0)
     if not rates:
-        return fit_scorer([], np.zeros(0))
+        return never
     spark = docs.sparkSession
     drawn = spark.createDataFrame([(k, t, r) for k, (t, r) in rates.items()], "pattern long, target double, rate double")
-    draw = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("id", "t", F.lit(8)), F.lit(1 << 20)) / float(1 << 20)
     sample = (
         votes.filter("id is not null").join(F.broadcast(drawn), F.col(head) == F.col("pattern")).filter(draw < F.col("rate"))
-        .groupBy("id").agg(F.max("target").alias("target"))
+        .groupBy("id", "t").agg(F.max("target").alias("target"))
     )
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # About SAMPLE_FAULTY + SAMPLE_FINE ids: a bounded broadcast.
-    rows = rows.join(F.broadcast(sample), "id").select("target", "text")
+    rows = _texts(docs, id_col, text_col).join(F.broadcast(sample), ["id", "t"])
+    rows = stage(rows.groupBy("id", "t").agg(F.first("target").alias("target"), F.first("text").alias("text")).select("target", "text"), "sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _hashes(INSULTS), _hashes(ENGLISH)
+        size = 1 << FEATURE_BITS
+        found = np.zeros((2, size), np.int32)
         for batch in batches:
+            target = batch.column(0).to_numpy()
             for chunk in textnum.chunks(batch.column(1)):
                 doc, feature = _features(chunk, lists)
+                fault = target[chunk.first : chunk.last][doc] > 0.5
+                found[0] += np.bincount(feature[~fault], minlength=size).astype(np.int32)
+                found[1] += np.bincount(feature[fault], minlength=size).astype(np.int32)
+        at = np.flatnonzero(found.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[0][at].astype(np.int64)), pa.array(found[1][at].astype(np.int64))], ["feature", "with0", "with1"])
+
+    sizes = dict(map(tuple, rows.groupBy((F.col("target") > 0.5).cast("int")).count().collect()))
+    if len(sizes) < 2:
+        return never
+    counts = rows.mapInArrow(count, "feature long, with0 long, with1 long").groupBy("feature").agg(F.sum("with0").alias("with0"), F.sum("with1").alias("with1"))
+    features = screen(counts, float(sizes[0]), float(sizes[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _hashes(INSULTS), _hashes(ENGLISH)
+        wanted = np.zeros(1 << FEATURE_BITS, bool)
+        wanted[features] = True
+        for batch in batches:
+            for chunk in textnum.chunks(batch.column(1)):
+                doc, feature = _features(chunk, lists, wanted)
+                at = np.searchsorted(features, feature).astype(np.uint16)
                 ends = np.searchsorted(doc, np.arange(chunk.last - chunk.first + 1))
-                values = [feature[a:b].astype(np.uint32).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                values = [at[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(values)), pa.array(values, pa.binary())], ["target", "features"]
                 )
 
-    found = rows.mapInArrow(run, "target double, features binary").collect()
-    return fit_scorer(
-        [np.frombuffer(r["features"], np.uint32).astype(np.int64) for r in found], np.array([r["target"] for r in found], float)
-    )
+    found = rows.mapInArrow(run, "target double, features binary").toArrow()
+    return fit_scorer(features, [np.frombuffer(r.as_py(), np.uint16) for r in found.column(1)], found.column(0).to_numpy())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with a struct ``quality_check``: junk, toxic (probabilities), score, kept.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True, out_col: str = "quality_check") -> DataFrame:
+    """``docs`` with a struct ``out_col``: junk, toxic (probabilities), score, kept.
 
     ``score`` is the probability of neither fault, and a document is kept if
     neither reaches THRESHOLD. A null text counts as empty; an empty text has
     no words and is scored by its statistics alone. Long texts count whole. A
-    column of ``docs`` called ``quality_check`` is replaced.
+    column of ``docs`` called ``out_col`` (in any case) is replaced.
     """
-    result = "quality_check"
-    names = [c for c in docs.columns if c != result and (keep_text or c != text_col)]
+    result = out_col
+    names = [c for c in docs.columns if c.lower() != result.lower() and (keep_text or c != text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = _hashes(INSULTS), _hashes(ENGLISH)
@@ -409,4 +433,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     kind = T.StructType.fromDDL("junk double, toxic double, score double, kept boolean")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(result, kind)])
     columns = [F.col(f"`{c}`") for c in names]
-    return bound_batches(docs).select(*columns, F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return bound_batches(docs).select(*columns, F.col(f"`{text_col}`").cast("string").alias(free_name(names, "text"))).mapInArrow(run, schema)

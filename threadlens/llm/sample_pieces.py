@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import bound_batches
+from threadlens.llm.staging import bound_batches, free_name
 
 THETA = 1.0
 SEED = 9
@@ -229,7 +229,7 @@ def encode(
     null, an empty one no ids. A null id is a key like any other; repeated rows
     get equal segmentations. A column called ``out_col`` is replaced.
     """
-    names = [c for c in docs.columns if c != out_col and (keep_text or c != text_col)]
+    names = [c for c in docs.columns if c.lower() != out_col.lower() and (keep_text or c != text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +253,8 @@ def encode(
     schema = _struct(docs, names, [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return bound_batches(docs).select(
         *[F.col(f"`{c}`") for c in names],
-        F.col(f"`{text_col}`").cast("string").alias("__text"),
-        F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("__seed"),
+        F.col(f"`{text_col}`").cast("string").alias(free_name(names, "text")),
+        F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias(free_name([*names, free_name(names, "text")], "seed")),
     ).mapInArrow(run, schema)
 
 
@@ -263,7 +263,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col
 
     Undoes ``encode`` exactly. Null ids inside a list are skipped.
     """
-    names = [c for c in rows.columns if c != out_col]
+    names = [c for c in rows.columns if c.lower() != out_col.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _worker_cache(model_path, THETA).vocabulary
