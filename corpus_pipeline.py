@@ -17,11 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm import decontaminate, line_dedup, near_dedup, quality, sample_pieces
-from threadlens.llm.staging import stage
-
-
-#: Up to so many dropped documents (24 bytes each) are broadcast; then the texts needn't move.
-BROADCAST_COPIES = 500_000
+from threadlens.llm.staging import flagged, free_name, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +27,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits the classifier on these documents and their labels; null texts are scored as empty."""
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter("quality_check.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = free_name(docs.columns, "quality_check")
+    return quality.score(docs, model, out_col=out).filter(F.col(f"{out}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose lines all go stay, with an empty text; a null text stays null."""
-    cleaned = line_dedup.line_dedup(docs, site_col="source")
+    lines, dropped = free_name(docs.columns, "n_lines"), free_name(docs.columns, "n_dropped")
+    cleaned = line_dedup.line_dedup(docs, site_col="source", lines_col=lines, dropped_col=dropped)
     count = docs.schema["n_chars"].dataType
     return cleaned.withColumn("n_chars", F.length("text").cast(count)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -58,22 +56,30 @@ def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # What stays of these groups has one id and text, maybe on several rows.
     least = several.select("least.*")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = _matching(left, least, "left_semi").withColumns({"__t1": F.xxhash64(text), "__t2": F.xxhash64(text, F.lit(1))})
-    return _matching(left, least, "left_anti").unionByName(one.dropDuplicates(["doc_id", "__t1", "__t2"]).drop("__t1", "__t2"))
+    t1, t2 = free_name(docs.columns, "text_a"), free_name(docs.columns, "text_b")
+    one = _matching(left, least, "left_semi").withColumns({t1: F.xxhash64(text), t2: F.xxhash64(text, F.lit(1))})
+    return _matching(left, least, "left_anti").unionByName(one.dropDuplicates(["doc_id", t1, t2]).drop(t1, t2))
 
 
 def _matching(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with the staged ``names`` (doc_id, t1, t2) by id and text."""
+    """``docs`` joined (left_anti or left_semi) with the staged ``names`` (doc_id, t1, t2) by id and text.
+    A bit table of fixed size tells most rows that match nothing; they don't move."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(text, F.lit(1)) == F.col("__t2"))
-    names = names.toDF("__id", "__t1", "__t2")
-    return docs.join(F.broadcast(names) if names.count() <= BROADCAST_COPIES else names, match, how)
+    hash_col, maybe, i, t1, t2 = (free_name(docs.columns, c) for c in ("text_hash", "maybe", "id_named", "t1_named", "t2_named"))
+    rows = flagged(docs.withColumn(hash_col, F.xxhash64(text)), names.withColumn(hash_col, F.col("t1")), hash_col, maybe)
+    named = names.toDF(i, t1, t2)
+    match = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(hash_col) == F.col(t1)) & (F.xxhash64(text, F.lit(1)) == F.col(t2))
+    found = rows.filter(F.col(maybe)).join(named, match, how)
+    if how == "left_anti":
+        found = rows.filter(~F.col(maybe)).unionByName(found)
+    return found.drop(hash_col, maybe)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated: the hit words are 5 % of the document's words or more."""
-    judged = decontaminate.annotate(docs, _table(spark, sf_dir, "benchmark"))
-    return judged.filter("not decon.contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = free_name(docs.columns, "decon")
+    judged = decontaminate.annotate(docs, _table(spark, sf_dir, "benchmark"), out_col=out)
+    return judged.filter(~F.col(f"{out}.contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
