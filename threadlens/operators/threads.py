@@ -45,23 +45,24 @@ def ordered_concat(
     either level, so separators never double up.
     """
     keys = list(keys)
-    order = list(order)
+    # Structs sort nulls first; a missing position comes last.
+    order = [x for c in order for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
     nonempty = df.filter(F.col(value) != "")
     if chunk_by is not None:
         nonempty = nonempty.withColumn("_chunk", F.floor(F.col(chunk_by) / F.lit(chunk_size)))
         level1 = nonempty.groupBy(*keys, "_chunk").agg(
-            F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(value).alias("_v")))).alias("_items")
+            F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_items")
         )
         level1 = level1.select(*keys, "_chunk", F.array_join(F.transform("_items", lambda s: s["_v"]), sep).alias("_v"))
         return level1.groupBy(*keys).agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_v"))), lambda s: s["_v"]), sep
+                F.transform(F.array_sort(F.collect_list(F.struct(F.col("_chunk").isNull().alias("_last"), "_chunk", "_v"))), lambda s: s["_v"]), sep
             ).alias(out)
         )
     return nonempty.groupBy(*keys).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(value).alias("_v")))),
+                F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))),
                 lambda s: s["_v"],
             ),
             sep,
@@ -72,8 +73,8 @@ def ordered_concat(
 def comment_threads(comments: DataFrame, keys: Sequence[str] = THREAD_KEY) -> DataFrame:
     """A1: one row per discussion with its normalised comments in thread order.
 
-    Order is ``position_in_thread`` (when present) then ``comment_id``; blank
-    comments are skipped; joined by the comment separator.
+    Order is ``position_in_thread`` (when present, null last) then
+    ``comment_id`` (null last); blank comments are skipped; joined by the comment separator.
     """
     require_columns(comments, ["issue_number", "comment_body"], "Comments table")
     keys = [k for k in keys if k in comments.columns]
