@@ -815,3 +815,121 @@ def _():
     return _fn_prelude() + """SELECT count(*) AS evaluated_records, count(*) FILTER (WHERE actual = predicted) AS correct_predictions,
        count(*) FILTER (WHERE actual = 'workaround' AND predicted = 'no_workaround') AS false_negatives,
        count(*) FILTER (WHERE actual = 'no_workaround' AND predicted = 'workaround') AS false_positives FROM comb"""
+
+
+# -- thread order with missing positions ----------------------------------------------
+@sql("thread_comments_unplaced")
+def _():
+    sep = lit("\n\n--- COMMENT ---\n\n")
+    return f"""WITH {comments_cte()}
+SELECT repository, issue_number, string_agg(nb, {sep} ORDER BY p NULLS LAST, comment_id) AS comments_text
+FROM (SELECT repository, issue_number, comment_id, CASE WHEN comment_id % 5 <> 0 THEN position_in_thread END AS p, {normalize('comment_body')} AS nb FROM comments)
+WHERE nb <> '' GROUP BY repository, issue_number"""
+
+
+# -- clusters: the seeding draws and every Lloyd round, unrolled ------------------------
+def _draw(salt: int) -> str:
+    return f"(CAST('0x' || substr(md5(CAST(id AS VARCHAR) || ':{salt}'), 1, 12) AS BIGINT) / {float(1 << 48)})"
+
+
+def _nearest(name: str, centres: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT id, v, c, dist FROM (
+    SELECT e.id, e.v, s.id AS c, list_distance(e.v, s.v) AS dist, row_number() OVER (PARTITION BY e.id ORDER BY list_distance(e.v, s.v), s.id) AS r
+    FROM e CROSS JOIN {centres} s) WHERE r = 1)"""
+
+
+def _clusters_sql() -> str:
+    salt, k = Q.CLUSTER_SALT, Q.CLUSTERS
+    parts = [
+        """e AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = (SELECT len(embedding) FROM embeddings GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1))""",
+        f"s0 AS MATERIALIZED (SELECT id, v FROM e ORDER BY {_draw(salt)}, id LIMIT 1)",
+    ]
+    for r in range(1, Q.SEED_ROUNDS + 1):
+        parts.append(_nearest(f"f{r}", f"s{r - 1}"))
+        parts.append(
+            f"""s{r} AS MATERIALIZED (SELECT id, v FROM s{r - 1} UNION
+  SELECT id, v FROM f{r} WHERE {_draw(salt + r)} < dist * dist * ({2 * k} / (SELECT sum(dist * dist) FROM f{r})))"""
+        )
+    parts.append(_nearest("fw", f"s{Q.SEED_ROUNDS}"))
+    parts.append("c0 AS MATERIALIZED (SELECT s.id, s.v FROM s%d s LEFT JOIN (SELECT c, count(*) AS n FROM fw GROUP BY c) w ON s.id = w.c ORDER BY coalesce(n, 0) DESC, s.id LIMIT %d)" % (Q.SEED_ROUNDS, k))
+    for r in range(1, Q.CLUSTER_ROUNDS + 1):
+        parts.append(_nearest(f"a{r}", f"c{r - 1}"))
+        parts.append(
+            f"""c{r} AS MATERIALIZED (SELECT c.id, coalesce(m.v, c.v) AS v FROM c{r - 1} c LEFT JOIN (
+    SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, avg(x) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c
+  ) m ON c.id = m.c)"""
+        )
+    parts.append(_nearest("final", f"c{Q.CLUSTER_ROUNDS}"))
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+@sql("vector_clusters")
+def _():
+    return _clusters_sql() + "SELECT id AS vec_id, c AS cluster, round(dist, 6) AS distance FROM final"
+
+
+@sql("cluster_summary")
+def _():
+    return _clusters_sql() + "SELECT c AS cluster, count(*) AS members, round(avg(dist), 6) AS mean_distance, round(max(dist), 6) AS radius FROM final GROUP BY c"
+
+
+# -- agreement --------------------------------------------------------------------------
+def _pairs_sql() -> str:
+    return f"""WITH {labelled_cte(None)},
+one AS (SELECT annotation_id AS id, {lower_clean('primary_label')} AS label FROM labelled WHERE issue_number % 19 <> 2),
+two AS (SELECT annotation_id AS id, {lower_clean("CASE WHEN issue_number % 13 = 5 THEN ' ' WHEN issue_number % 7 = 0 THEN 'Bug_Report ' WHEN issue_number % 17 = 1 THEN 'question' ELSE primary_label END")} AS label
+  FROM labelled WHERE issue_number % 11 <> 3),
+pairs AS (SELECT nullif(one.label, '') AS a, nullif(two.label, '') AS b FROM one FULL JOIN two ON one.id = two.id),
+judged AS (SELECT * FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL),
+labels AS (SELECT a AS label FROM pairs WHERE a IS NOT NULL UNION SELECT b FROM pairs WHERE b IS NOT NULL)
+"""
+
+
+@sql("annotator_agreement")
+def _():
+    return _pairs_sql() + """, counted AS (
+  SELECT label, (SELECT count(*) FROM judged) AS n_both, (SELECT count(*) FROM judged WHERE a = label) AS n_first, (SELECT count(*) FROM judged WHERE b = label) AS n_second,
+    (SELECT count(*) FROM judged WHERE (a = label) = (b = label)) AS agreed, (SELECT count(*) FROM pairs WHERE (a IS NULL AND b = label) OR (b IS NULL AND a = label)) AS one_sided
+  FROM labels),
+scored AS (
+  SELECT *, (n_first * n_second + (n_both - n_first) * (n_both - n_second)) / (n_both * n_both) AS expected FROM counted
+  UNION ALL
+  SELECT '(overall)', n_both, sum(n_first), sum(n_second), (SELECT count(*) FROM judged WHERE a = b), sum(one_sided), sum(n_first * n_second) / (n_both * n_both) FROM counted GROUP BY n_both)
+SELECT label, CAST(n_both AS BIGINT) AS n_both, CAST(n_first AS BIGINT) AS n_first, CAST(n_second AS BIGINT) AS n_second, CAST(agreed AS BIGINT) AS agreed, CAST(one_sided AS BIGINT) AS one_sided,
+  round(agreed / n_both, 9) AS observed, round(expected, 9) AS expected, round((agreed / n_both - expected) / (1 - expected), 9) AS kappa FROM scored"""
+
+
+@sql("annotator_cross_tab")
+def _():
+    return _pairs_sql() + "SELECT a AS first_label, b AS second_label, count(*) AS n FROM pairs GROUP BY a, b"
+
+
+# -- recurrence -------------------------------------------------------------------------
+def _weekly_sql() -> str:
+    return thread_prelude(A.CORPUS) + f""", cues AS (
+  SELECT issue_number, state, unnest(string_split(matched_patterns, ' | ')) AS cue FROM threads WHERE matched_patterns <> ''),
+weekly AS (
+  SELECT cue, CAST(date_trunc('week', DATE '{A.EPOCH_DATE}' + CAST(issue_number * 37 % 364 AS INTEGER)) AS DATE) AS week, count(*) AS n_threads, count(*) FILTER (state = 'open') AS n_open
+  FROM cues GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN week - lag(week) OVER (PARTITION BY cue ORDER BY week) = 7 THEN 0 ELSE 1 END AS starts FROM weekly),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY cue ORDER BY week) AS run FROM marked),
+runs AS (SELECT cue, run, min(week) AS run_start, max(week) AS run_end, count(*) AS weeks, CAST(sum(n_threads) AS BIGINT) AS n_threads, CAST(sum(n_open) AS BIGINT) AS n_open FROM numbered GROUP BY cue, run),
+gaps AS (SELECT *, (run_start - lag(run_end) OVER (PARTITION BY cue ORDER BY run)) // 7 - 1 AS gap_weeks FROM runs)
+"""
+
+
+@sql("cue_runs")
+def _():
+    return _weekly_sql() + "SELECT cue, CAST(run_start AS VARCHAR) AS run_start, CAST(run_end AS VARCHAR) AS run_end, weeks, n_threads, n_open, gap_weeks FROM gaps"
+
+
+@sql("cue_recurrence")
+def _():
+    return _weekly_sql() + """, ends AS (SELECT max(week) AS last_week FROM weekly),
+spells AS (SELECT cue, (last_week - min(week)) // 7 + 1 AS spell FROM weekly, ends WHERE n_open > 0 GROUP BY cue, last_week)
+SELECT g.cue, CAST(sum(n_threads) AS BIGINT) AS n_threads, CAST(sum(weeks) AS BIGINT) AS n_weeks, count(*) AS n_runs, max(weeks) AS longest_run, coalesce(max(gap_weeks), 0) AS longest_gap,
+  CAST(min(run_start) AS VARCHAR) AS first_week, CAST(max(run_end) AS VARCHAR) AS latest_week, CAST(sum(n_open) AS BIGINT) AS n_open,
+  coalesce(any_value(spell), 0) AS open_spell_weeks, max(run_end) = any_value(last_week) AS persists
+FROM gaps g LEFT JOIN spells ON g.cue = spells.cue, ends GROUP BY g.cue"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import cues as C
 from threadlens.functions import scoring as S
 from threadlens.functions import text as T
-from threadlens.operators import analysis, annotate, evaluate, marts, opportunity, sampling, threads
+from threadlens.operators import agreement, analysis, annotate, clustering, evaluate, marts, opportunity, recurrence, sampling, threads
 from threadlens.plans import adapters as A
 from threadlens.session import cut_lineage
 from threadlens.sources import ingest
@@ -773,3 +773,70 @@ def score_documents(spark, d):
         F.coalesce("text", F.lit("")).alias("thread_text"),
     )
     return M.score(det, docs)
+
+
+# -- thread order with missing positions -------------------------------------------
+@query
+def thread_comments_unplaced(spark, d):
+    """Every fifth comment lost its position: it goes to the end of its thread."""
+    c = _comments(spark, d).withColumn("position_in_thread", F.when(F.col("comment_id") % 5 != 0, F.col("position_in_thread")))
+    return threads.comment_threads(c).select("repository", "issue_number", "comments_text")
+
+
+# -- extensions: clusters, agreement, recurrence, incremental collection -------------
+CLUSTERS = 8
+CLUSTER_ROUNDS = 5
+SEED_ROUNDS = 3
+CLUSTER_SALT = 42
+
+
+def _clusters(spark, d):
+    return clustering.clusters(A.table(spark, d, "embeddings"), "vec_id", "embedding", k=CLUSTERS, rounds=CLUSTER_ROUNDS, seed_rounds=SEED_ROUNDS, salt=CLUSTER_SALT)
+
+
+@query
+def vector_clusters(spark, d):
+    return _clusters(spark, d).select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query
+def cluster_summary(spark, d):
+    s = clustering.cluster_summary(_clusters(spark, d))
+    return s.select("cluster", "members", F.round("mean_distance", 6).alias("mean_distance"), F.round("radius", 6).alias("radius"))
+
+
+def _annotators(spark, d):
+    """The labels as two annotators' decisions: the second one left some out, left some blank and differs on others."""
+    first = _labelled(spark, d).select("issue_number", "annotation_id", "primary_label")
+    n = F.col("issue_number")
+    label = F.when(n % 13 == 5, F.lit(" ")).when(n % 7 == 0, F.lit("Bug_Report ")).when(n % 17 == 1, F.lit("question")).otherwise(F.col("primary_label"))
+    return first.filter(n % 19 != 2), first.withColumn("primary_label", label).filter(n % 11 != 3)
+
+
+@query
+def annotator_agreement(spark, d):
+    out = agreement.agreement(agreement.label_pairs(*_annotators(spark, d)))
+    return out.select("label", "n_both", "n_first", "n_second", "agreed", "one_sided", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+@query
+def annotator_cross_tab(spark, d):
+    return agreement.cross_tab(agreement.label_pairs(*_annotators(spark, d)))
+
+
+def _weekly(spark, d):
+    """Corpus cues of each discussion, spread over a year by its number."""
+    day = F.date_add(F.lit(A.EPOCH_DATE).cast("date"), (F.col("issue_number") * 37 % 364).cast("int"))
+    t = _threads(spark, d, A.CORPUS).withColumn("cues", F.split("matched_patterns", " \\| "))
+    return recurrence.weekly_cues(t.filter("matched_patterns <> ''").withColumn("created_on", day))
+
+
+@query
+def cue_recurrence(spark, d):
+    return recurrence.recurrence(_weekly(spark, d))
+
+
+@query
+def cue_runs(spark, d):
+    r = recurrence.cue_runs(_weekly(spark, d))
+    return r.select("cue", F.col("run_start").cast("string").alias("run_start"), F.col("run_end").cast("string").alias("run_end"), "weeks", "n_threads", "n_open", "gap_weeks")
