@@ -75,3 +75,29 @@ def test_jobs_end_to_end(spark, tmp_dir):
     assert spark.read.json(f"{tmp_dir}/improved/metrics").count() == 1
     an = jobs.analyze_errors(imp.predictions, lab)
     assert an.overview.first()["evaluated_records"] == 60
+
+
+def test_leave_one_group_out(spark):
+    import pytest
+
+    labelled = corpus(spark).withColumn("repository", F.concat(F.lit("r"), (F.substring("annotation_id", 4, 4).cast("int") % 4).cast("string")))
+    labelled = labelled.withColumn("repository", F.when(F.col("repository") != "r3", F.col("repository")))
+    for folds, expected in ((50, 4), (3, 3)):
+        got = M.leave_one_group_out(labelled, M.BASELINE, max_folds=folds).collect()
+        assert len(got) == len({r["doc"] for r in got}) == 60 and all(0 <= r["probability"] <= 1 for r in got)
+        assert len({r["fold"] for r in got}) == expected and {r["group"] for r in got} == {"r0", "r1", "r2", ""}
+        assert len({(r["group"], r["fold"]) for r in got}) == 4  # a repository is in one fold
+    # What a repository says about itself doesn't reach the model that scores it.
+    own = F.when(F.col("repository") == "r1", F.concat("thread_text", F.lit(" secretword secretword"))).otherwise(F.col("thread_text"))
+    changed = {r["doc"]: r["probability"] for r in M.leave_one_group_out(labelled.withColumn("thread_text", own), M.BASELINE).collect() if r["group"] == "r1"}
+    plain = {r["doc"]: r["probability"] for r in M.leave_one_group_out(labelled, M.BASELINE).collect() if r["group"] == "r1"}
+    assert changed.keys() == plain.keys() and all(abs(changed[k] - plain[k]) < 1e-6 for k in plain)
+    one_sided = labelled.withColumn("repository", F.col("primary_label"))
+    with pytest.raises(ValueError):
+        M.leave_one_group_out(one_sided, M.BASELINE)
+
+
+def test_held_out_statistics(spark):
+    counts = spark.createDataFrame([("a", "x", 2, "r1"), ("b", "x", 1, "r2"), ("c", "y", 5, "r1"), ("d", "x", 1, "r1")], "doc string, term string, tf int, fold string")
+    got = sorted(map(tuple, FT.held_out_statistics(FT.grouped_statistics(counts)).collect()))
+    assert got == [("x", "r1", 1, 1), ("x", "r2", 2, 3)]

@@ -26,7 +26,7 @@ from threadlens.functions.scoring import label_name, threshold_label
 from threadlens.functions.text import clean_text, is_blank, lower_clean, primary_label_target, yes_no_target
 from threadlens.operators import features as FT
 from threadlens.operators.annotate import class_guard
-from threadlens.operators.sampling import stratified_folds
+from threadlens.operators.sampling import hash_order, sequence_number, stratified_folds
 from threadlens.operators.threads import model_text
 from threadlens.session import cut_lineage
 
@@ -206,11 +206,11 @@ def _unique_ids(docs: DataFrame) -> None:
         raise ValueError("ids of labelled rows must be unique; run the validation first")
 
 
-def _score_fold(i: int, folds: DataFrame, counts: CountTables, stats: CountTables, spec: DetectorSpec, sizes: dict) -> DataFrame:
+def _score_fold(i: int, folds: DataFrame, counts: CountTables, stats: CountTables, spec: DetectorSpec, sizes: dict, without=FT.without_fold) -> DataFrame:
     tpos = sum(n for (f, t), n in sizes.items() if f != i and t == 1)
     tneg = sum(n for (f, t), n in sizes.items() if f != i and t == 0)
     n_train = tpos + tneg
-    fm = fit_features(FT.without_fold(stats.word, i), None if stats.char is None else FT.without_fold(stats.char, i), n_train, spec)
+    fm = fit_features(without(stats.word, i), None if stats.char is None else without(stats.char, i), n_train, spec)
     # One featurisation of all rows with this fold's vocabulary, then split.
     x = featurize(counts, folds, fm).join(folds, "doc")
     # Deterministic to recompute (sorted per-document entries), so a cached
@@ -234,7 +234,8 @@ def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int =
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    docs = prepare_documents(labelled, spec)
+    # Prepared once: the text regexes would else run again for each pass below.
+    docs = cut_lineage(prepare_documents(labelled, spec))
     _unique_ids(docs)
     neg, pos, k = class_guard(docs, "target", spec.min_rows)
     placed = stratified_folds(docs, "target", k, key="doc", seed=seed)
@@ -254,6 +255,48 @@ def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int =
     return oof
 
 
+def grouped_folds(docs: DataFrame, group_col: str, max_folds: int, seed: int = 42) -> DataFrame:
+    """``docs`` with ``fold``: groups in hash order are dealt round-robin to at most
+    ``max_folds`` folds, so a fold is one group as long as there are no more."""
+    groups = docs.select(F.col(group_col).alias("_g")).distinct().withColumn("_o", hash_order(["_g"], seed))
+    dealt = sequence_number(groups, ["_o", "_g"], out="_r").select("_g", ((F.col("_r") - 1) % max_folds).cast("int").alias("fold"))
+    return docs.join(dealt, F.col(group_col) == F.col("_g")).drop("_g")
+
+
+def leave_one_group_out(
+    labelled: DataFrame, spec: DetectorSpec = IMPROVED, group_col: str = "repository", max_folds: int = 50, seed: int = 42, parallel_folds: int = 4
+) -> DataFrame:
+    """``(doc, group, fold, target, cues, probability)``: every row scored once, by a model
+    that saw no row of its group (an extension; the surveyed product plans it).
+
+    Up to ``max_folds`` groups are left out one by one; more groups share folds,
+    so a model misses a few groups, never sees its own. A null group is the
+    empty one. Statistics are kept by (term, fold), so the number of folds adds
+    no columns. Raises ValueError where a training side lacks a class.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = cut_lineage(prepare_documents(labelled, spec))
+    _unique_ids(docs)
+    class_guard(docs, "target", spec.min_rows)
+    groups = labelled.select(F.col("annotation_id").alias("doc"), F.coalesce(F.col(group_col), F.lit("")).alias("group"))
+    folds = cut_lineage(grouped_folds(docs.drop("text").join(groups, "doc"), "group", max_folds, seed))
+    sizes = {(r[0], r[1]): r[2] for r in folds.groupBy("fold", "target").count().collect()}  # at most 2 x max_folds rows
+    every = sorted({f for f, _ in sizes})
+    for i in every:
+        if any(sum(n for (f, t), n in sizes.items() if f != i and t == wanted) == 0 for wanted in (0, 1)):
+            raise ValueError(f"without fold {i} a class has no rows")
+    counts = count_terms(docs.select("doc", "text").join(folds.select("doc", "fold"), "doc"), spec)
+    stats = CountTables(*(None if c is None else cut_lineage(FT.grouped_statistics(c)) for c in (counts.word, counts.char)))
+    rows = folds.drop("group")
+    with ThreadPoolExecutor(max_workers=parallel_folds) as pool:
+        parts = list(pool.map(lambda i: _score_fold(i, rows, counts, stats, spec, sizes, FT.without_group), every))
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    return scores.join(folds.select("doc", "group"), "doc")
+
+
 def oof_predictions(labelled: DataFrame, spec: DetectorSpec = IMPROVED) -> DataFrame:
     """M9 on the OOF scores: actual / predicted labels, probability, correctness, error type."""
     from threadlens.functions.scoring import error_type
