@@ -933,3 +933,28 @@ SELECT g.cue, CAST(sum(n_threads) AS BIGINT) AS n_threads, CAST(sum(weeks) AS BI
   CAST(min(run_start) AS VARCHAR) AS first_week, CAST(max(run_end) AS VARCHAR) AS latest_week, CAST(sum(n_open) AS BIGINT) AS n_open,
   coalesce(any_value(spell), 0) AS open_spell_weeks, max(run_end) = any_value(last_week) AS persists
 FROM gaps g LEFT JOIN spells ON g.cue = spells.cue, ends GROUP BY g.cue"""
+
+
+# -- leave one repository out -----------------------------------------------------------
+@sql("repository_folds")
+def _():
+    hw = lower_clean("has_workaround")
+    return f"""WITH {labelled_cte(None)},
+l2 AS (SELECT annotation_id, coalesce(repository, '') AS repository, CASE WHEN {hw} = 'yes' THEN 'workaround' ELSE 'no_workaround' END AS actual_label FROM labelled
+       WHERE {hw} IN ('yes', 'no') AND {strip('thread_text')} <> ''),
+r AS (SELECT repository, CAST((row_number() OVER (ORDER BY md5(concat_ws(':', repository, '42')), repository) - 1) % {Q.REPOSITORY_FOLDS} AS BIGINT) AS fold FROM (SELECT DISTINCT repository FROM l2)),
+p AS (SELECT l2.*, fold FROM l2 JOIN r USING (repository))
+SELECT annotation_id, repository, fold, actual_label, count(*) AS scores, count(*) AS valid_scores, (SELECT count(*) FROM p o WHERE o.fold <> p.fold) AS trained_rows
+FROM p GROUP BY ALL"""
+
+
+@sql("held_out_frequencies")
+def _():
+    return f"""WITH {_word_counts_cte()},
+s AS (SELECT source, term, count(*) AS df, sum(tf) AS total FROM c JOIN documents USING (doc_id) GROUP BY source, term),
+a AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c JOIN documents USING (doc_id) WHERE source IS NOT NULL GROUP BY term)
+SELECT s.source, s.term, a.df - s.df AS df, CAST(a.total - s.total AS BIGINT) AS total FROM s JOIN a USING (term) WHERE a.df > s.df"""
+
+
+# -- incremental collection: what the batch flattening gives -----------------------------
+ORACLE["collected_issues"] = ORACLE["issues_flatten"]

@@ -840,3 +840,58 @@ def cue_recurrence(spark, d):
 def cue_runs(spark, d):
     r = recurrence.cue_runs(_weekly(spark, d))
     return r.select("cue", F.col("run_start").cast("string").alias("run_start"), F.col("run_end").cast("string").alias("run_end"), "weeks", "n_threads", "n_open", "gap_weeks")
+
+
+# -- extension: leave one repository out ---------------------------------------------
+REPOSITORY_FOLDS = 10
+
+
+@query
+def repository_folds(spark, d):
+    """Every trained row is scored once, by a model of so many rows of other repositories."""
+    from threadlens.operators import model as M
+
+    p = M.leave_one_group_out(_labelled(spark, d), M.BASELINE, max_folds=REPOSITORY_FOLDS)
+    sizes = p.groupBy("fold").agg(F.count(F.lit(1)).alias("_own"))
+    total = p.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    scored = p.groupBy(F.col("doc").alias("annotation_id"), F.col("group").alias("repository"), "fold", "target").agg(
+        F.count(F.lit(1)).alias("scores"), F.count_if(F.col("probability").between(0, 1)).alias("valid_scores")
+    )
+    return scored.join(sizes, "fold").join(F.broadcast(total)).select(
+        "annotation_id", "repository", F.col("fold").cast("long").alias("fold"), S.label_name("target").alias("actual_label"), "scores", "valid_scores",
+        (F.col("_all") - F.col("_own")).alias("trained_rows"),
+    )
+
+
+@query
+def held_out_frequencies(spark, d):
+    """Of each source's terms, the document frequency in all other sources."""
+    from threadlens.operators import features as FT
+
+    docs = _documents(spark, d).withColumn("fold", F.col("source"))
+    stats = FT.grouped_statistics(FT.word_term_counts(docs, "doc_id", "text", extra=["fold"]))
+    return FT.held_out_statistics(stats).withColumnRenamed("fold", "source")
+
+
+# -- extension: incremental collection -------------------------------------------------
+@query
+def collected_issues(spark, d):
+    """Pages land in two overlapping deliveries, the stream stops between them and once more
+    runs without news: its sink holds each issue exactly once."""
+    import uuid
+
+    from threadlens.session import ensure_checkpoint_dir
+    from threadlens.streaming import collect_stream
+
+    run = uuid.uuid4().hex
+    landing, sink = (f"{ensure_checkpoint_dir(spark).rstrip('/')}/{x}-{run}" for x in ("landing", "collected"))
+    pages = _pages(spark, d)
+    for delivery in (pages.filter("pmod(xxhash64(url), 2) = 0"), pages, None):
+        if delivery is not None:
+            delivery.write.mode("append").json(landing)
+        collect_stream(spark, landing, sink, name=f"collect-{run}").awaitTermination()
+    return spark.read.parquet(sink).select(
+        "repository", "issue_number", "title", "state", "labels",
+        F.col("comments_count").cast("long").alias("comments_count"), "created_at",
+        F.col("body_length").cast("long").alias("body_length"), "issue_url",
+    )

@@ -63,7 +63,12 @@ def payload_items(pages: DataFrame) -> DataFrame:
     """
     require_columns(pages, ["repository", "url", "body_json"], "Landed responses")
     valid = pages.filter(_fault(pages).isNull())
-    return valid.select("repository", "url", F.posexplode(_payload()).alias("page_index", "raw"))
+    return valid.select("repository", "url", *_landing(pages), F.posexplode(_payload()).alias("page_index", "raw"))
+
+
+def _landing(pages: DataFrame) -> list[str]:
+    """The time a page landed at, where the source gives it (streams do)."""
+    return [c for c in ("landed_at",) if c in pages.columns]
 
 
 def _payload() -> Column:
@@ -119,6 +124,7 @@ def flatten_issues(pages: DataFrame, drop_pull_requests: bool = True) -> DataFra
         F.col("it.closed_at").alias("closed_at"),
         text_length(body).cast("int").alias("body_length"),
         F.col("it.html_url").alias("issue_url"),
+        *_landing(pages),
     )
 
 

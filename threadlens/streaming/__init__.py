@@ -8,10 +8,12 @@ shared folder named by ``spark.checkpoint.dir``.
 """
 
 from threadlens.streaming.streams import (
+    collect_stream,
     cue_stream,
     issue_stream,
+    latest_issues,
     score_stream,
     stream_checkpoint,
 )
 
-__all__ = ["issue_stream", "cue_stream", "score_stream", "stream_checkpoint"]
+__all__ = ["collect_stream", "latest_issues", "issue_stream", "cue_stream", "score_stream", "stream_checkpoint"]
