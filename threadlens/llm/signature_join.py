@@ -488,10 +488,14 @@ def signature_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("c").alias("c"), F.min(F.struct("t1", "t2")).alias("t"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
     )
     classes = stage(classes.select("class", "rep", "n", "c", "t.t1", "t.t2", "sig", "keys"), "classes")
+    described, rows = rows, stage(rows.select("doc_id", "n", "class"), "row-classes")
+    unstage(described)
     # Buckets name classes by half their digest; where two share it, both come.
     exploded = classes.select("c", F.explode("keys").alias("key"))
     shared = stage(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-keys")
     members = stage(thinned(exploded, shared, "key").join(shared, "key"), "members")
+    keyed, classes = classes, stage(classes.drop("keys"), "classes-without-keys")
+    unstage(keyed)
     same = members.groupBy("key", "m").agg(F.bit_xor(F.xxhash64("c")).alias("f1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("f2"))
     kept = stage(same.groupBy("m", "f1", "f2").agg(F.min("key").alias("key")).select("key"), "kept-keys")
     buckets = stage(members.join(kept, "key"), "buckets")
