@@ -30,7 +30,7 @@ def _norm(v):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ["documents", "labels", "conversations", "events"]:
+    for t in ["documents", "labels", "conversations", "events", "embeddings"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE}/{t}.parquet')")
     df = E.queries()[name](spark, SMOKE)
     cols = df.columns
