@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
 
-from threadlens.llm import components, exact_dedup, near_dedup, suffix_dedup, textnum
+from threadlens.llm import components, exact_dedup, near_dedup, staging, suffix_dedup, textnum
 from tests.llm.conftest import EDGE_ROWS
 
 
@@ -178,6 +178,14 @@ def test_passages_match_brute_force(spark, hot_count):
     assert sorted(map(tuple, got)) == sorted(_passages(rows))
 
 
+def test_passages_with_full_bit_tables(spark, monkeypatch):
+    """Tables of 64 bits tell next to nothing: every text is kept or fetched, and the result is the same."""
+    monkeypatch.setattr(staging, "THIN_BITS", 64)
+    rows = passage_rows(5) + [(3000 + i, "one passage that a third of all rows hold, word for word, from end to end") for i in range(40)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot_count=20).drop("kept_text").collect()
+    assert sorted(map(tuple, got)) == sorted(_passages(rows))
+
+
 def test_passages_edges(spark, edge_docs, no_docs):
     got = suffix_dedup.suffix_dedup(edge_docs).drop("kept_text").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, _passages([(i, t) for i, t, *_ in EDGE_ROWS])))

@@ -71,25 +71,33 @@ def free_name(columns: Iterable[str], base: str) -> str:
 THIN_BITS = 1 << 27
 
 
-def flagged(rows: DataFrame, wanted: DataFrame, key: str, flag: str) -> DataFrame:
-    """``rows`` with a boolean ``flag``: false only where the hash ``key`` (a long) is not in ``wanted``.
-
-    A bit table of a fixed size is shipped to the tasks, so a join that follows
-    needn't move the rows without the flag; the larger ``wanted`` is, the more
-    rows have it.
-    """
+def _bit_table(wanted: DataFrame, key: str) -> np.ndarray:
+    """Words of THIN_BITS bits, one set for each hash ``key`` (a long) of ``wanted``."""
     word = F.col(key).bitwiseAND(F.lit(THIN_BITS - 1))
     one = F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")
     found = wanted.groupBy(F.shiftright(word, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     table = np.zeros(THIN_BITS // 64, np.uint64)
     table[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, key: str, flag: str, unless: DataFrame | None = None) -> DataFrame:
+    """``rows`` with a boolean ``flag``: false only where the hash ``key`` (a long) is not in
+    ``wanted``, or may be in ``unless``.
+
+    A bit table of a fixed size is shipped to the tasks, so a join that follows
+    needn't move the rows without the flag; the larger ``wanted`` is, the more
+    rows have it. With the false hits of ``wanted`` as ``unless``, the flag
+    tells no row wrongly and misses few.
+    """
+    tables = [_bit_table(t, key) for t in (wanted, unless) if t is not None]
     column, names = rows.columns.index(key), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(column).to_numpy().view(np.uint64) & np.uint64(THIN_BITS - 1)
-            bit = table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bit.astype(bool))], [*names, flag])
+            hits = [(t[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool) for t in tables]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits[0] & ~hits[1] if len(hits) > 1 else hits[0])], [*names, flag])
 
     return bound_batches(rows).mapInArrow(run, T.StructType([*rows.schema, T.StructField(flag, T.BooleanType())]))
 

@@ -19,12 +19,16 @@ place, and most have no partner, so Spark deals them out by content first:
    groups with longer common prefixes by blind tries, which look only at the
    bytes where a group branches. Suffixes equal over a window give the least
    document that has it.
-3. Hot anchors, those with more occurrences than ``hot_count`` (so at most
-   HOT_KEYS keys), would make one bucket too large. Their windows go one by
-   one, as 128-bit hashes, through an aggregation with map-side combine and a
-   join that Spark can split.
-
-Copies of a whole text are settled by its hash before all this.
+3. Hot anchors, those with more occurrences than ``hot_count``, would make one
+   bucket too large. A second bit table, of 2 ** HOT_BITS bits, marks them;
+   a key that only shares a hot key's bit goes the same way. Their windows go
+   one by one, as 128-bit hashes, through an aggregation with map-side combine
+   and a join that Spark can split.
+
+Copies of a whole text are settled by its hash before all this. Two bit tables
+of a fixed size keep most of the later copies out of the steps above, at any
+size of the corpus: one of the copies' names, one of the names that hit it by
+chance. A copy that gets through costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import textnum
-from threadlens.llm.staging import bound_batches, stage
+from threadlens.llm.staging import bound_batches, flagged, stage, thinned
 
 WINDOW = 50
 GRAM = 16
@@ -51,11 +55,9 @@ KEYS_PER_BUCKET = 1 << 19
 SNIPPETS_PER_BUCKET = 1 << 15
 HOT_COUNT = 1 << 16
 MAX_BITS = 29
-HOT_KEYS = 1_000_000
+HOT_BITS = 24
 #: A bucket folds so many keys, or as many as it holds, at a time.
 FOLD_KEYS = 1 << 18
-#: Up to so many repeated texts (24 bytes each) are broadcast.
-BROADCAST_TEXTS = 500_000
 
 _KEY_SEED = np.uint64(0x632BE59BD9B4E019)
 _FORTY = np.uint64((1 << 40) - 1)
@@ -170,7 +172,7 @@ def _unfive(data: bytes) -> np.ndarray:
 
 
 def _repeated_keys(bits: int, table_bits: int, hot_count: int):
-    """Per bucket: its part of the bit table of repeated keys, and its hot keys."""
+    """Per bucket: its part of the bit table of repeated keys, and the places of its hot keys in theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, parts, waiting = 0, [_none()], [], 0
@@ -194,7 +196,8 @@ def _repeated_keys(bits: int, table_bits: int, hot_count: int):
         part = np.zeros(1 << (table_bits - bits), bool)
         part[keys[several] >> np.uint64(40 - (table_bits - bits))] = True
         whole = (np.uint64(bucket) << np.uint64(40)) | keys[several & (n > hot_count)]
-        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([np.packbits(part).tobytes()], pa.binary()), pa.array([whole.view(np.int64).tolist()], pa.list_(pa.int64()))], ["bucket", "part", "hot"])
+        places = np.unique(whole >> np.uint64(bits + 40 - HOT_BITS)).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([bucket]), *(pa.array([x.tobytes()], pa.binary()) for x in (np.packbits(part), places))], ["bucket", "part", "hot"])
 
     return run
 
@@ -204,25 +207,28 @@ def _none() -> tuple[np.ndarray, ...]:
 
 
 class _Filter:
-    """The bit table of repeated keys, and the hot keys with their bucket above 40 bits."""
+    """The bit tables of repeated keys and of hot keys; a key's place is its highest bits."""
 
     def __init__(self, bits: int, table_bits: int, parts: dict[int, bytes], hot: np.ndarray):
-        self.bits, self.table_bits, self.hot = bits, table_bits, np.sort(hot)
+        self.table_bits = table_bits
         size = max(1, (1 << (table_bits - bits)) // 8)
         self.table = np.zeros(size << bits, np.uint8)
         for bucket, part in parts.items():
             self.table[bucket * size : (bucket + 1) * size] = np.frombuffer(part, np.uint8)
+        marks = np.zeros(1 << HOT_BITS, bool)
+        marks[hot] = True
+        self.hot = np.packbits(marks)
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> np.uint64(64 - self.table_bits)).astype(np.int64)
-        return (self.table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0
+        return self._bit(self.table, keys, self.table_bits)
 
     def is_hot(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.hot):
-            return np.zeros(len(keys), bool)
-        whole = keys >> np.uint64(24 - self.bits)
-        at = np.minimum(np.searchsorted(self.hot, whole), len(self.hot) - 1)
-        return self.hot[at] == whole
+        return self._bit(self.hot, keys, HOT_BITS)
+
+    @staticmethod
+    def _bit(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+        at = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0
 
 
 # --- snippets and their suffixes --------------------------------------------------------
@@ -397,7 +403,7 @@ def _send_hot_windows(held):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for chunk in textnum.chunks(batch.column(3), CHUNK):
                 first, count, _, keys, doc = anchors(chunk)
-                mine = np.flatnonzero(keep.is_hot(keys))
+                mine = np.flatnonzero(keep.is_hot(keys) & keep.repeated(keys))
                 n = count[mine]
                 ends = np.cumsum(n)
                 at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[mine] - (ends - n), n)
@@ -445,14 +451,13 @@ def repeated_runs(texts: DataFrame, total_bytes: int, hot_count: int = HOT_COUNT
     expected = max(1, 2 * total_bytes // (WINDOW - GRAM + 2))
     bits = min(24, max(0, (expected // KEYS_PER_BUCKET).bit_length()))
     table_bits = max(bits + 3, min(MAX_BITS, expected.bit_length() + 2, bits + 40))
-    hot_count = max(hot_count, expected // HOT_KEYS)
     found = (
         texts.mapInArrow(_send_keys(bits), "bucket long, keys binary, tags binary, places binary, more binary")
         .groupBy("bucket")
-        .applyInArrow(_repeated_keys(bits, table_bits, hot_count), "bucket long, part binary, hot array<long>")
-        .collect()  # at most 2 ** MAX_BITS bits and HOT_KEYS keys
+        .applyInArrow(_repeated_keys(bits, table_bits, hot_count), "bucket long, part binary, hot binary")
+        .collect()  # at most 2 ** MAX_BITS bits and 2 ** HOT_BITS places
     )
-    hot = np.array([k for r in found for k in r["hot"]], np.int64).view(np.uint64)
+    hot = np.frombuffer(b"".join(bytes(r["hot"]) for r in found), "<u4")
     held = spark.sparkContext.broadcast(_Filter(bits, table_bits, {r["bucket"]: bytes(r["part"]) for r in found}, hot))
     snippet_bits = min(24, max(0, (expected // 4 // SNIPPETS_PER_BUCKET).bit_length()))
     fields = "bucket long, ids binary, texts binary, places binary, counts binary, anchors binary, data binary"
@@ -482,24 +487,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = narrow.filter("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = stage(copies.select("t1", "t2", "least"), "copies")
     total = narrow.filter(F.col("n_bytes") >= WINDOW).agg(F.sum("n_bytes")).first()[0] or 0
-    held = F.broadcast(copies) if copies.count() <= BROADCAST_TEXTS else copies
-    texts = (
-        rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
-        .join(held, ["t1", "t2"], "left")
-        .filter(F.col("least").isNull() | (F.col("doc_id") == F.col("least")))
-        .select("doc_id", "t1", "t2", "text")
-    )
+    full = ["doc_id", "t1", "t2"]
+    named = narrow.filter(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= WINDOW)).select(*full, F.xxhash64(*full).alias("name"))
+    later = stage(named.join(copies, ["t1", "t2"]).filter("doc_id > least").select(*full, "name"), "later-copies")
+    chance = stage(thinned(named, later, "name").join(later, full, "left_anti").select("name"), "chance-hits")
+    texts = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)).withColumn("name", F.xxhash64(*full))
+    texts = flagged(texts, later, "name", "going", unless=chance).filter("not going").select(*full, "text")
     runs = repeated_runs(texts, total, hot_count).groupBy("doc_id", F.col("text").alias("half")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     runs = stage(runs, "runs")
-    parts = texts.withColumn("half", F.col("t1").bitwiseAND(F.lit(0xFFFFFFFF)))
-    if runs.count() <= BROADCAST_TEXTS:  # then the other texts needn't move
-        parts = parts.join(F.broadcast(runs.select("doc_id", "half")), ["doc_id", "half"], "left_semi")
-    parts = parts.join(runs, ["doc_id", "half"]).dropDuplicates(["doc_id", "t1", "t2"])
+    place = F.xxhash64("doc_id", "half").alias("place")
+    parts = texts.withColumn("half", F.col("t1").bitwiseAND(F.lit(0xFFFFFFFF))).select("*", place)
+    parts = thinned(parts, runs.select(place), "place").drop("place")  # the other texts needn't move
+    parts = parts.join(runs, ["doc_id", "half"]).dropDuplicates(full)
     cut = parts.select("t1", "t2", "runs", "text").mapInArrow(_remove, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
     cut = stage(cut, "cut-texts")
     whole = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
-    held = F.broadcast(copies) if copies.count() <= BROADCAST_TEXTS else copies
-    joined = narrow.join(held, ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
+    joined = narrow.join(copies, ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
     touched = F.col("doc_id").isNotNull()
     empty = hashlib.sha256(b"").hexdigest()
     return joined.select(
