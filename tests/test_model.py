@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 from pyspark.sql import functions as F
@@ -101,3 +102,11 @@ def test_held_out_statistics(spark):
     counts = spark.createDataFrame([("a", "x", 2, "r1"), ("b", "x", 1, "r2"), ("c", "y", 5, "r1"), ("d", "x", 1, "r1")], "doc string, term string, tf int, fold string")
     got = sorted(map(tuple, FT.held_out_statistics(FT.grouped_statistics(counts)).collect()))
     assert got == [("x", "r1", 1, 1), ("x", "r2", 2, 3)]
+
+
+def test_certificate_tells_a_fit_from_an_unfinished_one(spark):
+    lab = corpus(spark)
+    done = M.fit_certificate(M.fit_detector(lab, M.BASELINE), lab).first()
+    cut = M.fit_certificate(M.fit_detector(lab, dataclasses.replace(M.BASELINE, max_iter=2)), lab).first()
+    assert done["rows"] == 60 and done["zero_slope"] == cut["zero_slope"] > 0
+    assert done["converged"] and not cut["converged"]

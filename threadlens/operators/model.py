@@ -32,6 +32,8 @@ from threadlens.session import cut_lineage
 
 
 TRAIN_ROWS_PER_PARTITION = 5000
+#: Of the slope at zero coefficients, a converged fit has at most this share left.
+CERTIFIED_SHARE = 0.1
 
 
 @dataclass(frozen=True)
@@ -339,30 +341,50 @@ def fit_detector(labelled: DataFrame, spec: DetectorSpec = IMPROVED) -> Detector
     return Detector(spec, fm, model)
 
 
-def objective_gradient(det: Detector, labelled: DataFrame) -> DataFrame:
-    """One row: the largest absolute entry of the fit's gradient at its coefficients.
+def objective_slopes(entries: DataFrame, docs: DataFrame, coefficients: DataFrame, intercept: float, C: float) -> DataFrame:
+    """``(idx, slope)``: the gradient of the fitted objective at given coefficients; -1 is the intercept.
 
     The objective is the class-balanced mean log loss plus half the L2 penalty
-    ``1 / (C * n)`` on the coefficients (not the intercept); at its minimum the
-    gradient is zero.
+    ``1 / (C * n)`` on the coefficients (not the intercept). ``docs`` holds each
+    training row's ``(doc, target)``, ``coefficients`` every feature's
+    ``(idx, weight)`` (a table bounded by the vocabulary caps). A row without a
+    known term scores the intercept.
     """
-    docs = prepare_documents(labelled, det.spec)
-    neg, pos, _ = class_guard(docs, "target", det.spec.min_rows)
+    pos, neg = _class_counts(docs)
     n = pos + neg
-    counts = count_terms(docs, det.spec)
-    blocks = 2 if det.features.char is not None else 1
-    entries = FT.normalised_entries(feature_entries(counts, det.features), blocks)
-    entries = docs.select("doc").join(entries, "doc", "left")  # a document without known terms scores the intercept
-    coefficients = det.classifier.coefficients.toArray().tolist()  # bounded by the vocabulary caps
-    table = F.broadcast(labelled.sparkSession.createDataFrame(list(enumerate(coefficients)), "idx int, weight double"))
-    entries = entries.select("doc", F.coalesce("idx", F.lit(-1)).alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    scored = FT.linear_scores(entries, table, det.classifier.intercept)
-    weight = F.when(F.col("target") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * neg))
-    residual = scored.join(docs.select("doc", "target"), "doc").select("doc", (weight * (F.col("probability") - F.col("target")) / n).alias("r"))
-    slopes = entries.filter("idx >= 0").join(residual, "doc").groupBy("idx").agg(F.sum(F.col("value") * F.col("r")).alias("g"))
-    slopes = slopes.join(table, "idx").select((F.col("g") + F.col("weight") / (det.spec.C * n)).alias("g"))
-    slopes = slopes.unionByName(residual.agg(F.sum("r").alias("g")))
-    return slopes.agg(F.max(F.abs("g")).alias("largest_slope"))
+    known = docs.select("doc").join(entries.select("doc", "idx", "value"), "doc", "left").select(
+        "doc", F.coalesce("idx", F.lit(-1)).alias("idx"), F.coalesce("value", F.lit(0.0)).alias("value")
+    )
+    scored = FT.linear_scores(known, coefficients, intercept).join(docs.select("doc", "target"), "doc")
+    weight = F.when(F.col("target") == 1, F.lit(n / (2.0 * max(pos, 1)))).otherwise(F.lit(n / (2.0 * max(neg, 1))))
+    residual = scored.select("doc", (weight * (F.col("probability") - F.col("target")) / n).alias("r"))
+    sums = known.filter("idx >= 0").join(residual, "doc").groupBy("idx").agg(F.sum(F.col("value") * F.col("r")).alias("g"))
+    slopes = coefficients.join(sums, "idx", "left").select(
+        "idx", (F.coalesce("g", F.lit(0.0)) + F.col("weight") / F.lit(C * n)).alias("slope")
+    )
+    return slopes.unionByName(residual.agg(F.lit(-1).alias("idx"), F.sum("r").alias("slope")))
+
+
+def fit_certificate(det: Detector, labelled: DataFrame) -> DataFrame:
+    """One row: ``rows`` trained on, ``zero_slope`` and ``fitted_slope``, the largest absolute
+    slope of the objective at zero coefficients and at the fit, and ``converged``.
+
+    The objective's minimum has slope zero, so a fit has converged if it left at
+    most CERTIFIED_SHARE of the slope that no model has.
+    """
+    spark = labelled.sparkSession
+    docs = cut_lineage(prepare_documents(labelled, det.spec))
+    entries = FT.normalised_entries(feature_entries(count_terms(docs, det.spec), det.features), 1 if det.features.char is None else 2)
+    fitted = det.classifier.coefficients.toArray().tolist()  # bounded by the vocabulary caps
+
+    def largest(weights: list[float], intercept: float, name: str) -> DataFrame:
+        table = spark.createDataFrame(list(enumerate(weights)), "idx int, weight double")
+        return objective_slopes(entries, docs, table, intercept, det.spec.C).agg(F.max(F.abs("slope")).alias(name))
+
+    both = docs.agg(F.count(F.lit(1)).alias("rows")).join(largest([0.0] * len(fitted), 0.0, "zero_slope")).join(
+        largest(fitted, det.classifier.intercept, "fitted_slope")
+    )  # one row each
+    return both.withColumn("converged", F.col("fitted_slope") <= F.lit(CERTIFIED_SHARE) * F.col("zero_slope"))
 
 
 def top_terms(det: Detector, n: int = 15) -> DataFrame:

@@ -677,16 +677,16 @@ SELECT DISTINCT repository, next_url FROM landed WHERE next_url NOT IN (SELECT u
 _WORD_RE2 = r"[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}"
 
 
-def _word_counts_cte() -> str:
+def _word_counts_cte(source: str = "documents") -> str:
     return f"""d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{_WORD_RE2}') AS toks
-      FROM documents),
+      FROM {source}),
 t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM d),
 g AS (SELECT doc_id, tok AS term FROM t
       UNION ALL
       SELECT doc_id, tok || ' ' || nxt FROM (SELECT doc_id, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM t)
       WHERE nxt IS NOT NULL),
 c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
-nd AS (SELECT count(*) AS n FROM documents)"""
+nd AS (SELECT count(*) AS n FROM {source})"""
 
 
 @sql("document_frequencies")
@@ -775,7 +775,38 @@ FROM l2, k"""
 
 @sql("fit_optimality")
 def _():
-    return "SELECT CAST(0.0 AS DOUBLE) AS largest_slope FROM (SELECT count(*) FROM labels)"
+    from threadlens.operators.model import BASELINE
+
+    hw = lower_clean("has_workaround")
+    return f"""WITH {labelled_cte(A.SIGNAL)},
+l2 AS (SELECT annotation_id AS doc_id, {strip('thread_text')} AS text, CASE WHEN {hw} = 'yes' THEN 1 ELSE 0 END AS target
+       FROM labelled WHERE {hw} IN ('yes', 'no') AND {strip('thread_text')} <> ''),
+{_word_counts_cte('l2')},
+st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c GROUP BY term),
+v AS (SELECT st.* FROM st, nd WHERE st.df <= CAST({BASELINE.word_max_df} AS DOUBLE) * nd.n ORDER BY total DESC, term LIMIT {BASELINE.word_max_features}),
+w AS (SELECT c.doc_id, c.term, (1.0 + ln(c.tf)) * (ln((1.0 + nd.n) / (1.0 + v.df)) + 1.0) AS w FROM c JOIN v USING (term), nd),
+u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS value FROM w),
+nn AS (SELECT count(*) AS n, sum(target) AS pos FROM l2),
+r AS (SELECT doc_id, (0.5 - target) / (2.0 * CASE WHEN target = 1 THEN pos ELSE n - pos END) AS r FROM l2, nn),
+slopes AS (SELECT sum(value * r) AS slope FROM u JOIN r USING (doc_id) GROUP BY term UNION ALL SELECT sum(r) FROM r)
+SELECT (SELECT n FROM nn) AS rows, round(max(abs(slope)), 8) AS zero_slope, TRUE AS converged FROM slopes"""
+
+
+@sql("objective_slopes")
+def _():
+    from threadlens.operators.model import IMPROVED
+
+    hw = lower_clean("has_workaround")
+    return f"""WITH {labelled_cte(A.SIGNAL)},
+{_union_cte()},
+y AS (SELECT issue_number AS doc_id, CASE WHEN {hw} = 'yes' THEN 1 ELSE 0 END AS target FROM labelled WHERE {hw} IN ('yes', 'no')),
+nn AS (SELECT count(*) AS n, sum(target) AS pos FROM y),
+m AS (SELECT y.doc_id, y.target, coalesce(sum(value * ((idx % 7 - 3) / 4.0)), 0.0) + {Q.SCORE_INTERCEPT} AS z FROM y LEFT JOIN u USING (doc_id) GROUP BY y.doc_id, y.target),
+r AS (SELECT doc_id, (1.0 / (1.0 + exp(-z)) - target) / (2.0 * CASE WHEN target = 1 THEN pos ELSE n - pos END) AS r FROM m, nn),
+k AS (SELECT idx, sum(value * r) AS g FROM u JOIN r USING (doc_id) GROUP BY idx)
+SELECT CAST(i.idx AS BIGINT) AS idx, round(coalesce(k.g, 0.0) + ((i.idx % 7 - 3) / 4.0) / ({IMPROVED.C} * nn.n), 8) AS slope
+FROM (SELECT unnest(range({Q.SCORED_TERMS})) AS idx) i LEFT JOIN k USING (idx), nn
+UNION ALL SELECT -1, round(sum(r), 8) FROM r"""
 
 
 @sql("training_set_summary")

@@ -723,11 +723,24 @@ def oof_coverage(spark, d):
 
 @query
 def fit_optimality(spark, d):
-    """The stated objective's largest slope at the fitted coefficients, to two places."""
+    """The objective's largest slope without a model, and whether the fit left at most a tenth of it."""
     from threadlens.operators import model as M
 
     lab = _labelled(spark, d)
-    return M.objective_gradient(M.fit_detector(lab, M.BASELINE), lab).select(F.round("largest_slope", 2).alias("largest_slope"))
+    return M.fit_certificate(M.fit_detector(lab, M.BASELINE), lab).select("rows", F.round("zero_slope", 8).alias("zero_slope"), "converged")
+
+
+@query
+def objective_slopes(spark, d):
+    """The training objective's slope at a given coefficient table, over both feature blocks."""
+    from threadlens.operators import model as M
+
+    entries = _union_entries(spark, d).withColumnRenamed("doc_id", "doc")
+    rows = _labelled(spark, d).filter(T.lower_clean("has_workaround").isin("yes", "no"))
+    docs = rows.select(F.col("issue_number").alias("doc"), T.yes_no_target("has_workaround").alias("target"))
+    given = spark.range(SCORED_TERMS).select(F.col("id").cast("int").alias("idx"), ((F.col("id") % 7 - 3) / 4.0).alias("weight"))
+    slopes = M.objective_slopes(cut_lineage(entries), docs, given, SCORE_INTERCEPT, M.IMPROVED.C)
+    return slopes.select(F.col("idx").cast("long").alias("idx"), F.round("slope", 8).alias("slope"))
 
 
 @query
