@@ -498,9 +498,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.xxhash64("doc_id", "half").alias("place")
     parts = texts.withColumn("half", F.col("t1").bitwiseAND(F.lit(0xFFFFFFFF))).select("*", place)
     parts = thinned(parts, runs.select(place), "place").drop("place")  # the other texts needn't move
-    parts = parts.join(runs, ["doc_id", "half"]).dropDuplicates(full)
+    parts = parts.join(runs, ["doc_id", "half"]).dropDuplicates([*full, "half"])  # dealt as the join left them
     cut = parts.select("t1", "t2", "runs", "text").mapInArrow(_remove, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
-    cut = stage(cut, "cut-texts")
+    cut = stage(cut.withColumn("kept_sha", F.unhex(F.sha2("kept", 256))), "cut-texts")  # who wants no texts needn't move them
     whole = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
     joined = narrow.join(copies, ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
     touched = F.col("doc_id").isNotNull()
@@ -510,6 +510,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "n_bytes",
         F.when(whole, F.col("n_bytes")).when(touched, F.coalesce("n_removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
         F.when(whole, 1).when(touched, F.coalesce("n_spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(empty)).when(touched & F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
+        F.when(whole, F.lit(empty)).otherwise(F.lower(F.hex(F.when(touched, F.coalesce("kept_sha", "sha")).otherwise(F.col("sha"))))).alias("kept_sha256"),
         F.when(whole, F.lit(b"")).when(touched, F.col("kept")).alias("kept_text"),
     )
