@@ -45,6 +45,17 @@ def test_opportunity_filters_facets(spark):
     assert f == [("confidence", "High"), ("confidence", "Low"), ("cost_type", "effort"), ("cost_type", "risk"), ("cost_type", "time"), ("cost_type", "unspecified")]
 
 
+def test_merged_sketches_are_within_the_stated_bound(spark):
+    rows = spark.range(60_000).selectExpr("id % 7 AS day", "id % 3 AS repository", "id % 20000 AS thread")
+    stored = MT.distinct_sketches(rows, ["repository", "day"], "thread")
+    assert stored.count() == 21
+    for r in MT.merged_distinct(stored, ["repository"]).collect():
+        assert abs(r["distinct_estimate"] - 20_000) <= MT.SKETCH_BOUND * 20_000
+    nulls = spark.createDataFrame([(1, None), (1, "a"), (2, None)], "k int, v string")
+    got = {r["k"]: r["distinct_estimate"] for r in MT.merged_distinct(MT.distinct_sketches(nulls, ["k"], "v"), ["k"]).collect()}
+    assert got == {1: 1, 2: 0}
+
+
 def test_fn_analysis_and_counts(spark):
     pred = spark.createDataFrame(
         [("a", "workaround", "no_workaround", 0.3, "Retry then restart"), ("b", "workaround", "no_workaround", 0.1, "nothing"), ("c", "no_workaround", "workaround", 0.8, "x")],

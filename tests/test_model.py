@@ -59,6 +59,19 @@ def test_final_fit_terms_save_score(spark, tmp_dir):
     assert scored["x1"]["prediction"] == "workaround"
 
 
+def test_row_scores_equal_joined_scores_without_a_shuffle(spark):
+    lab = corpus(spark)
+    rows = [(f"x{i}", "Größe", t) for i, t in enumerate(["", None, "a b", "we copy paste manually", "zzz qqq", "Error  NULL\tpointer é crash crash"])]
+    new = spark.createDataFrame(rows, "annotation_id string, title string, thread_text string")
+    for spec in (M.BASELINE, M.IMPROVED):
+        det = M.fit_detector(lab, spec)
+        scored = M.score(det, new)
+        assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+        want = {r["annotation_id"]: r["probability"] for r in M.joined_scores(det, new).collect()}
+        got = {r["annotation_id"]: r["probability"] for r in scored.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_jobs_end_to_end(spark, tmp_dir):
     from threadlens import jobs
 

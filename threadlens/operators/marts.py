@@ -17,6 +17,9 @@ PREDICTION_MART_COLUMNS = [
     "annotation_id", "actual", "predicted", "probability", "heuristic_prediction",
     "heuristic_correct", "model_correct",
 ]
+SKETCH_LG_K = 14
+#: Three standard errors of merged sketches, relative to the exact count.
+SKETCH_BOUND = 3 * 1.04 / 2 ** (SKETCH_LG_K / 2)
 
 
 def dashboard_base(annotations: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -132,6 +135,22 @@ def opportunity_kpis(opportunities: DataFrame, exact_distinct: bool = True) -> D
     )
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``(*keys, sketch)``: a mergeable HyperLogLog sketch of the distinct values of each group.
+
+    A sketch has at most ``2 ** SKETCH_LG_K`` bytes and is combined before the
+    shuffle. Null values count nothing.
+    """
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(F.col(value), SKETCH_LG_K).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, distinct_estimate)`` of stored sketches with finer keys, within SKETCH_BOUND of
+    the exact count (three standard errors); the rows behind them aren't read again."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*keys).agg(merged.alias("distinct_estimate"))
+
+
 def facets(opportunities: DataFrame) -> DataFrame:
     """A10: distinct sorted facet values: title-cased confidence, split cost types."""
     conf = opportunities.select(F.lit("confidence").alias("facet"), F.initcap(strip_ws("confidence")).alias("value"))

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.functions.cues import BEHAVIOUR8, LIST_SEPARATOR, CueDictionary, augment_text
@@ -328,7 +330,7 @@ class Detector:
 
 def fit_detector(labelled: DataFrame, spec: DetectorSpec = IMPROVED) -> Detector:
     """M7: final fit on every labelled row."""
-    docs = prepare_documents(labelled, spec)
+    docs = cut_lineage(prepare_documents(labelled, spec))
     _unique_ids(docs)
     neg, pos, _ = class_guard(docs, "target", spec.min_rows)
     counts = count_terms(docs, spec)
@@ -408,22 +410,86 @@ def top_terms(det: Detector, n: int = 15) -> DataFrame:
     return pos.unionByName(neg).select("direction", "term", F.round("weight", 4).alias("weight"))
 
 
-def score(det: Detector, threads: DataFrame, id_col: str = "annotation_id") -> DataFrame:
-    """Probabilities and labels for new threads (batch; per micro-batch in a stream)."""
-    spec = det.spec
-    if spec.improved_text:
-        text = model_text("title", "thread_text")
-    else:
-        text = clean_text("thread_text")
+def _scored_text(spec: DetectorSpec, threads: DataFrame, id_col: str) -> DataFrame:
+    text = model_text("title", "thread_text") if spec.improved_text else clean_text("thread_text")
     docs = threads.select(F.col(id_col).alias("doc"), text.alias("text"))
     if spec.augment is not None:
         docs = docs.withColumn("_c", spec.augment.cue_array("text")).select("doc", augment_text("text", "_c").alias("text"))
+    return docs
+
+
+def _known_terms(det: Detector) -> list[dict[str, tuple[float, float]]]:
+    """Per block, (idf, coefficient) by term: model state, bounded by the vocabulary caps."""
+    coef, offset, out = det.classifier.coefficients.toArray(), 0, []
+    for vocab in (det.features.word, det.features.char):
+        if vocab is None:
+            continue
+        if vocab.max_features is None:
+            raise ValueError("a vocabulary without a cap has no bound; score with joined_scores")
+        out.append({r["term"]: (r["idf"], float(coef[offset + r["idx"]])) for r in vocab.table.select("term", "idx", "idf").collect()})
+        offset += vocab.size
+    return out
+
+
+def row_probability(det: Detector, text: Column) -> Column:
+    """M12 core: a thread text's probability, row by row, without a shuffle.
+
+    The text is lower-cased, folded and split in the JVM; an Arrow-batched
+    function counts its terms against the model's and adds up the weights.
+    """
+    known, intercept = _known_terms(det), float(det.classifier.intercept)
+    n_min, n_max = FT.CHAR_NGRAM_RANGE
+
+    def margin(counts: Counter, terms: dict[str, tuple[float, float]]) -> float:
+        total = norm = 0.0
+        for term, tf in counts.items():
+            if term in terms:
+                idf, weight = terms[term]
+                w = (1.0 + math.log(tf)) * idf
+                total, norm = total + w * weight, norm + w * w
+        return total / math.sqrt(norm) if norm else 0.0
+
+    def char_counts(words) -> Counter:
+        out: Counter = Counter()
+        for word, n in Counter(words).items():
+            padded = f" {word} "
+            for size in range(n_min, n_max + 1):
+                if size == n_min or len(padded) >= size:
+                    for i in range(max(len(padded) - size + 1, 1)):
+                        out[padded[i : i + size]] += n
+        return out
+
+    @F.pandas_udf("double")
+    def probability(ngrams: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(ngrams, words):
+            z = intercept + margin(Counter(a), known[0])
+            if len(known) > 1:
+                z += margin(char_counts(b), known[1])
+            out.append(1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return probability(FT.word_ngrams(FT.word_tokens(text), FT.WORD_NGRAM_RANGE[1]), FT.char_words(text))
+
+
+def score(det: Detector, threads: DataFrame, id_col: str = "annotation_id") -> DataFrame:
+    """Probabilities and labels for new threads; a stateless projection, so it
+    also runs on a stream. Rows that repeat an id are scored each for itself."""
+    docs = _scored_text(det.spec, threads, id_col)
+    return _with_label(docs.withColumn("probability", row_probability(det, F.col("text"))), det.spec, id_col)
+
+
+def joined_scores(det: Detector, threads: DataFrame, id_col: str = "annotation_id") -> DataFrame:
+    """The same by joins with the vocabularies, for detectors without a vocabulary cap; ids are unique."""
+    docs = _scored_text(det.spec, threads, id_col)
     counts = CountTables(
         FT.word_term_counts(docs, "doc", "text", FT.WORD_NGRAM_RANGE[1]),
         FT.char_wb_term_counts(docs, "doc", "text", *FT.CHAR_NGRAM_RANGE) if det.features.char else None,
     )
-    x = featurize(counts, docs, det.features)
-    scored = probability_of_positive(det.classifier.transform(x))
+    return _with_label(probability_of_positive(det.classifier.transform(featurize(counts, docs, det.features))), det.spec, id_col)
+
+
+def _with_label(scored: DataFrame, spec: DetectorSpec, id_col: str) -> DataFrame:
     return scored.select(
         F.col("doc").alias(id_col),
         "probability",

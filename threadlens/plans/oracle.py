@@ -543,6 +543,13 @@ def _():
        count(DISTINCT repository) AS repositories FROM opp"""
 
 
+@sql("merged_thread_counts")
+def _():
+    return f"""WITH {comments_cte()}
+SELECT repository, count(DISTINCT substr(CAST(created_at AS VARCHAR), 1, 10)) AS days, count(DISTINCT issue_number) AS threads, TRUE AS within_bound
+FROM comments GROUP BY repository"""
+
+
 @sql("facets")
 def _():
     c = strip("confidence")

@@ -513,6 +513,18 @@ def opportunity_kpis(spark, d):
     )
 
 
+@query
+def merged_thread_counts(spark, d):
+    """Daily sketches of the commented threads are stored, then merged by repository and
+    held against the exact count."""
+    comments = _comments(spark, d).withColumn("day", F.substring(F.col("created_at").cast("string"), 1, 10))
+    stored = cut_lineage(marts.distinct_sketches(comments, ["repository", "day"], "issue_number"))
+    merged = marts.merged_distinct(stored, ["repository"]).join(stored.groupBy("repository").agg(F.count(F.lit(1)).alias("days")), "repository")
+    exact = comments.groupBy("repository").agg(F.countDistinct("issue_number").alias("threads"))
+    near = F.abs(F.col("distinct_estimate") - F.col("threads")) <= F.lit(marts.SKETCH_BOUND) * F.col("threads")
+    return merged.join(exact, "repository").select("repository", "days", "threads", near.alias("within_bound"))
+
+
 @query
 def facets(spark, d):
     return marts.facets(_opportunities(spark, d))

@@ -130,20 +130,20 @@ def score_stream(
     name: str = "thread_scores",
     available_now: bool = True,
 ) -> StreamingQuery:
-    """M12 per micro-batch: the saved detector scores each batch of new threads.
+    """M12 on a stream: the saved detector scores new threads row by row.
 
-    Featurisation groups per document, so it runs inside ``foreachBatch`` on
-    the bounded micro-batch; the sink append is idempotent per batch id.
+    Scoring is a stateless projection, so the file sink's log and the query
+    checkpoint write each row exactly once.
     """
     from threadlens.operators.model import load_detector, score
 
     det = load_detector(spark, detector_path)
     threads = spark.readStream.schema(schema).parquet(threads_dir)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = score(det, batch, id_col).withColumn("batch_id", F.lit(batch_id))
-        out.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
-
-    writer = threads.writeStream.foreachBatch(write_batch).option("checkpointLocation", stream_checkpoint(spark, name))
+    writer = (
+        score(det, threads, id_col).writeStream.format("parquet")
+        .option("path", sink_dir)
+        .option("checkpointLocation", stream_checkpoint(spark, name))
+        .outputMode("append")
+    )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
