@@ -45,6 +45,38 @@ def test_out_of_fold_scores_every_row_once(spark):
     assert len(base) == 60 and all(0.0 <= r["workaround_probability"] <= 1.0 for r in base)
 
 
+def test_coded_documents_give_each_models_vectors(spark):
+    docs = spark.createDataFrame([("a", "copy paste copy error"), ("b", "crash é"), ("c", "paste the file"), ("d", ""), ("e", "zz")], "doc string, text string")
+    counts = M.count_terms(docs, M.IMPROVED)
+    parts = [["a", "b"], ["b", "c"], ["a", "c"]]
+    models = []
+    for own in parts:
+        stats = [FT.term_statistics(c.filter(F.col("doc").isin(own))) for c in (counts.word, counts.char)]
+        models.append(M.fit_features(*stats, len(own), dataclasses.replace(M.IMPROVED, word_max_features=4, char_max_features=9)))
+    vocab = FT.union_vocabulary([m.blocks for m in models])
+    assert vocab.sizes == [m.size for m in models]
+    coded = FT.coded_documents([counts.word, counts.char], vocab, docs)
+    for i, m in enumerate(models):
+        want = {r["doc"]: r["features"] for r in M.featurize(counts, docs, m).collect()}
+        scored = FT.vectors_of(coded, vocab, i)
+        assert scored.columns == ["doc", "text", "features"] and "terms" not in scored.columns
+        got = {r["doc"]: r["features"] for r in scored.collect()}
+        assert got.keys() == want.keys() == set("abcde")
+        for k, v in want.items():
+            assert got[k].size == v.size and list(got[k].indices) == list(v.indices)
+            assert max((abs(x - y) for x, y in zip(got[k].values, v.values)), default=0) < 1e-12
+    empty = FT.coded_documents([counts.word, counts.char], vocab, docs.limit(0))
+    assert FT.vectors_of(empty, vocab, 0).count() == 0
+
+
+def test_out_of_fold_without_a_vocabulary_cap_agrees(spark):
+    lab = corpus(spark)
+    capped = dataclasses.replace(M.BASELINE, word_max_features=100_000)
+    got = {r["doc"]: r["probability"] for r in M.out_of_fold(lab, capped).collect()}
+    want = {r["doc"]: r["probability"] for r in M.out_of_fold(lab, dataclasses.replace(capped, word_max_features=None)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_final_fit_terms_save_score(spark, tmp_dir):
     lab = corpus(spark)
     det = M.fit_detector(lab, M.BASELINE)

@@ -139,9 +139,13 @@ class FeatureModel:
     word: FT.Vocabulary
     char: FT.Vocabulary | None
 
+    @property
+    def blocks(self) -> list[FT.Vocabulary]:
+        return [self.word] if self.char is None else [self.word, self.char]
+
     @property
     def size(self) -> int:
-        return self.word.size + (self.char.size if self.char else 0)
+        return sum(v.size for v in self.blocks)
 
 
 def fit_features(word: DataFrame, char: DataFrame | None, n_train: int, spec: DetectorSpec) -> FeatureModel:
@@ -174,8 +178,18 @@ def _balanced_weights(df: DataFrame, n: int, pos: int, neg: int) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("target") == 1, F.lit(w1)).otherwise(F.lit(w0)))
 
 
-def fit_classifier(train: DataFrame, n_train: int, pos: int, neg: int, spec: DetectorSpec) -> LogisticRegressionModel:
-    """Class-balanced L2 logistic regression; ``regParam = 1 / (C * n)`` matches C-scaled loss."""
+def _train_partitions(df: DataFrame, n_train: int) -> int:
+    """Every L-BFGS iteration is one aggregation job over the training rows: few
+    tasks for few rows, but never more than two rounds of the cluster's cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(math.ceil(n_train / TRAIN_ROWS_PER_PARTITION), 2 * cores))
+
+
+def fit_classifier(train: DataFrame, n_train: int, pos: int, neg: int, spec: DetectorSpec, dealt: bool = False) -> LogisticRegressionModel:
+    """Class-balanced L2 logistic regression; ``regParam = 1 / (C * n)`` matches C-scaled loss.
+
+    ``dealt``: the rows lie in ``_train_partitions`` partitions already and are not moved.
+    """
     lr = LogisticRegression(
         featuresCol="features",
         labelCol="target",
@@ -188,11 +202,8 @@ def fit_classifier(train: DataFrame, n_train: int, pos: int, neg: int, spec: Det
         tol=spec.tol,
     )
     data = _balanced_weights(train, n_train, pos, neg).withColumn("target", F.col("target").cast("double"))
-    # Every L-BFGS iteration is one aggregation job over the training rows: few
-    # tasks for few rows, but never more than two rounds of the cluster's cores.
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(math.ceil(n_train / TRAIN_ROWS_PER_PARTITION), 2 * cores))
-    return lr.setAggregationDepth(2 if parts <= 256 else 3).fit(data.repartition(parts))
+    parts = _train_partitions(train, n_train)
+    return lr.setAggregationDepth(2 if parts <= 256 else 3).fit(data if dealt else data.repartition(parts))
 
 
 def _class_counts(df: DataFrame) -> tuple[int, int]:
@@ -210,34 +221,69 @@ def _unique_ids(docs: DataFrame) -> None:
         raise ValueError("ids of labelled rows must be unique; run the validation first")
 
 
-def _score_fold(i: int, folds: DataFrame, counts: CountTables, stats: CountTables, spec: DetectorSpec, sizes: dict, without=FT.without_fold) -> DataFrame:
-    tpos = sum(n for (f, t), n in sizes.items() if f != i and t == 1)
-    tneg = sum(n for (f, t), n in sizes.items() if f != i and t == 0)
-    n_train = tpos + tneg
-    fm = fit_features(without(stats.word, i), None if stats.char is None else without(stats.char, i), n_train, spec)
-    # One featurisation of all rows with this fold's vocabulary, then split.
+def _score_fold(i: int, folds: DataFrame, counts: CountTables, fm: FeatureModel, spec: DetectorSpec, train: tuple[int, int]) -> DataFrame:
+    """One fold's scores where a vocabulary has no cap: joins with the fold's own vocabulary."""
+    tpos, tneg = train
     x = featurize(counts, folds, fm).join(folds, "doc")
     # Deterministic to recompute (sorted per-document entries), so a cached
     # copy is enough for the L-BFGS passes; the small score table is the
     # reliable checkpoint of the fold.
     x = x.persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_classifier(x.filter(F.col("fold") != i), n_train, tpos, tneg, spec)
+    model = fit_classifier(x.filter(F.col("fold") != i), tpos + tneg, tpos, tneg, spec)
     scored = probability_of_positive(model.transform(x.filter(F.col("fold") == i)))
     scored = cut_lineage(scored.select("doc", "fold", "target", "cues", "probability"))
     x.unpersist()
     return scored
 
 
+def _score_folds(every: list[int], folds: DataFrame, counts: CountTables, stats: CountTables, spec: DetectorSpec, sizes: dict, without, parallel: int) -> DataFrame:
+    """``(doc, fold, target, cues, probability)``: each fold scored by a model of the others.
+
+    All folds' vocabularies (bounded by the caps) are fitted from the shared
+    statistics; then the documents are coded once over their union, and a
+    fold's features come row by row from the codes, without a join or an
+    exchange. The folds run from a small thread pool.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def side(i: int) -> tuple[int, int]:
+        return tuple(sum(n for (f, t), n in sizes.items() if f != i and t == wanted) for wanted in (1, 0))
+
+    def fitted(i: int) -> FeatureModel:
+        return fit_features(without(stats.word, i), None if stats.char is None else without(stats.char, i), sum(side(i)), spec)
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        models = list(pool.map(fitted, every))
+        if any(v.max_features is None for m in models for v in m.blocks):
+            parts = list(pool.map(lambda x: _score_fold(x[0], folds, counts, x[1], spec, side(x[0])), zip(every, models)))
+        else:
+            vocab = FT.union_vocabulary([m.blocks for m in models])
+            rows = FT.coded_documents([counts.word] if counts.char is None else [counts.word, counts.char], vocab, folds)
+            coded = cut_lineage(rows.repartition(_train_partitions(folds, sum(sizes.values()))))
+
+            def score_fold(at: int) -> DataFrame:
+                i = every[at]
+                tpos, tneg = side(i)
+                # The trainer keeps its own copy of these rows for its passes.
+                train = FT.vectors_of(coded.filter(F.col("fold") != i).select("target", "terms"), vocab, at)
+                model = fit_classifier(train, tpos + tneg, tpos, tneg, spec, dealt=True)
+                scored = model.transform(FT.vectors_of(coded.filter(F.col("fold") == i), vocab, at))
+                return cut_lineage(probability_of_positive(scored).select("doc", "fold", "target", "cues", "probability"))
+
+            parts = list(pool.map(score_fold, range(len(every))))
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.unionByName(p)
+    return scores
+
+
 def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int = 42, parallel_folds: int | None = None) -> DataFrame:
     """M6: ``(doc, fold, target, cues, probability)`` — every row scored exactly once.
 
     k = min(5, smallest class); folds are the stratified hash folds (W3). Terms
     are counted once with their document's fold; one aggregation by term then
-    holds every training fold's statistics, by subtraction. The k fold chains
-    run from a small thread pool.
+    holds every training fold's statistics, by subtraction.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     # Prepared once: the text regexes would else run again for each pass below.
     docs = cut_lineage(prepare_documents(labelled, spec))
     _unique_ids(docs)
@@ -251,12 +297,7 @@ def out_of_fold(labelled: DataFrame, spec: DetectorSpec = IMPROVED, seed: int =
     )
     # k x 2 class counts in one small aggregate (bounded: folds x classes rows)
     sizes = {(r[0], r[1]): r[2] for r in folds.groupBy("fold", "target").count().collect()}
-    with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
-        parts = list(pool.map(lambda i: _score_fold(i, folds, counts, stats, spec, sizes), range(k)))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    return oof
+    return _score_folds(list(range(k)), folds, counts, stats, spec, sizes, FT.without_fold, parallel_folds or k)
 
 
 def grouped_folds(docs: DataFrame, group_col: str, max_folds: int, seed: int = 42) -> DataFrame:
@@ -278,8 +319,6 @@ def leave_one_group_out(
     empty one. Statistics are kept by (term, fold), so the number of folds adds
     no columns. Raises ValueError where a training side lacks a class.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
     docs = cut_lineage(prepare_documents(labelled, spec))
     _unique_ids(docs)
     class_guard(docs, "target", spec.min_rows)
@@ -292,12 +331,7 @@ def leave_one_group_out(
             raise ValueError(f"without fold {i} a class has no rows")
     counts = count_terms(docs.select("doc", "text").join(folds.select("doc", "fold"), "doc"), spec)
     stats = CountTables(*(None if c is None else cut_lineage(FT.grouped_statistics(c)) for c in (counts.word, counts.char)))
-    rows = folds.drop("group")
-    with ThreadPoolExecutor(max_workers=parallel_folds) as pool:
-        parts = list(pool.map(lambda i: _score_fold(i, rows, counts, stats, spec, sizes, FT.without_group), every))
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
+    scores = _score_folds(every, folds.drop("group"), counts, stats, spec, sizes, FT.without_group, parallel_folds)
     return scores.join(folds.select("doc", "group"), "doc")
 
 
