@@ -95,6 +95,21 @@ def test_contamination_matches_brute_force(spark, block_words):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, contamination(docs, items)))
 
 
+def test_contamination_with_copies_and_a_long_item_in_bounded_blocks(spark):
+    rng = np.random.default_rng(5)
+    long = [f"l{i}" for i in range(900)]
+    text = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 50, n))
+    items = [(100 + i, text(30)) for i in range(30)] + [(500, " ".join(long))] + [(600 + i, " ".join(long[:40])) for i in range(40)]
+    docs = [(i, f"{text(100)} {' '.join(long[at : at + 14])} {items[i][1]}") for i, at in enumerate(range(0, 890, 45))]
+    docs += [(90, " ".join(long)), (91, text(60)), (92, " ".join(long[880:])), (93, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.annotate(df, bench, block_words=256, keep_text=False).select("doc_id", "decon.*").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, contamination(docs, items)))
+    words = bench.select(F.col("item_id").cast("string"), "text").mapInArrow(decontaminate._item_words, "item_id string, words binary, n long")
+    dealt = decontaminate._dealt(decontaminate._parts(words, 13, 256), 256).groupBy("bucket", "block").agg(F.sum("n").alias("n")).collect()
+    assert len(dealt) > 4 and max(r["n"] for r in dealt) < 256 + 32
+
+
 def test_contamination_of_the_table(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]

@@ -10,10 +10,13 @@ j of the window, fixes the window's place: the positional bound is p - j >= 0
 and the length bound p - j + |window| <= document words. What passes is
 verified word by word over the item-sized window.
 
-The documents never move. The windows go to the tasks in blocks of at most
-``block_words`` item words (about 15 bytes each), so what a task holds has a
-fixed bound; a larger benchmark makes more blocks, each joined with all
-documents, whose hits are then united.
+The documents never move. A benchmark of at most ``block_words`` words (about
+15 bytes each) goes to the tasks as it is. Of a larger one, equal items are
+taken once and long ones cut into parts that overlap by a window less a word;
+the parts are dealt by a running sum of their words into blocks of less than
+9/8 of ``block_words`` (or one window more), so what the driver and a task hold
+has a fixed bound whatever repeats. Each block is joined with all documents;
+the hits are united, and the items' ids joined with them.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -271,21 +274,58 @@ def annotate(
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     items = stage(items.mapInArrow(_item_words, "item_id string, words binary, n long").filter("n > 0"), "benchmark-items")
     total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    parts = []
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect() if total else []
-        block = make_block([(r["item_id"], bytes(r["words"])) for r in own], window)
-        shingles = block_shingles(block)
-        choose_prefixes(block, shingles, shingle_frequencies(docs, text_col, shingles, _widths(block)))
-        parts.append(block)
-        if blocks > 1:
-            parts[-1] = stage(_block_hits(docs, text_col, block), "window-hits")
     names = [c for c in docs.columns if c.lower() != out_col.lower()]
-    docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    if blocks == 1:
-        return _annotate_rows(docs, text_col, parts[0], keep_text, out_col)
-    return _unite(docs, text_col, parts, keep_text, out_col)
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    if total <= block_words:
+        rows = [(r["item_id"], bytes(r["words"])) for r in items.collect()]
+        return _annotate_rows(own, text_col, _prepared(docs, text_col, rows, window), keep_text, out_col)
+    parts = _dealt(stage(_parts(items, window, block_words), "benchmark-parts"), block_words)
+    parts = stage(parts, "benchmark-blocks")
+    hits = []
+    for bucket, block in sorted(map(tuple, parts.select("bucket", "block").distinct().collect())):
+        rows = parts.filter((F.col("bucket") == bucket) & (F.col("block") == block)).select("item", "words").collect()
+        hits.append(stage(_block_hits(docs, text_col, _prepared(docs, text_col, [(r["item"], bytes(r["words"])) for r in rows], window)), "window-hits"))
+    ids = items.filter("item_id is not null").groupBy(_item_key().alias("item")).agg(F.collect_set("item_id").alias("ids"))
+    return _unite(own, text_col, hits, ids, keep_text, out_col)
+
+
+def _item_key() -> Column:
+    return F.sha2("words", 256)
+
+
+def _prepared(docs: DataFrame, text_col: str, items: list[tuple], window: int) -> Block:
+    block = make_block(items, window)
+    shingles = block_shingles(block)
+    choose_prefixes(block, shingles, shingle_frequencies(docs, text_col, shingles, _widths(block)))
+    return block
+
+
+def _parts(items: DataFrame, window: int, block_words: int) -> DataFrame:
+    """``(item, part, words, n)``: the distinct items in parts of at most ``block_words // 8`` words
+    (or one window) that overlap by ``window - 1``, so each window is in one part."""
+    step = max(1, block_words // 8 - window + 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words.as_py()
+                own = [words[8 * a : 8 * (a + step + window - 1)] for a in range(0, max(len(words) // 8 - window + 1, 1), step)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(own)), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.binary()), pa.array([len(p) // 8 for p in own], pa.int64())],
+                    ["item", "part", "words", "n"],
+                )
+
+    distinct = items.select(_item_key().alias("item"), "words").dropDuplicates(["item"])
+    return distinct.mapInArrow(cut, "item string, part long, words binary, n long")
+
+
+def _dealt(parts: DataFrame, block_words: int) -> DataFrame:
+    """``parts`` with ``bucket`` and ``block``: dealt to buckets by hash; in each, a running
+    sum of words starts the next block, so a block has less than ``block_words`` and a part."""
+    buckets = -(-parts.agg(F.sum("n")).first()[0] // block_words)
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("item", "part"), F.lit(buckets)))
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy("item", "part").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block_words))
 
 
 def _annotate_rows(docs: DataFrame, text_col: str, block: Block, keep_text: bool, out_col: str) -> DataFrame:
@@ -321,14 +361,17 @@ def _block_hits(docs: DataFrame, text_col: str, block: Block) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
-def _unite(docs: DataFrame, text_col: str, parts: list[DataFrame], keep_text: bool, out_col: str) -> DataFrame:
-    """Several blocks: their hits are united by text, then joined with the documents."""
+def _unite(docs: DataFrame, text_col: str, parts: list[DataFrame], ids: DataFrame, keep_text: bool, out_col: str) -> DataFrame:
+    """Several blocks: their hits are united by text, get the ``ids`` of their items, and are joined with the documents."""
     own = [*docs.columns]
     a, b, hash_a, hash_b, runs_col, items_col = (free_name(own, c) for c in ("hits_a", "hits_b", "hash_a", "hash_b", "runs", "items"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("runs")).alias(runs_col), F.array_distinct(F.flatten(F.collect_list("items"))).alias(items_col)).toDF(a, b, runs_col, items_col)
+    runs = hits.groupBy("a", "b").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    named = hits.select("a", "b", F.explode("items").alias("item")).distinct().join(ids, "item")
+    named = named.groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    hits = runs.join(named, ["a", "b"], "left").toDF(a, b, runs_col, items_col)
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.withColumns({hash_a: F.xxhash64(text), hash_b: F.xxhash64(text, F.lit(1))})
     joined = keyed.join(hits, (F.col(hash_a) == F.col(a)) & (F.col(hash_b) == F.col(b)), "left")
