@@ -124,6 +124,16 @@ def test_block_round_trip(n):
         huffman_ids.decode_block(b"nope" + block[4:], huffman_ids.decode_tables(lengths))
 
 
+def test_more_ids_than_16_bits_number():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.permutation(90_000), rng.geometric(0.3, 50_000)]).astype(np.uint32)
+    lengths = huffman_ids.code_lengths(np.bincount(ids))
+    assert 16 < lengths.max() <= huffman_ids.code_limit(90_000) == 19
+    tables = huffman_ids.decode_tables(lengths)
+    block = huffman_ids.encode_block(ids, lengths, huffman_ids.canonical_codes(lengths))
+    assert (huffman_ids.decode_block(block, tables) == ids).all()
+
+
 def _expected(rows):
     from tokenizers import Tokenizer
 
@@ -140,6 +150,7 @@ def test_ids_from_files(spark, odd_docs, monkeypatch):
     """Several shards and blocks, odd texts, a null id first."""
     monkeypatch.setattr(huffman_ids, "BLOCK_IDS", 50)
     monkeypatch.setattr(huffman_ids, "SHARD_IDS", 200)
+    monkeypatch.setattr(huffman_ids, "FILE_GROUP", 2)
     path = huffman_ids.encode_corpus(odd_docs, WORDS)
     assert spark.read.parquet(f"{path}/shards").select("shard").distinct().count() > 1
     expected = {i: v for (i, _), v in _expected([(r["doc_id"], r["text"]) for r in odd_docs.collect()]).items()}
@@ -200,3 +211,19 @@ def test_added_tokens_of_any_kind(options):
         ids, cuts = cache.documents(chunk)
         got = [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    """One that keeps case and white space, and the known one with another step, or cut off."""
+    from tokenizers import Tokenizer, normalizers
+
+    cased, stripped, short = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(WORDS), Tokenizer.from_file(WORDS)
+    stripped.normalizer = normalizers.NFC()
+    short.enable_truncation(3)
+    assert huffman_ids.cuts_hold(Tokenizer.from_file(WORDS))
+    texts = ["A a x1", "a  A", "", "don't  Do x2 y z"]
+    (chunk,) = textnum.chunks(pa.array(texts))
+    for tokenizer in (cased, stripped, short):
+        assert not huffman_ids.cuts_hold(tokenizer)
+        ids, cuts = huffman_ids._Pieces(tokenizer).documents(chunk)
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

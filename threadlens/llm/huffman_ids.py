@@ -1,8 +1,8 @@
 """Token ids of a corpus in entropy-coded files.
 
 Ids are counted over the whole corpus; the counts give canonical Huffman codes
-of at most ``MAX_BITS`` bits (package-merge). Documents are written in
-ascending id order. A file is a sequence of independent blocks; a block holds
+of at most ``MAX_BITS`` bits (package-merge; a few more where there are more
+than 2^16 distinct ids). Documents are written in ascending id order. A file is a sequence of independent blocks; a block holds
 whole documents and says where every ``LANE``-th id starts in its bit stream,
 so any of them can be decoded alone, and a table look-up per id decodes all
 lanes of a block side by side.
@@ -15,6 +15,7 @@ then the bit stream, all but the stream little-endian.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -24,27 +25,36 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadlens.llm import textnum
 from threadlens.llm.staging import bound_batches, stage, stage_path, unstage
 
 MAX_BITS = 16
+#: The longest codes that a 32-bit window at any bit of a byte holds.
+WINDOW_BITS = 25
 LANE = 64
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 22
 MAGIC = b"THF1"
 #: Cached pieces of a Python worker; beyond it the cache starts anew.
 CACHE_PIECES = 1_000_000
+#: Files are placed in groups of this many (a power of two), so the driver sees a row per group.
+FILE_GROUP = 1 << 12
 
 
 # --- codes -----------------------------------------------------------------
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 where the count is 0."""
+def code_limit(used: int) -> int:
+    """The code-length limit for so many distinct ids."""
+    return MAX_BITS if used <= 1 << MAX_BITS else min((used - 1).bit_length() + 2, WINDOW_BITS)
+
+
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal code lengths of at most ``limit`` bits (by default, ``code_limit``) by package-merge; 0 where the count is 0."""
     used = np.flatnonzero(counts)
+    limit = limit or code_limit(len(used))
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         lengths[used] = 1
@@ -82,11 +92,11 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decode_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Id and code length for each value of the next ``MAX_BITS`` bits."""
-    codes = canonical_codes(lengths)
-    ids, bits = np.zeros(1 << MAX_BITS, np.uint32), np.zeros(1 << MAX_BITS, np.uint8)
+    """Id and code length for each value of the next bits, ``MAX_BITS`` of them or the longest code's."""
+    codes, longest = canonical_codes(lengths), max(MAX_BITS, int(lengths.max(initial=0)))
+    ids, bits = np.zeros(1 << longest, np.uint32), np.zeros(1 << longest, np.uint8)
     for i in np.flatnonzero(lengths):
-        spare = MAX_BITS - int(lengths[i])
+        spare = longest - int(lengths[i])
         at = int(codes[i]) << spare
         ids[at : at + (1 << spare)] = i
         bits[at : at + (1 << spare)] = lengths[i]
@@ -120,11 +130,12 @@ def decode_block(payload: bytes, tables: tuple[np.ndarray, np.ndarray]) -> np.nd
     stream = np.frombuffer(payload + b"\0" * 4, np.uint8, offset=16 + 8 * lanes).astype(np.uint32)
     window = stream[:-3] << np.uint32(24) | stream[1:-2] << np.uint32(16) | stream[2:-1] << np.uint32(8) | stream[3:]
     ids, bits = tables
+    longest = len(ids).bit_length() - 1
     out = np.zeros((lane, lanes), np.uint32)
     for step in range(min(lane, n)):
         live = lanes if step < (n - 1) % lane + 1 else lanes - 1
         here = at[:live]
-        peek = (window[here >> 3] >> (16 - (here & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+        peek = (window[here >> 3] >> (32 - longest - (here & 7)).astype(np.uint32)) & np.uint32(len(ids) - 1)
         out[step, :live] = ids[peek]
         at[:live] += bits[peek]
     return out.T.ravel()[:n]
@@ -138,6 +149,27 @@ _OTHER = ~_LETTER & (np.arange(256) < 128)
 _APOSTROPHE = 0x27
 
 
+# The steps before the merges for which ``pieces`` cuts rightly.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_hold(tokenizer) -> bool:
+    """Whether ``pieces``, encoded one by one, give the tokenizer's ids of the whole text."""
+    steps = [None if step is None else json.loads(step.__getstate__()) for step in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    plain = tokenizer.truncation is None and tokenizer.padding is None and not getattr(tokenizer.model, "dropout", None)
+    return plain and steps == [_NORMALIZER, _PRE_TOKENIZER]
+
+
 def added_tokens(tokenizer) -> list[bytes] | None:
     """The tokens that the tokenizer finds in the raw text before all else, longest first.
 
@@ -190,10 +222,13 @@ def pieces(chunk: textnum.Chunk, whole: tuple[np.ndarray, np.ndarray] | None = N
 
 
 class _Pieces:
-    """Ids of the pieces seen, by the 64-bit hash of their lowered bytes, or of an added token's number."""
+    """Ids of the pieces seen, by the 64-bit hash of their lowered bytes, or of an added token's number.
+
+    Texts go to a tokenizer of other steps or tokens whole.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.tokens = tokenizer, added_tokens(tokenizer)
+        self.tokenizer, self.tokens = tokenizer, added_tokens(tokenizer) if cuts_hold(tokenizer) else None
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -358,21 +393,21 @@ def read_ids(spark, path: str) -> DataFrame:
     for r in book:
         lengths[r["id"]] = r["bits"]
     shards = spark.read.parquet(f"{path}/shards")
-    sizes = (  # one row per file
-        shards.groupBy("shard")
-        .agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-        .orderBy("shard")
-        .collect()
-    )
+    n = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")
+    files = shards.groupBy("shard").agg(n).withColumn("group", F.floor(F.col("shard") / FILE_GROUP))
     base, before = [], 0
-    for r in sizes:
-        base.append((r["shard"], before))
+    for r in files.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect():  # one row per FILE_GROUP files
+        base.append((r["group"], before))
         before += r["n"]
+    groups = spark.createDataFrame(base, "group long, of_group long")
+    ahead = F.sum("n").over(Window.partitionBy("group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    bases = files.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(groups, "group")
+    bases = stage(bases.select("shard", (F.col("of_group") + F.col("ahead")).alias("base")), "file-bases")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = decode_tables(lengths)
         for batch in batches:
-            first, doc_ids, sizes, payloads = (batch.column(i) for i in range(4))
+            first, doc_ids, sizes, payloads, base = (batch.column(i) for i in range(5))
             for i in range(len(batch)):
                 ids = decode_block(payloads[i].as_py(), tables).astype("<u4")
                 n = np.array(sizes[i].as_py(), np.int64)
@@ -380,21 +415,16 @@ def read_ids(spark, path: str) -> DataFrame:
                 each = [ids[a:b].tobytes() for a, b in zip(ends - n, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(n), 0) + batch.column(4)[i].as_py()), doc_ids[i].values,
-                        pa.array(first[i].as_py() + ends - n), pa.array(n),
+                        doc_ids[i].values, pa.array(base[i].as_py() + first[i].as_py() + ends - n), pa.array(n),
                         pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(each, pa.binary()),
                     ],
-                    ["shard", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    rows = shards.select("start", "doc_ids", "lengths", "payload", "shard").mapInArrow(
-        decode, f"shard long, doc_id {kind}, at long, n_tokens long, ids_crc32 long, ids binary"
-    )
-    bases = spark.createDataFrame(base, T.StructType([T.StructField("shard", T.LongType()), T.StructField("base", T.LongType())]))
-    return rows.join(bases, "shard").select(
-        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids"
-    )
+    # Joined before they are decoded: what may move is compressed.
+    blocks = shards.join(bases, "shard").select("start", "doc_ids", "lengths", "payload", "base")
+    return blocks.mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def encode_corpus(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> str:
