@@ -249,6 +249,28 @@ def test_hot_anchors_arrive_as_few_rows(monkeypatch):
     assert {h % (1 << 64) for h in hot} == {key for key, t in seen.items() if len(t) > 300 and len(set(t)) > 1} != set()
 
 
+def test_copies_that_pass_the_bit_tables_change_no_row(spark, monkeypatch):
+    """Tables of 128 bits let many later copies through; each row is still cut once, as its own document."""
+    monkeypatch.setattr(staging, "THIN_BITS", 128)
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, texts = word(80), []
+    for _ in range(40):
+        texts.append(word(60) + passage + word(r.randint(0, 60)))
+    rows = [(i, texts[i % 40]) for i in range(120)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = []
+    for i, t in rows:
+        b = t.encode()
+        if i >= 40:
+            want.append((i, len(b), len(b), 1))
+        else:
+            earlier = {texts[k][p : p + 50] for k in range(i) for p in range(len(texts[k]) - 49)}
+            lost = {q for p in range(len(t) - 49) if t[p : p + 50] in earlier for q in range(p, p + 50)}
+            want.append((i, len(b), len(lost), len([q for q in lost if q - 1 not in lost])))
+    assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got) == want
+
+
 def test_readme_states_the_bands():
     from pathlib import Path
 

@@ -172,7 +172,7 @@ def _unfive(data: bytes) -> np.ndarray:
 
 
 def _repeated_keys(bits: int, table_bits: int, hot_count: int):
-    """Per bucket: its part of the bit table of repeated keys, and the places of its hot keys in theirs."""
+    """Per bucket: its part of the bit table of repeated keys, and its hot keys (bucket and 40 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, parts, waiting = 0, [_none()], [], 0
@@ -196,8 +196,9 @@ def _repeated_keys(bits: int, table_bits: int, hot_count: int):
         part = np.zeros(1 << (table_bits - bits), bool)
         part[keys[several] >> np.uint64(40 - (table_bits - bits))] = True
         whole = (np.uint64(bucket) << np.uint64(40)) | keys[several & (n > hot_count)]
-        places = np.unique(whole >> np.uint64(bits + 40 - HOT_BITS)).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([bucket]), *(pa.array([x.tobytes()], pa.binary()) for x in (np.packbits(part), places))], ["bucket", "part", "hot"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([bucket]), pa.array([np.packbits(part).tobytes()], pa.binary()), pa.array([whole.view(np.int64)], pa.list_(pa.int64()))], ["bucket", "part", "hot"]
+        )
 
     return run
 
@@ -423,11 +424,11 @@ def _send_hot_windows(held):
 # --- operator -----------------------------------------------------------------------------
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t1, t2, n_removed, n_spans, kept): texts without the union of their runs."""
+    """(doc_id, t1, t2, n_removed, n_spans, kept): texts without the union of their runs."""
     for batch in batches:
         removed, spans, kept = [], [], []
-        texts = [chunk.text(i) for chunk in textnum.chunks(batch.column(3)) for i in range(chunk.last - chunk.first)]
-        for text, runs in zip(texts, batch.column(2)):
+        texts = [chunk.text(i) for chunk in textnum.chunks(batch.column(4)) for i in range(chunk.last - chunk.first)]
+        for text, runs in zip(texts, batch.column(3)):
             pair = runs.values
             starts, stops = pair.field(0).to_numpy(), pair.field(1).to_numpy()
             order = np.argsort(starts, kind="stable")
@@ -440,8 +441,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int((b - a).sum()))
             spans.append(len(a))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-            ["t1", "t2", "n_removed", "n_spans", "kept"],
+            [*batch.columns[:3], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+            ["doc_id", "t1", "t2", "n_removed", "n_spans", "kept"],
         )
 
 
@@ -454,10 +455,11 @@ def repeated_runs(texts: DataFrame, total_bytes: int, hot_count: int = HOT_COUNT
     found = (
         texts.mapInArrow(_send_keys(bits), "bucket long, keys binary, tags binary, places binary, more binary")
         .groupBy("bucket")
-        .applyInArrow(_repeated_keys(bits, table_bits, hot_count), "bucket long, part binary, hot binary")
+        .applyInArrow(_repeated_keys(bits, table_bits, hot_count), "bucket long, part binary, hot array<long>")
+        .withColumn("hot", F.array_distinct(F.transform("hot", lambda key: F.shiftrightunsigned(key, bits + 40 - HOT_BITS))))
         .collect()  # at most 2 ** MAX_BITS bits and 2 ** HOT_BITS places
     )
-    hot = np.frombuffer(b"".join(bytes(r["hot"]) for r in found), "<u4")
+    hot = np.array([place for r in found for place in r["hot"]], np.int64)
     held = spark.sparkContext.broadcast(_Filter(bits, table_bits, {r["bucket"]: bytes(r["part"]) for r in found}, hot))
     snippet_bits = min(24, max(0, (expected // 4 // SNIPPETS_PER_BUCKET).bit_length()))
     fields = "bucket long, ids binary, texts binary, places binary, counts binary, anchors binary, data binary"
@@ -499,10 +501,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = texts.withColumn("half", F.col("t1").bitwiseAND(F.lit(0xFFFFFFFF))).select("*", place)
     parts = thinned(parts, runs.select(place), "place").drop("place")  # the other texts needn't move
     parts = parts.join(runs, ["doc_id", "half"]).dropDuplicates([*full, "half"])  # dealt as the join left them
-    cut = parts.select("t1", "t2", "runs", "text").mapInArrow(_remove, "t1 long, t2 long, n_removed long, n_spans long, kept binary")
+    cut = parts.select(*full, "runs", "text").mapInArrow(_remove, "doc_id long, t1 long, t2 long, n_removed long, n_spans long, kept binary")
     cut = stage(cut.withColumn("kept_sha", F.unhex(F.sha2("kept", 256))), "cut-texts")  # who wants no texts needn't move them
     whole = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
-    joined = narrow.join(copies, ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left")
+    joined = narrow.join(copies, ["t1", "t2"], "left").join(cut, full, "left")  # a copy that got through was cut too
     touched = F.col("doc_id").isNotNull()
     empty = hashlib.sha256(b"").hexdigest()
     return joined.select(
