@@ -155,3 +155,20 @@ def test_certificate_tells_a_fit_from_an_unfinished_one(spark):
     cut = M.fit_certificate(M.fit_detector(lab, dataclasses.replace(M.BASELINE, max_iter=2)), lab).first()
     assert done["rows"] == 60 and done["zero_slope"] == cut["zero_slope"] > 0
     assert done["converged"] and not cut["converged"]
+
+
+def test_texts_are_made_once_however_often_they_are_used(spark):
+    """The cue regexes, the filter and the output read one value, not the text's own expression again."""
+    from threadlens.operators import model as M
+    from threadlens.plans import queries as Q
+
+    rows = [("a", " T ", "do it\r\nmanually ", "workaround", "yes"), ("b", None, " ", "bug", "no"), ("c", "x", None, "bug", "no")]
+    lab = spark.createDataFrame(rows, "annotation_id string, title string, thread_text string, primary_label string, has_workaround string")
+    for spec, most in ((M.IMPROVED, 24), (M.BASELINE, 4)):
+        plan = M.prepare_documents(lab, spec)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") <= most, plan
+    got = {r["doc"]: (r["text"], r["target"], r["cues"]) for r in M.prepare_documents(lab, M.IMPROVED).collect()}
+    assert got["a"][1:] == (1, "manual_intervention") and got["a"][0].startswith("TITLE: T\n\ndo it\nmanually") and set(got) == {"a", "c"}
+    assert {r["doc"]: r["text"] for r in M.prepare_documents(lab, M.BASELINE).collect()} == {"a": "do it\r\nmanually"}
+    plan = Q.QUERIES["model_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 24, plan.count("regexp_replace(")
