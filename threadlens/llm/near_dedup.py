@@ -250,6 +250,17 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labelled, stage(mixed.select("key", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("rest")), "mixed-buckets")
 
 
+def _with_classes(labelled: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, class, root) of the mixed buckets with the columns of ``mixed`` and ``classes``.
+
+    A class is in a bucket for each of its bands at most, so its buckets are one
+    short list; the sketches join once per class, not once per bucket.
+    """
+    own = labelled.join(mixed, "key")
+    own = own.groupBy("class", "root").agg(F.collect_list(F.struct("key", *[c for c in mixed.columns if c != "key"])).alias("own"))
+    return own.join(classes, "class").select("class", "root", *[c for c in classes.columns if c != "class"], F.inline("own"))
+
+
 def _near_roots(links: DataFrame) -> DataFrame:
     """(node, root): a node's least neighbour's least neighbour. Nodes with one
     root are of one component; the opposite needn't hold."""
@@ -270,7 +281,7 @@ def _grouped(rows: DataFrame, function) -> DataFrame:
 def _neighbour_pairs(link: Link, buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): within random blocks of the mixed buckets, each class and its best partner."""
     labelled, mixed = _mixed(buckets, roots)
-    rows = labelled.join(mixed.select("key", "m"), "key").join(classes.select("class", "n", "sketch"), "class")
+    rows = _with_classes(labelled, mixed.select("key", "m"), classes.select("class", "n", "sketch"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     own = F.when(F.col("m") <= BLOCK, -1).otherwise(F.pmod(F.xxhash64("class", "key"), blocks).cast("int"))
     rows = rows.select("key", "class", "root", "n", "sketch", own.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
@@ -285,7 +296,7 @@ def _rest_pairs(link: Link, buckets: DataFrame, classes: DataFrame, roots: DataF
     component's classes don't meet each other.
     """
     labelled, mixed = _mixed(buckets, roots)
-    rows = labelled.join(mixed, "key").join(classes.select("class", "n", "sketch", "bands"), "class")
+    rows = _with_classes(labelled, mixed, classes.select("class", "n", "sketch", "bands"))
     base = ["key", "class", "root", "n", "sketch", "bands"]
     small = rows.filter(F.col("m") <= BLOCK).select(*base, F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
     large = rows.filter(F.col("m") > BLOCK).withColumn("is_main", F.col("root") == F.col("main"))
