@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,36 @@ def test_near_dups_in_blocks(spark, monkeypatch):
     _check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_near_copies_meet_their_buckets_once(spark, monkeypatch):
+    """The rows of the buckets left to compare are joined with their buckets at most once for each search."""
+    plans, stage = {}, near_dedup.stage
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().analyzed().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(near_dedup, "stage", noted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = near_rows(5)
+    _check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, 80)
+    searches = plans["pairs"][1:]
+    assert len(searches) >= 2
+    for plan in searches:
+        assert len(re.findall(r"Join Inner, \(key#", plan)) <= 1
+        assert len(re.findall(r"Join Inner, \(class#", plan)) == 1
+
+
+def test_near_dedup_leaves_no_unread_sketches(spark, monkeypatch):
+    """What no later step reads is gone from the shared folder before the result is asked for."""
+    stage = staging.stage
+    made = []
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name: made.append((name, out := stage(df, name))) or out)
+    near_dedup.near_dedup(spark.createDataFrame(near_rows(6), "doc_id long, text string"))
+    there = {name for name, df in made if all(Path(f.removeprefix("file:")).exists() for f in df.inputFiles())}
+    assert {"sketches", "classes", "pairs", "wanted-texts", "labelled-buckets"}.isdisjoint(there)
+    assert {"named-rows", "class-components"} <= there
+
+
 def test_near_dups_between_empty_texts(spark):
     """A text without shingles takes no band keys from its neighbours, nor gives them any."""
     rows = [r for i, (d, t) in enumerate(near_rows(8)) for r in ((d, t), (1000 + i, "" if i % 3 else None))]

@@ -56,7 +56,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = stage(edges, "links")
     state = _state(edges)
     while state[0]:
-        next_edges = stage(_small_star(stage(_large_star(edges), "large-star")), "small-star")
+        large = stage(_large_star(edges), "large-star")
+        next_edges = stage(_small_star(large), "small-star")
+        unstage(large)
         unstage(edges)
         edges, before = next_edges, state
         state = _state(edges)

@@ -241,23 +241,30 @@ def _all_partners(link: Link, table: pa.Table) -> pa.Table:
 
 
 def _mixed(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, class, root) of all buckets, and (key, m, main, rest) of those with
-    several components: size, largest component and number of other classes."""
-    labelled = buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    """(key, class, m, root) of the buckets (key, class, m) with several
+    components, and (key, m, main, rest) of these: size, largest component and
+    number of other classes.
+
+    A bit table tells these buckets, so their rows don't meet in a join. It may
+    let others pass: they have one component, so nothing in them is compared.
+    """
+    labelled = buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "m", F.coalesce("root", "class").alias("root"))
     labelled = stage(labelled, "labelled-buckets")
     sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("top")).filter("m > top.n")
-    return labelled, stage(mixed.select("key", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("rest")), "mixed-buckets")
+    mixed = stage(mixed.select("key", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.n")).alias("rest")), "mixed-buckets")
+    rows = stage(thinned(labelled, mixed, "key"), "mixed-rows")
+    unstage(labelled)
+    return rows, mixed
 
 
-def _with_classes(labelled: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, class, root) of the mixed buckets with the columns of ``mixed`` and ``classes``.
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (key, class, root, ...) with the columns of ``classes``.
 
     A class is in a bucket for each of its bands at most, so its buckets are one
     short list; the sketches join once per class, not once per bucket.
     """
-    own = labelled.join(mixed, "key")
-    own = own.groupBy("class", "root").agg(F.collect_list(F.struct("key", *[c for c in mixed.columns if c != "key"])).alias("own"))
+    own = rows.groupBy("class", "root").agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in ("class", "root")])).alias("own"))
     return own.join(classes, "class").select("class", "root", *[c for c in classes.columns if c != "class"], F.inline("own"))
 
 
@@ -270,55 +277,55 @@ def _near_roots(links: DataFrame) -> DataFrame:
     return least.join(onward, "near").select("node", "root")
 
 
-def _grouped(rows: DataFrame, function) -> DataFrame:
-    """Blocks of one bucket are groups of their own; small buckets share groups of about GROUP_ROWS rows."""
-    total = rows.filter("i < 0").count()
-    groups = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // GROUP_ROWS))))
+def _grouped(rows: DataFrame, small: int, function) -> DataFrame:
+    """Blocks of one bucket are groups of their own; the ``small`` rows of small buckets share groups of about GROUP_ROWS rows."""
+    groups = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-small // GROUP_ROWS))))
     rows = rows.withColumn("x", F.when(F.col("i") < 0, groups).otherwise(F.col("key")))
     return rows.groupBy("x", "i", "j").applyInArrow(function, "a binary, b binary").distinct()
 
 
-def _neighbour_pairs(link: Link, buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): within random blocks of the mixed buckets, each class and its best partner."""
-    labelled, mixed = _mixed(buckets, roots)
-    rows = _with_classes(labelled, mixed.select("key", "m"), classes.select("class", "n", "sketch"))
+def _neighbour_pairs(link: Link, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): within random blocks of the mixed buckets (key, class, m, root), each class and its best partner."""
+    small = rows.filter(F.col("m") <= BLOCK).count()
+    rows = _with_classes(rows, classes.select("class", "n", "sketch"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     own = F.when(F.col("m") <= BLOCK, -1).otherwise(F.pmod(F.xxhash64("class", "key"), blocks).cast("int"))
     rows = rows.select("key", "class", "root", "n", "sketch", own.alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
-    return _grouped(rows, lambda table: _nearest(link, table))
+    return _grouped(rows, small, lambda table: _nearest(link, table))
 
 
-def _rest_pairs(link: Link, buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all possible links between components that share a bucket, compared in blocks.
+def _rest_pairs(link: Link, rows: DataFrame, mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): all possible links between components that share a mixed bucket, compared in blocks.
 
     Of a large bucket, the classes outside its main component meet each other
     in pairs of blocks, and meet every block of the main component; the main
     component's classes don't meet each other.
     """
-    labelled, mixed = _mixed(buckets, roots)
-    rows = _with_classes(labelled, mixed, classes.select("class", "n", "sketch", "bands"))
-    base = ["key", "class", "root", "n", "sketch", "bands"]
-    small = rows.filter(F.col("m") <= BLOCK).select(*base, F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
-    large = rows.filter(F.col("m") > BLOCK).withColumn("is_main", F.col("root") == F.col("main"))
+    small = rows.filter(F.col("m") <= BLOCK)
+    large = rows.filter(F.col("m") > BLOCK).join(mixed.filter(F.col("m") > BLOCK).select("key", "main", "rest"), "key")
+    spread = _with_classes(small.unionByName(large, allowMissingColumns=True), classes.select("class", "n", "sketch", "bands"))
     half = F.lit(BLOCK // 2)
     parts = F.greatest(F.ceil(F.col("rest") / half), F.lit(1)).cast("int")
-    outside = (
-        large.filter("not is_main")
-        .withColumn("own", F.pmod(F.xxhash64("class"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    )
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    outside = outside.select(*base, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
     blocks = F.greatest(F.ceil((F.col("m") - F.col("rest")) / half), F.lit(1)).cast("int")
-    meets = large.filter("not is_main").select(
-        *base, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"), F.lit(1).alias("side")
-    )
-    mains = large.filter("is_main").select(
-        *base, F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(2).alias("side")
-    )
+    part, block = (F.pmod(F.xxhash64("class"), n).cast("int") for n in (parts, blocks))
+
+    def place(i, j, side):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"))
+
+    def beside(other):
+        side = F.when(part == other, 0).when(part < other, 1).otherwise(2)
+        return place(F.least(part, other), F.greatest(part, other), side)
+
     # Groups of the main component are told from pairs of blocks by i beyond any part.
-    across = meets.unionByName(mains).select(*base, (F.col("block") + F.lit(1 << 30)).alias("i"), F.col("part").alias("j"), "side")
-    return _grouped(small.unionByName(outside).unionByName(across), lambda table: _all_partners(link, table))
+    beyond = F.lit(1 << 30)
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(0), parts - 1), beside),
+        F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: place(other + beyond, part, 1)),
+    )
+    within = F.transform(F.sequence(F.lit(0), parts - 1), lambda other: place(block + beyond, other, 2))
+    places = F.when(F.col("m") <= BLOCK, F.array(place(F.lit(-1), F.lit(-1), 0))).when(F.col("root") == F.col("main"), within).otherwise(outside)
+    spread = spread.select("key", "class", "root", "n", "sketch", "bands", F.inline(places))
+    return _grouped(spread, small.count(), lambda table: _all_partners(link, table))
 
 
 def _verified(link: Link, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +355,8 @@ def _verify(link: Link, pairs: DataFrame, classes: DataFrame, texts: DataFrame)
     # Rows of one a lie together, so its set is made once.
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
     links = stage(joined.mapInArrow(partial(_verified, link), "a binary, b binary"), "verified")
-    unstage(found)
+    for used in (pairs, names, found):
+        unstage(used)
     return links
 
 
@@ -379,30 +387,40 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
     )
     classes = stage(classes.select("class", "rep", "n", "t.t1", "t.t2", "sketch", "keys"), "classes")
+    names = stage(rows.select("doc_id", "t1", "t2", "n", "class"), "named-rows")
+    unstage(rows)
     buckets = classes.select("class", "n", F.explode("keys").alias("key"))
+    # Most keys have one class; they are counted by their numbers alone, and their rows don't move.
+    repeated = stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "repeated-keys")
+    buckets = stage(thinned(buckets, repeated, "key"), "repeated-buckets")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("class", "n")).alias("least")).filter("m > 1")
     shared = stage(shared.select("key", "m", F.col("least.class").alias("a"), F.col("least.n").alias("na")), "shared-keys")
     buckets = stage(buckets.join(shared, "key").filter("class <> a"), "buckets")
     content = texts.select("t1", "t2", "text")
     links = _verify(link, _star_pairs(link, buckets, classes), classes, content)
     # The least class of a bucket has met all others; two more make a pair that hasn't met.
-    buckets = buckets.filter("m > 2").select("key", "class")
+    buckets = buckets.filter("m > 2").select("key", "class", (F.col("m") - 1).alias("m"))
     # The low half of each band's key tells which band two classes share first.
     low = partial(_low_halves, link)
-    classes = stage(
+    packed = stage(
         classes.select("class", "rep", "n", "t1", "t2", "sketch", "keys").mapInArrow(
             low, f"class binary, rep {id_type}, n long, t1 long, t2 long, sketch binary, bands binary"
         ),
         "classes-packed",
     )
+    unstage(classes)
+    classes = packed
     many, roots = classes.count() // WORTHWHILE, _near_roots(links)
     for _ in range(NEIGHBOUR_ROUNDS):
-        more = _verify(link, _neighbour_pairs(link, buckets, classes, roots), classes, content)
+        # Components only grow together, so a bucket of one component stays so: later rounds needn't read it.
+        mixed_rows, _ = _mixed(buckets, roots)
+        buckets = mixed_rows.drop("root")
+        more = _verify(link, _neighbour_pairs(link, mixed_rows, classes), classes, content)
         links = stage(links.unionByName(more), "links-so-far")
         roots = connected_components(links)
         if more.count() <= many:
             break
-    rest = _verify(link, _rest_pairs(link, buckets, classes, roots), classes, content)
+    rest = _verify(link, _rest_pairs(link, *_mixed(buckets, roots), classes), classes, content)
     links = stage(links.unionByName(rest).distinct(), "all-links")
     if not rest.isEmpty():
         roots = connected_components(links)
@@ -417,8 +435,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_class = stage(labelled.join(least, "root").select("class", "component_id", "links", "root"), "class-components")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
-        rows.select("doc_id", "t1", "t2", "n", "class")
-        .join(by_class, "class", "left")
+        names.join(by_class, "class", "left")
         .select(
             "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
             F.col("doc_id").eqNullSafe(component).alias("kept"),
