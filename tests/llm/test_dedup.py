@@ -163,6 +163,52 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
 
 
+def _count_tables(monkeypatch):
+    """Names of the tables that components stage from now on."""
+    names, staged = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: names.append(name) or staged(df, name))
+    return names
+
+
+def _least_ends(links):
+    """{node: least node that its links lead to}, by brute force."""
+    root = {x: x for link in links for x in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_match_brute_force(spark, seed):
+    """Random links and a tangle of long paths, ends in any order; then links added to what is joined."""
+    rng = random.Random(seed)
+    links = [(rng.randrange(150), rng.randrange(150)) for _ in range(60)]
+    order = rng.sample(range(200, 290), 90)
+    links += [*zip(order, order[1:60]), *zip(order[60:], order[61:])]
+    links = [(a, b) for a, b in links if a != b]
+    more = [(rng.randrange(290), rng.randrange(290)) for _ in range(10)] + [(300, 301)]
+    more = [(a, b) for a, b in more if a != b]
+    rows = lambda some: spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in some], "a binary, b binary")
+    named = lambda df: {int(bytes(r["node"])): int(bytes(r["root"])) for r in df.collect()}
+    roots = components.connected_components(rows(links))
+    assert named(roots) == _least_ends(links) and roots.count() == len(_least_ends(links))
+    assert named(components.joined_components(roots, rows(more))) == _least_ends(links + more)
+
+
+def test_components_stop_when_all_are_stars(spark, monkeypatch):
+    """One table tells that nothing is left to do; without more links nothing is done at all."""
+    names = _count_tables(monkeypatch)
+    stars = spark.createDataFrame([("a", f"n{i}") for i in range(50)] + [(f"p{i}", "o") for i in range(9)], "a string, b string")
+    roots = components.connected_components(stars)
+    assert {r["root"] for r in roots.collect()} == {"a", "o"} and names == ["links", "nodes"]
+    assert components.joined_components(roots, stars.limit(0)) is roots and len(names) == 2
+
+
 # --- passages ---------------------------------------------------------------------------
 
 def _passages(rows):

@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.conftest import EDGE_ROWS
 from tests.llm.test_dedup import _components, _sets, near_rows
-from threadlens.llm import signature_join as join
+from threadlens.llm import components, signature_join as join
 
 
 def _check(spark, df, rows, percent=80):
@@ -66,6 +66,17 @@ def test_passage_in_a_third_of_all_rows(spark, monkeypatch, block):
     _check(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_components_are_searched_once_unless_links_come(spark, monkeypatch):
+    """Near copies that all meet in the first buckets: later rounds find no link and don't search components again."""
+    searched, search = [], components.connected_components
+    for module in (components, join):
+        monkeypatch.setattr(module, "connected_components", lambda *a: searched.append(a) or search(*a))
+    base = [[f"t{t}w{i}" for i in range(100)] for t in range(12)]
+    rows = [(3 * t + k, " ".join(words[: 100 - k])) for t, words in enumerate(base) for k in range(3)]
+    _check(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert len(searched) == 1
+
+
 def test_edges(spark, edge_docs, no_docs):
     _check(spark, edge_docs.selectExpr("*", "1 key", "2 class", "'x' t1"), [(i, t) for i, t, *_ in EDGE_ROWS])
     assert join.signature_join(no_docs).collect() == []

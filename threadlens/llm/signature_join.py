@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlens.llm import textnum
-from threadlens.llm.components import connected_components
+from threadlens.llm.components import connected_components, joined_components
 from threadlens.llm.near_dedup import shingle_sets
 from threadlens.llm.staging import bound_batches, stage, thinned, unstage
 
@@ -422,8 +422,9 @@ def _verify_rows(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 def _fetch(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(class, text) of the ``wanted`` classes."""
     names = stage(classes.select("class", "t1", "t2").join(wanted.distinct(), "class"), "wanted-classes")
-    near = thinned(texts.select("t1", "t2", "text"), names, "t1")
-    return stage(near.join(names, ["t1", "t2"]).groupBy("class").agg(F.first("text").alias("text")), "wanted-texts")
+    # Copies of a text are one before the join, and meet by the columns that it deals by.
+    near = thinned(texts.select("t1", "t2", "text"), names, "t1").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    return stage(near.join(names, ["t1", "t2"]).select("class", "text"), "wanted-texts")
 
 
 def _verify(percent: int, pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -518,18 +519,16 @@ def signature_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unmet = _group(asked, F.size("own") * 8, lambda t: _unmet(percent, t), "key long, m long, c long").distinct()
     second = stage(_labelled(rows_of(unmet, False), roots), "second-rows")
     more, open_second = _linked_buckets(percent, second, classes, texts)
-    links = stage(links.unionByName(more), "links-so-far")
+    roots = joined_components(roots, more)
     left = stage(first.join(open_first, "key").unionByName(second.drop("root").join(open_second, "key")), "buckets-left")
     for turn in range(1, ROUNDS + 1):
-        roots = connected_components(links)
         mixed = _mixed(left, roots)
         large = mixed.filter(F.col("m") > BLOCK)
         if turn == ROUNDS or large.isEmpty():
             break
-        links = stage(links.unionByName(_verify(percent, _propose(percent, large, turn), classes, texts)), "links-so-far")
-    rest = None if mixed.isEmpty() else _rest(percent, mixed, classes, texts)
-    if rest is not None and not rest.isEmpty():
-        roots = connected_components(links.unionByName(rest))
+        roots = joined_components(roots, _verify(percent, _propose(percent, large, turn), classes, texts))
+    if not mixed.isEmpty():
+        roots = joined_components(roots, _rest(percent, mixed, classes, texts))
     named = classes.select("class", "rep").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = stage(named.groupBy("root").agg(F.min("rep").alias("component_id")), "component-ids")
     by_class = stage(named.join(least, "root").select("class", "component_id"), "class-components")
