@@ -520,7 +520,9 @@ def signature_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second = stage(_labelled(rows_of(unmet, False), roots), "second-rows")
     more, open_second = _linked_buckets(percent, second, classes, texts)
     roots = joined_components(roots, more)
-    left = stage(first.join(open_first, "key").unionByName(second.drop("root").join(open_second, "key")), "buckets-left")
+    # Signatures join the open buckets' rows alone.
+    left = rows_of(buckets.filter("chosen").join(open_first, "key"), True)
+    left = stage(left.unionByName(second.drop("root").join(open_second, "key")), "buckets-left")
     for turn in range(1, ROUNDS + 1):
         mixed = _mixed(left, roots)
         large = mixed.filter(F.col("m") > BLOCK)
@@ -546,7 +548,7 @@ def _linked_buckets(percent: int, rows: DataFrame, classes: DataFrame, texts: Da
     proposals = _propose(percent, rows, 0)
     links = _verify(percent, proposals, classes, texts)
     failed = proposals.join(links, ["a", "b"], "left_anti").select("key")
-    return links, failed.unionByName(rows.filter(F.col("m") > BLOCK).select("key")).distinct()
+    return links, stage(failed.unionByName(rows.filter(F.col("m") > BLOCK).select("key")).distinct(), "open-keys")
 
 
 def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
