@@ -1,6 +1,7 @@
 import dataclasses
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadlens.operators import features as FT
@@ -172,3 +173,21 @@ def test_texts_are_made_once_however_often_they_are_used(spark):
     assert {r["doc"]: r["text"] for r in M.prepare_documents(lab, M.BASELINE).collect()} == {"a": "do it\r\nmanually"}
     plan = Q.QUERIES["model_comparison"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 24, plan.count("regexp_replace(")
+
+
+def test_slopes_join_texts_with_their_counts_before_features_are_made(spark):
+    texts = [(1, "copy paste by hand"), (2, "copy it again"), (2, "and paste"), (3, None), (4, "nobody asks for this"), (None, "lost")]
+    texts = spark.createDataFrame(texts, "doc long, text string")
+    docs = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (None, 1), (9, 0)], "doc long, target int")
+    spec = dataclasses.replace(M.IMPROVED, word_max_features=6, char_max_features=9)
+    fm = M.fit_text_features(texts, "doc", 4, spec)
+    counted = M.counted_entries(fm, texts, docs)
+    above, between, _ = counted._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 2)
+    assert "Exchange" not in above + between  # the vectors, the codes: neither moves
+    got = {r["doc"]: (r["times"], r["ones"], r["zeros"], len(r["entries"]) > 0) for r in counted.collect()}
+    assert got == {1: (1, 1, 0, True), 2: (2, 0, 2, True), 3: (1, 1, 0, False), 9: (1, 0, 1, False)}
+    weights = spark.createDataFrame([(i, (i % 3 - 1) / 2.0) for i in range(fm.size)], "idx int, weight double")
+    one = M.objective_slopes(counted, docs, weights, 0.25, spec.C)
+    other = M.objective_slopes(FT.entries_of(*M.coded_for(fm, texts)), docs, weights, 0.25, spec.C)
+    one, other = ({r["idx"]: r["slope"] for r in x.collect()} for x in (one, other))
+    assert len(one) == fm.size + 1 and one == pytest.approx(other, abs=1e-12)
