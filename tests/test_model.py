@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadlens.operators import features as FT
 from threadlens.operators import model as M
+from threadlens.session import cut_lineage, staged
 
 POS_WORDS = ["manually", "copy", "paste", "spreadsheet", "export", "script", "again", "instead"]
 NEG_WORDS = ["crash", "error", "stack", "trace", "segfault", "null", "pointer", "exception"]
@@ -191,3 +192,25 @@ def test_slopes_join_texts_with_their_counts_before_features_are_made(spark):
     other = M.objective_slopes(FT.entries_of(*M.coded_for(fm, texts)), docs, weights, 0.25, spec.C)
     one, other = ({r["idx"]: r["slope"] for r in x.collect()} for x in (one, other))
     assert len(one) == fm.size + 1 and one == pytest.approx(other, abs=1e-12)
+
+
+@pytest.mark.parametrize("fit", [M.fit_detector, M.out_of_fold])
+def test_training_keeps_texts_and_codes_compressed_and_deletes_them(spark, monkeypatch, fit):
+    kept, tables = [], []
+
+    def recorded(df):
+        kept.append(set(df.columns))
+        return cut_lineage(df)
+
+    def table(df):
+        tables.append(staged(df))
+        return tables[-1]
+
+    monkeypatch.setattr(M, "cut_lineage", recorded)
+    monkeypatch.setattr(M, "staged", table)
+    fit(corpus(spark), dataclasses.replace(M.IMPROVED, word_max_features=20, char_max_features=30))
+    assert not any(columns & {"text", "terms"} for columns in kept)
+    assert len(tables) >= 2
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0])
+        assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
