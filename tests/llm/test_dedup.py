@@ -356,3 +356,21 @@ def test_readme_states_the_bands():
     miss = [f"{(1 - (x.percent / 100) ** x.rows) ** x.bands:.0e}".replace("e-0", "e-") for x in (at85, at80)]
     assert f"{at85.bands} bands of {at85.rows} ({at80.bands} of {at80.rows} for the pipeline's 0.8)" in readme
     assert f"with a probability of {miss[0]} ({miss[1]} at 0.8)" in readme
+
+
+def test_windows_of_a_common_passage_are_compared_once_for_each_content(spark, monkeypatch):
+    rng, staged = random.Random(5), {}
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join([*(word() for _ in range(9)), passage, *(word() for _ in range(9))])) for i in range(60)]
+    stage = suffix_dedup.stage
+
+    def recorded(df, name):
+        out = stage(df, name)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stage", recorded)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot_count=20).drop("kept_text").collect()
+    assert staged["hot-windows"] < 60 * len(passage) / 4
+    assert sorted(map(tuple, got)) == sorted(_passages(rows))

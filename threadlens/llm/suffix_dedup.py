@@ -21,9 +21,10 @@ place, and most have no partner, so Spark deals them out by content first:
    document that has it.
 3. Hot anchors, those with more occurrences than ``hot_count``, would make one
    bucket too large. A second bit table, of 2 ** HOT_BITS bits, marks them;
-   a key that only shares a hot key's bit goes the same way. Their windows go
-   one by one, as 128-bit hashes, through an aggregation with map-side combine
-   and a join that Spark can split.
+   a key that only shares a hot key's bit goes the same way. Their runs of
+   windows go as 128-bit hashes of their contents; the windows of each distinct
+   content go one by one, as such hashes, through an aggregation with map-side
+   combine, and come back to the occurrences in a join that Spark can split.
 
 Copies of a whole text are settled by its hash before all this. Two bit tables
 of a fixed size keep most of the later copies out of the steps above, at any
@@ -395,32 +396,83 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids[owner]), pa.array(texts[owner]), pa.array(from_), pa.array(from_ + (b - a) + WINDOW)], ["doc_id", "text", "start", "stop"])
 
 
-def _send_hot_windows(held):
-    """(w1, w2, doc_id, text, start) of every window with a hot anchor."""
+def _send_hot_runs(held):
+    """(c1, c2, doc_id, text, start, windows) of every run of windows with a hot anchor; the hashes of its windows
+    come once in a batch for each content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = held.value
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            known = set()
             for chunk in textnum.chunks(batch.column(3), CHUNK):
-                first, count, _, keys, doc = anchors(chunk)
+                first, count, own, keys, doc = anchors(chunk)
                 mine = np.flatnonzero(keep.is_hot(keys) & keep.repeated(keys))
-                n = count[mine]
-                ends = np.cumsum(n)
-                at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[mine] - (ends - n), n)
-                doc = np.repeat(doc[mine], n)
+                first, n, own, doc = first[mine], count[mine], own[mine], doc[mine]
                 spans = textnum.Spans(chunk.data, textnum.CASED)
-                half = spans.hashes(at, at + WINDOW // 2), spans.hashes(at + WINDOW // 2, at + WINDOW)
-                w1 = textnum.mix(half[0] * np.uint64(0xD6E8FEB86659FD93) + half[1])
-                w2 = textnum.mix(half[1] * np.uint64(0xA0761D6478BD642F) ^ half[0])
+                c1, c2 = _wide_hashes(spans, first, (n + WINDOW - 1) // 2, n + WINDOW - 1)
+                new = np.array([not (pair in known or known.add(pair)) for pair in zip(c1.tolist(), c2.tolist())], bool)
+                sent = np.where(new, n, 0)
+                ends = np.cumsum(sent)
+                at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sent), sent)
+                w1, w2 = _wide_hashes(spans, at, np.full(len(at), WINDOW // 2), np.full(len(at), WINDOW))
+                windows = pa.StructArray.from_arrays([pa.array(w1), pa.array(w2)], ["w1", "w2"])
+                windows = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), windows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[chunk.first + doc]), pa.array(texts[chunk.first + doc].astype(np.uint32).astype(np.int64)), pa.array(at - chunk.docs[doc])],
-                    ["w1", "w2", "doc_id", "text", "start"],
+                    [pa.array(c1), pa.array(c2), pa.array(ids[chunk.first + doc]), pa.array(texts[chunk.first + doc].astype(np.uint32).astype(np.int64)), pa.array(first - chunk.docs[doc]), windows],
+                    ["c1", "c2", "doc_id", "text", "start", "windows"],
                 )
 
     return run
 
 
+def _wide_hashes(spans: textnum.Spans, at: np.ndarray, half: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the ``size`` bytes from each place on, as two longs."""
+    one, two, n = spans.hashes(at, at + half), spans.hashes(at + half, at + size), size.astype(np.uint64)
+    w1 = textnum.mix(one * np.uint64(0xD6E8FEB86659FD93) + two + n)
+    return w1.view(np.int64), textnum.mix(two * np.uint64(0xA0761D6478BD642F) ^ one).view(np.int64)
+
+
+def _lost_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, start, stop): the bytes of each run that smaller documents have, of rows (doc_id, text, start, lost);
+    ``lost`` is (inner, least) of windows."""
+    for batch in batches:
+        ids, texts, start = (batch.column(i).to_numpy() for i in range(3))
+        lost = batch.column(3)
+        row = np.repeat(np.arange(len(lost)), lost.value_lengths().to_numpy())
+        inner, least = (lost.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        mine = ids[row] > least
+        row, inner = row[mine], inner[mine]
+        order = np.lexsort((inner, row))
+        row, inner = row[order], inner[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(row))[: len(a)] - 1
+        of = row[a]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[of]), pa.array(texts[of]), pa.array(start[of] + inner[a]), pa.array(start[of] + inner[b] + WINDOW)], ["doc_id", "text", "start", "stop"]
+        )
+
+
+def _hot_runs(texts: DataFrame, held) -> DataFrame:
+    """(doc_id, text, start, stop) of the bytes to remove at hot anchors.
+
+    Occurrences of one content share its windows: a window is compared once for each
+    content, however many documents have that.
+    """
+    fields = "c1 long, c2 long, doc_id long, text long, start long, windows array<struct<w1: long, w2: long>>"
+    runs = stage(texts.mapInArrow(_send_hot_runs(held), fields), "hot-runs")
+    ends = runs.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shown = runs.filter(F.size("windows") > 0).select("c1", "c2", "windows").dropDuplicates(["c1", "c2"])
+    windows = stage(ends.join(shown, ["c1", "c2"]).select("c1", "c2", "least", "most", F.posexplode("windows").alias("inner", "w")).select("*", "w.*").drop("w"), "hot-windows")
+    least = windows.groupBy("w1", "w2").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").drop("most")
+    lost = windows.drop("least").join(least, ["w1", "w2"]).filter("most > least")
+    lost = stage(lost.groupBy("c1", "c2").agg(F.collect_list(F.struct("inner", "least")).alias("lost")), "hot-lost")
+    found = runs.drop("windows").join(lost, ["c1", "c2"]).select("doc_id", "text", "start", "lost")
+    return found.mapInArrow(_lost_runs, "doc_id long, text long, start long, stop long")
+
+
 # --- operator -----------------------------------------------------------------------------
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,10 +520,7 @@ def repeated_runs(texts: DataFrame, total_bytes: int, hot_count: int = HOT_COUNT
     )
     if not len(hot):
         return runs
-    windows = stage(texts.mapInArrow(_send_hot_windows(held), "w1 long, w2 long, doc_id long, text long, start long"), "hot-windows")
-    least = stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "hot-least")
-    lost = windows.join(least, ["w1", "w2"]).filter("doc_id > least")
-    return runs.unionByName(lost.select("doc_id", "text", "start", (F.col("start") + WINDOW).alias("stop")))
+    return runs.unionByName(_hot_runs(texts, held))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_count: int = HOT_COUNT) -> DataFrame:
